@@ -77,7 +77,8 @@ def impute(df: DataFrame, cols: list[str], strategy: str = "mean") -> DataFrame:
     if strategy == "mean":
         stats = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     elif strategy == "median":
-        stats = {c: ranking.exact_quantiles(df, c, [0.5])[0] for c in cols}
+        med = ranking.exact_quantiles_multi(df, cols, [0.5])
+        stats = {c: med[c][0] for c in cols}
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return df.select(
@@ -91,8 +92,11 @@ def impute(df: DataFrame, cols: list[str], strategy: str = "mean") -> DataFrame:
 def clip_outliers(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
     """Clip to the Tukey fences q1 - k*IQR, q3 + k*IQR (exact quartiles)."""
     exprs = {}
+    quart = ranking.exact_quantiles_multi(df, cols, [0.25, 0.75])
     for c in cols:
-        q1, q3 = ranking.exact_quantiles(df, c, [0.25, 0.75])
+        q1, q3 = quart[c]
+        if q1 is None:
+            continue
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         exprs[c] = F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
     return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])

@@ -102,42 +102,79 @@ def score_prefix(df: DataFrame, score: str = "p", label: str = "y", buckets: int
     return ordered_prefix(df, score, {"pos": y, "neg": F.lit(1).cast("long") - y}, True, buckets, groups)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = DEFAULT_BUCKETS) -> list[float | None]:
+def exact_quantiles_multi(
+    df: DataFrame, cols: list[str], probs: list[float], buckets: int = DEFAULT_BUCKETS
+) -> dict[str, list[float | None]]:
     """Exact continuous quantiles (linear interpolation between order
-    statistics, as ``quantile_cont``).  Only the rows holding the needed order
-    statistics reach the driver (two per probability)."""
-    pre = ordered_prefix(df, col, {"n": F.lit(1).cast("long")}, descending=False, buckets=buckets)
-    # total count from one tiny aggregate
-    total = df.filter(F.col(col).isNotNull()).count()
-    if total == 0:
-        return [None for _ in probs]
-    wanted = set()
-    for q in probs:
-        h = (total - 1) * q
-        lo = int(h)
-        wanted.update({lo, min(lo + 1, total - 1)})
+    statistics, as ``quantile_cont``) of several columns in one pass.
+
+    Per-column range cuts come from one ``approxQuantile`` job; values are
+    unpivoted to (feature, value, range), counted per distinct value, and the
+    running counts are built per (feature, range) as in ``ordered_prefix``.
+    Only the rows holding the needed order statistics reach the driver (at
+    most two per column and probability)."""
+    qs = df.approxQuantile(cols, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
+    splits = [[float("-inf")] + sorted(set(e for e in q if e == e)) + [float("inf")] for q in qs]
+    bcols = [f"_b{i}" for i in range(len(cols))]
+    vals = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    bucketed = Bucketizer(
+        inputCols=[f"_v{i}" for i in range(len(cols))], outputCols=bcols,
+        splitsArray=splits, handleInvalid="keep",
+    ).transform(vals)
+    parts = ", ".join(f"{i}, _v{i}, _b{i}" for i in range(len(cols)))
+    stacked = bucketed.select(F.expr(f"stack({len(cols)}, {parts}) AS (_f, _v, _b)")).filter(
+        F.col("_v").isNotNull()
+    )
+    grouped = stacked.groupBy("_f", "_b", "_v").agg(F.count(F.lit(1)).alias("n"))
+    per_range = grouped.groupBy("_f", "_b").agg(F.sum("n").alias("_rt"))
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select(
+        "_f", "_b",
+        F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_off"),
+        F.sum("_rt").over(Window.partitionBy("_f")).alias("total_n"),
+    )
+    running = Window.partitionBy("_f", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    pre = grouped.join(F.broadcast(offsets), ["_f", "_b"]).select(
+        "_f", "_v", "n", "total_n", (F.col("_off") + F.sum("n").over(running)).alias("cum_n")
+    )
     conds = None
-    for k in sorted(wanted):
-        c = (F.col("cum_n") - F.col("n") <= k) & (F.lit(k) < F.col("cum_n"))
-        conds = c if conds is None else conds | c
-    rows = pre.filter(conds).select(col, "n", "cum_n").collect()
-
-    def at(k: int) -> float:
-        for r in rows:
-            if r["cum_n"] - r["n"] <= k < r["cum_n"]:
-                return r[col]
-        raise RuntimeError("order statistic not found")
-
-    out = []
     for q in probs:
-        h = (total - 1) * q
-        lo = int(h)
-        hi = min(lo + 1, total - 1)
-        x_lo, x_hi = at(lo), at(hi)
-        out.append(x_lo + (h - lo) * (x_hi - x_lo))
+        lo = F.floor((F.col("total_n") - 1) * F.lit(q))
+        hi = F.least(lo + 1, F.col("total_n") - 1)
+        for k in (lo, hi):
+            c = (F.col("cum_n") - F.col("n") <= k) & (k < F.col("cum_n"))
+            conds = c if conds is None else conds | c
+    rows = pre.filter(conds).select("_f", "_v", "n", "cum_n", "total_n").collect()
+
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        mine = [r for r in rows if r["_f"] == i]
+        if not mine:
+            out[c] = [None for _ in probs]
+            continue
+        total = mine[0]["total_n"]
+
+        def at(k: int, mine=mine) -> float:
+            for r in mine:
+                if r["cum_n"] - r["n"] <= k < r["cum_n"]:
+                    return r["_v"]
+            raise RuntimeError("order statistic not found")
+
+        vals_q = []
+        for q in probs:
+            h = (total - 1) * q
+            lo = int(h)
+            hi = min(lo + 1, total - 1)
+            x_lo, x_hi = at(lo), at(hi)
+            vals_q.append(x_lo + (h - lo) * (x_hi - x_lo))
+        out[c] = vals_q
     return out
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = DEFAULT_BUCKETS) -> list[float | None]:
+    return exact_quantiles_multi(df, [col], probs, buckets)[col]
+
+
 def rank_within_groups(
     df: DataFrame,
     group_col: str,
