@@ -29,7 +29,7 @@ MAX_BROADCAST_BUCKETS = 1 << 16
 def _bucket_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     edges = df.approxQuantile(col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
-    uniq = sorted(set(e for e in edges if e == e))  # drop NaN, dedupe
+    uniq = sorted(set(e for e in edges if e == e)) or [0.0]  # drop NaN, dedupe; >= 3 splits
     return [float("-inf")] + uniq + [float("inf")]
 
 
@@ -114,7 +114,7 @@ def exact_quantiles_multi(
     Only the rows holding the needed order statistics reach the driver (at
     most two per column and probability)."""
     qs = df.approxQuantile(cols, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
-    splits = [[float("-inf")] + sorted(set(e for e in q if e == e)) + [float("inf")] for q in qs]
+    splits = [[float("-inf")] + (sorted(set(e for e in q if e == e)) or [0.0]) + [float("inf")] for q in qs]
     bcols = [f"_b{i}" for i in range(len(cols))]
     vals = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
     bucketed = Bucketizer(
