@@ -26,49 +26,69 @@ def _labels(df: DataFrame, y: str, pred: str, labels: list[int] | None) -> list[
     return found
 
 
+MAX_ONE_PASS_CLASSES = 32
+
+
+def _cell_sums(df: DataFrame, y: str, pred: str, labs: list[int], gs: list[str]) -> DataFrame:
+    """One aggregate with a conditional count per (true, predicted) pair:
+    a single pass with map-side partial aggregation and no join."""
+    yc, pc = F.col(y).cast("int"), F.col(pred).cast("int")
+    sums = [
+        F.count(F.when((yc == a) & (pc == b), F.lit(1))).alias(f"c_{i}_{j}")
+        for i, a in enumerate(labs) for j, b in enumerate(labs)
+    ]
+    return df.groupBy(*gs).agg(*sums) if gs else df.agg(*sums)
+
+
 def confusion_cells(df: DataFrame, y: str = "y", pred: str = "pred", labels: list[int] | None = None,
                     groups: list[str] | None = None) -> DataFrame:
-    """(true_label, predicted_label, count) for every label pair,
-    zeros included.  The grid is a literal of k*k pairs; counts come from one
-    partially-aggregated groupBy."""
+    """(true_label, predicted_label, count) for every label pair, zeros
+    included.  Up to 32 labels: one conditional aggregate, unpivoted; more
+    labels: a groupBy right-joined to the literal label grid."""
     gs = list(groups or [])
     labs = _labels(df, y, pred, labels)
-    spark = df.sparkSession
+    if len(labs) <= MAX_ONE_PASS_CLASSES:
+        wide = _cell_sums(df, y, pred, labs, gs)
+        pairs = ", ".join(f"{a}, {b}, c_{i}_{j}" for i, a in enumerate(labs) for j, b in enumerate(labs))
+        return wide.select(*gs, F.expr(
+            f"stack({len(labs) ** 2}, {pairs}) AS (true_label, predicted_label, count)"
+        )).select(*gs, F.col("true_label").cast("int").alias("true_label"),
+                  F.col("predicted_label").cast("int").alias("predicted_label"),
+                  F.col("count").cast("long").alias("count"))
     counts = df.groupBy(*gs, F.col(y).cast("int").alias("true_label"),
-                        F.col(pred).cast("int").alias("predicted_label")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    grid = spark.createDataFrame([(a, b) for a in labs for b in labs], "true_label int, predicted_label int")
+                        F.col(pred).cast("int").alias("predicted_label")).agg(F.count(F.lit(1)).alias("count"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("q")) for a in labs for b in labs])
     if gs:
         keys = counts.select(*gs).distinct()
-        # groups are few (models, days); a grid per group via explode of literal pairs
-        pairs = F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("q")) for a in labs for b in labs])
-        grid = keys.select(*gs, F.explode(pairs).alias("g")).select(
-            *gs, F.col("g.t").alias("true_label"), F.col("g.q").alias("predicted_label"))
+        grid = keys.select(*gs, F.explode(pairs).alias("g"))
+    else:
+        grid = df.sparkSession.range(1).select(F.explode(pairs).alias("g"))
+    grid = grid.select(*gs, F.col("g.t").alias("true_label"), F.col("g.q").alias("predicted_label"))
     return grid.join(counts, [*gs, "true_label", "predicted_label"], "left").select(
         *gs, "true_label", "predicted_label", F.coalesce("count", F.lit(0)).cast("long").alias("count")
     )
 
 
-def per_class(cells: DataFrame, groups: list[str] | None = None) -> DataFrame:
-    """Per label: tp, predicted, support, precision, recall, f1 (zero division -> 0)."""
+def per_class(df: DataFrame, y: str = "y", pred: str = "pred", labels: list[int] | None = None,
+              groups: list[str] | None = None) -> DataFrame:
+    """Per label: tp, predicted, support, precision, recall, f1 (zero
+    division -> 0).  Computed from one conditional aggregate (no join)."""
     gs = list(groups or [])
-    truth = cells.groupBy(*gs, F.col("true_label").alias("label")).agg(
-        F.sum("count").alias("support"),
-        F.sum(F.when(F.col("true_label") == F.col("predicted_label"), F.col("count")).otherwise(0)).alias("tp"),
-    )
-    predicted = cells.groupBy(*gs, F.col("predicted_label").alias("label")).agg(
-        F.sum("count").alias("predicted")
-    )
-    t = truth.join(predicted, [*gs, "label"], "full").select(
-        *gs, "label",
-        F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.coalesce("predicted", F.lit(0)).alias("predicted"),
-        F.coalesce("support", F.lit(0)).alias("support"),
-    )
+    labs = _labels(df, y, pred, labels)
+    yc, pc = F.col(y).cast("int"), F.col(pred).cast("int")
+    sums = []
+    for i, a in enumerate(labs):
+        sums += [
+            F.count(F.when((yc == a) & (pc == a), F.lit(1))).alias(f"tp_{i}"),
+            F.count(F.when(pc == a, F.lit(1))).alias(f"pr_{i}"),
+            F.count(F.when(yc == a, F.lit(1))).alias(f"su_{i}"),
+        ]
+    wide = df.groupBy(*gs).agg(*sums) if gs else df.agg(*sums)
+    parts = ", ".join(f"{a}, tp_{i}, pr_{i}, su_{i}" for i, a in enumerate(labs))
+    t = wide.select(*gs, F.expr(f"stack({len(labs)}, {parts}) AS (label, tp, predicted, support)"))
     zero = F.lit(0.0)
     return t.select(
-        "*",
+        *gs, F.col("label").cast("int").alias("label"), "tp", "predicted", "support",
         F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(zero).alias("precision"),
         F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(zero).alias("recall"),
         F.when(F.col("predicted") + F.col("support") > 0,
@@ -80,7 +100,7 @@ def summary_metrics(df: DataFrame, y: str = "y", pred: str = "pred", labels: lis
                     groups: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Accuracy and support-weighted precision, recall, F1 (one row per group)."""
     gs = list(groups or [])
-    pc = per_class(confusion_cells(df, y, pred, labels, gs), gs)
+    pc = per_class(df, y, pred, labels, gs)
     r = lambda c: F.round(c, digits)
     n = F.sum("support")
     return pc.groupBy(*gs).agg(
@@ -94,39 +114,33 @@ def summary_metrics(df: DataFrame, y: str = "y", pred: str = "pred", labels: lis
 
 def classification_report(df: DataFrame, y: str = "y", pred: str = "pred", labels: list[int] | None = None,
                           digits: int = 6) -> DataFrame:
-    """E5: per-class rows, then accuracy, macro avg, weighted avg."""
-    pc = per_class(confusion_cells(df, y, pred, labels))
+    """E5: per-class rows, then accuracy, macro avg, weighted avg; all from
+    one conditional aggregate (the per-class table has k rows)."""
+    pc = per_class(df, y, pred, labels)
     r = lambda c: F.round(c, digits)
-    classes = pc.select(
-        F.col("label").cast("string").alias("label"),
-        r(F.col("precision")).alias("precision"),
-        r(F.col("recall")).alias("recall"),
-        r(F.col("f1")).alias("f1"),
-        F.col("support").cast("long").alias("support"),
-    )
     n = F.sum("support")
-    acc = pc.agg(
-        F.lit("accuracy").alias("label"),
-        F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"),
-        r(F.sum("tp") / n).alias("f1"),
-        n.cast("long").alias("support"),
-    )
-    macro = pc.agg(
-        F.lit("macro avg").alias("label"),
-        r(F.avg("precision")).alias("precision"),
-        r(F.avg("recall")).alias("recall"),
-        r(F.avg("f1")).alias("f1"),
-        n.cast("long").alias("support"),
+    summary = pc.agg(
+        F.collect_list(F.struct(
+            F.col("label").cast("string").alias("label"), r(F.col("precision")).alias("precision"),
+            r(F.col("recall")).alias("recall"), r(F.col("f1")).alias("f1"),
+            F.col("support").cast("long").alias("support"))).alias("classes"),
+        r(F.sum("tp") / n).alias("acc"),
+        r(F.avg("precision")).alias("mp"), r(F.avg("recall")).alias("mr"), r(F.avg("f1")).alias("mf"),
+        r(F.sum(F.col("precision") * F.col("support")) / n).alias("wp"),
+        r(F.sum(F.col("recall") * F.col("support")) / n).alias("wr"),
+        r(F.sum(F.col("f1") * F.col("support")) / n).alias("wf"),
+        n.cast("long").alias("n"),
     )
-    weighted = pc.agg(
-        F.lit("weighted avg").alias("label"),
-        r(F.sum(F.col("precision") * F.col("support")) / n).alias("precision"),
-        r(F.sum(F.col("recall") * F.col("support")) / n).alias("recall"),
-        r(F.sum(F.col("f1") * F.col("support")) / n).alias("f1"),
-        n.cast("long").alias("support"),
+    none = F.lit(None).cast("double")
+    tail = F.array(
+        F.struct(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"),
+                 F.col("acc").alias("f1"), F.col("n").alias("support")),
+        F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
+                 F.col("mf").alias("f1"), F.col("n").alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"),
+                 F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support")),
     )
-    return classes.unionByName(acc).unionByName(macro).unionByName(weighted)
+    return summary.select(F.explode(F.concat("classes", tail)).alias("row")).select("row.*")
 
 
 def roc_auc(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | None = None,
