@@ -120,3 +120,25 @@ def preparation_stages(
             handleInvalid="error",
         ),
     ]
+
+
+def encoding_stages(column: str = S.TYPE, method: str = "onehot", label: str | None = None,
+                    smoothing: float = 0.0) -> list:
+    """C3: 'onehot' (T1), 'label' (index by sorted category, unknown -> k),
+    'target' (per-category label mean, blended with the global mean by
+    ``smoothing``; Spark's ``TargetEncoder``)."""
+    if method == "onehot":
+        return preparation_stages([], column)[:2]
+    idx = StringIndexer(inputCol=column, outputCol=f"{column}_label", stringOrderType="alphabetAsc",
+                        handleInvalid="keep")
+    if method == "label":
+        return [idx]
+    if method == "target":
+        from pyspark.ml.feature import TargetEncoder
+
+        if label is None:
+            raise ValueError("target encoding needs the label column")
+        return [idx, TargetEncoder(inputCols=[f"{column}_label"], outputCols=[f"{column}_target"],
+                                   labelCol=label, targetType="binary", smoothing=smoothing,
+                                   handleInvalid="keep")]
+    raise ValueError(f"unknown encoding {method}")

@@ -144,7 +144,7 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "pred", label
 
 
 def roc_auc(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | None = None,
-            buckets: int = ranking.DEFAULT_BUCKETS) -> DataFrame:
+            buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
     """Exact ROC AUC (mid-ranks for ties) = Mann-Whitney U / (P*N).
     U is a sum of integers and halves, so it is exact in double arithmetic."""
     gs = list(groups or [])
@@ -158,7 +158,7 @@ def roc_auc(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | N
 
 
 def average_precision(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | None = None,
-                      digits: int = 6, buckets: int = ranking.DEFAULT_BUCKETS) -> DataFrame:
+                      digits: int = 6, buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
     """Sum over thresholds of (R_k - R_{k-1}) * P_k, no interpolation."""
     gs = list(groups or [])
     pre = ranking.score_prefix(df, score, y, buckets, gs)
@@ -169,7 +169,7 @@ def average_precision(df: DataFrame, score: str = "p", y: str = "y", groups: lis
 
 
 def roc_curve(df: DataFrame, score: str = "p", y: str = "y", drop_intermediate: bool = True,
-              buckets: int = ranking.DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, descending, after a
     leading (inf, 0, 0).  Collinear points are dropped: a point stays when the
     second difference of fps or tps is non-zero there, which reduces to the
@@ -188,7 +188,7 @@ def roc_curve(df: DataFrame, score: str = "p", y: str = "y", drop_intermediate:
     return origin.unionByName(curve)
 
 
-def pr_curve(df: DataFrame, score: str = "p", y: str = "y", buckets: int = ranking.DEFAULT_BUCKETS) -> DataFrame:
+def pr_curve(df: DataFrame, score: str = "p", y: str = "y", buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
     """(threshold, precision, recall) at each distinct score, plus the end
     point precision 1, recall 0 (threshold null)."""
     pre = ranking.score_prefix(df, score, y, buckets)

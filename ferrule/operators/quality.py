@@ -100,3 +100,75 @@ def clip_outliers(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
         lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
         exprs[c] = F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
     return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
+
+
+def robust_scale(df: DataFrame, cols: list[str], suffix: str = "_rs") -> DataFrame:
+    """C1 'robust': (x - median) / (q3 - q1) with exact quartiles; a zero
+    inter-quartile range divides by 1."""
+    qs = ranking.exact_quantiles_multi(df, cols, [0.25, 0.5, 0.75])
+    out = []
+    for c in cols:
+        q1, med, q3 = qs[c]
+        if med is None:
+            out.append(F.lit(None).cast("double").alias(c + suffix))
+            continue
+        iqr = (q3 - q1) or 1.0
+        out.append(((F.col(c) - F.lit(med)) / F.lit(iqr)).alias(c + suffix))
+    return df.select("*", *out)
+
+
+def column_modes(df: DataFrame, cols: list[str]) -> dict:
+    """Most frequent non-null value per column; ties -> the smallest value.
+    One pass per value type: unpivot to (column, value), count per pair
+    (partial aggregation), then one ``min_by`` per column over those counts."""
+    types = dict(df.dtypes)
+    out = {}
+    groups: dict[str, list[str]] = {}
+    for c in cols:
+        groups.setdefault("STRING" if types[c] == "string" else "DOUBLE", []).append(c)
+    for typ, members in groups.items():
+        parts = ", ".join(f"'{c}', CAST(`{c}` AS {typ})" for c in members)
+        picked = (
+            df.select(F.expr(f"stack({len(members)}, {parts}) AS (feature, value)"))
+            .filter(F.col("value").isNotNull())
+            .groupBy("feature", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("feature")
+            .agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("m"))
+            .collect()
+        )
+        for r in picked:
+            out[r["feature"]] = r["m"]
+    for c in cols:
+        out.setdefault(c, None)
+    return out
+
+
+def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
+    """C2 'mode'."""
+    modes = column_modes(df, cols)
+    return df.select(
+        *[F.coalesce(F.col(c), F.lit(modes[c])).alias(c) if c in cols else F.col(c) for c in df.columns]
+    )
+
+
+def split_features_target(df: DataFrame, target: str | None, keep: list[str] | None = None) -> DataFrame:
+    """Feature / target split without separating rows from their truth:
+    the key, the allowed features and (when present) the target stay in the
+    same row; ``target`` absent -> features only."""
+    feats = [c for c in (keep or df.columns) if c != target]
+    cols = feats + ([target] if target and target in df.columns else [])
+    return df.select(*cols)
+
+
+def id_column(df: DataFrame, explicit: str | None = None) -> str:
+    """The explicit id column, else the first column whose name
+    contains 'id' (the reference's discovery rule)."""
+    if explicit:
+        if explicit not in df.columns:
+            raise ValueError(f"id column {explicit} not found")
+        return explicit
+    for c in df.columns:
+        if "id" in c.lower():
+            return c
+    raise ValueError("no id column")

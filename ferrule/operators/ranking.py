@@ -22,10 +22,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = None  # None: sized from the input (see auto_buckets)
+MIN_BUCKETS = 64
 MAX_BROADCAST_BUCKETS = 1 << 16
 
 
+def auto_buckets(df: DataFrame) -> int:
+    """Range count that grows with the input: four ranges per input
+    partition (so a range holds about a quarter partition of distinct
+    values), between 64 and 65536 (the broadcast offsets stay < 3 MB)."""
+    return max(MIN_BUCKETS, min(MAX_BROADCAST_BUCKETS, 4 * df.rdd.getNumPartitions()))
+
+
 def _bucket_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     edges = df.approxQuantile(col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
@@ -38,7 +46,7 @@ def ordered_prefix(
     order_col: str,
     sums: dict[str, Column],
     descending: bool = True,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = DEFAULT_BUCKETS,
     groups: list[str] | None = None,
 ) -> DataFrame:
     """One row per (``groups``, distinct ``order_col`` value), nulls dropped, with
@@ -52,6 +60,7 @@ def ordered_prefix(
     The number of groups must be small (it multiplies the broadcast offsets).
     """
     gs = list(groups or [])
+    buckets = buckets or auto_buckets(df)
     if buckets > MAX_BROADCAST_BUCKETS:
         raise ValueError("too many buckets to broadcast the range offsets")
     src = df.filter(F.col(order_col).isNotNull()).select(
@@ -94,7 +103,7 @@ def ordered_prefix(
     )
 
 
-def score_prefix(df: DataFrame, score: str = "p", label: str = "y", buckets: int = DEFAULT_BUCKETS,
+def score_prefix(df: DataFrame, score: str = "p", label: str = "y", buckets: int | None = DEFAULT_BUCKETS,
                  groups: list[str] | None = None) -> DataFrame:
     """Per distinct score, descending: pos, neg, cum_pos (tps), cum_neg (fps),
     next_pos, next_neg, total_pos (P), total_neg (N)."""
@@ -103,7 +112,7 @@ def score_prefix(df: DataFrame, score: str = "p", label: str = "y", buckets: int
 
 
 def exact_quantiles_multi(
-    df: DataFrame, cols: list[str], probs: list[float], buckets: int = DEFAULT_BUCKETS
+    df: DataFrame, cols: list[str], probs: list[float], buckets: int | None = DEFAULT_BUCKETS
 ) -> dict[str, list[float | None]]:
     """Exact continuous quantiles (linear interpolation between order
     statistics, as ``quantile_cont``) of several columns in one pass.
@@ -113,6 +122,7 @@ def exact_quantiles_multi(
     running counts are built per (feature, range) as in ``ordered_prefix``.
     Only the rows holding the needed order statistics reach the driver (at
     most two per column and probability)."""
+    buckets = buckets or auto_buckets(df)
     qs = df.approxQuantile(cols, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
     splits = [[float("-inf")] + (sorted(set(e for e in q if e == e)) or [0.0]) + [float("inf")] for q in qs]
     bcols = [f"_b{i}" for i in range(len(cols))]
@@ -171,7 +181,7 @@ def exact_quantiles_multi(
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int = DEFAULT_BUCKETS) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int | None = DEFAULT_BUCKETS) -> list[float | None]:
     return exact_quantiles_multi(df, [col], probs, buckets)[col]
 
 

@@ -15,6 +15,7 @@ _MODULES = [
     "ferrule.plans.scoring_q",
     "ferrule.plans.eval_q",
     "ferrule.plans.monitor_q",
+    "ferrule.plans.options_q",
     "ferrule.plans.ml_q",
     "ferrule.plans.stream_q",
 ]
