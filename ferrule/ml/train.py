@@ -98,6 +98,8 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
             maxDepth=_depth(c.get("max_depth")), minInstancesPerNode=int(c.get("min_samples_leaf", 1)),
             featureSubsetStrategy="sqrt", seed=opts.seed,
             weightCol="w_balanced" if c.get("class_weight") == "balanced" else None,
+            # performance knobs only: node statistics per pass, cached node ids
+            maxMemoryInMB=1024, cacheNodeIds=True,
         )
     if name == "xgboost":
         c = opts.gbt
@@ -105,7 +107,7 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
             labelCol=label, featuresCol="features", maxIter=int(c["n_estimators"]),
             stepSize=float(c["learning_rate"]), maxDepth=_depth(c["max_depth"]),
             subsamplingRate=float(c["subsample"]), featureSubsetStrategy=str(c["colsample_bytree"]),
-            weightCol="w_positive", seed=opts.seed,
+            weightCol="w_positive", seed=opts.seed, cacheNodeIds=True,
         )
     if name in ("logistic_regression", "svm"):
         c = opts.lr if name == "logistic_regression" else opts.svm
@@ -150,10 +152,34 @@ def n_model_features(opts: TrainOptions) -> int:
     return len(S.MACHINE_TYPES) + len(feature_columns(opts))
 
 
+TREE_MODELS = ("random_forest", "xgboost")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Tree ensembles do heavy work per pass (rows x trees): when the input
+    has fewer partitions than the cluster has cores (a small file is one
+    task), spread it round-robin once.  On large inputs this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def fit(name: str, train: DataFrame, opts: TrainOptions | None = None) -> PipelineModel:
+    """Fit the preparation stages once, persist the prepared (label, weights,
+    features) rows for the iterative classifier, and return the whole
+    pipeline (preparation + classifier) as one PipelineModel."""
     opts = opts or TrainOptions()
     weighted = with_weights(train, opts)
-    return build(name, opts, weighted, n_model_features(opts)).fit(weighted)
+    stages = build(name, opts, weighted, n_model_features(opts)).getStages()
+    prep_model = Pipeline(stages=stages[:-1]).fit(weighted)
+    prepared = prep_model.transform(weighted).select(opts.label, "w_balanced", "w_positive", "features")
+    if name in TREE_MODELS:
+        prepared = spread(prepared)
+    prepared = prepared.persist()
+    try:
+        clf_model = stages[-1].fit(prepared)
+    finally:
+        prepared.unpersist()
+    return PipelineModel(stages=[*prep_model.stages, clf_model])
 
 
 def predictions(model: PipelineModel, df: DataFrame, label: str, key: str = S.UID) -> DataFrame:
