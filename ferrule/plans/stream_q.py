@@ -10,12 +10,36 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import summary as SU
 from ferrule.plans.scoring_q import MONITOR_STATS_SQL
+from ferrule.plans.sqltext import RECOMMENDATION_SQL, with_attribution
 from ferrule.streaming import jobs
 
 
 def stream_scored(spark, sf_dir):
+    """Streamed predictions; equal to the batch scoring of the same rows."""
     preds, _ = jobs.run_scoring(spark, sf_dir)
-    return spark.read.parquet(preds).drop("epoch")
+    return spark.read.parquet(preds).drop("epoch", "ts")
+
+
+STREAM_SCORED_SQL = with_attribution(
+    f"""SELECT uid, machine_id, type, air_temp_k, process_temp_k, rpm, torque_nm, tool_wear_min, p,
+       machine_failure_pred, most_likely_type, {RECOMMENDATION_SQL} AS maintenance_recommendation,
+       prob_twf, prob_hdf, prob_pwf, prob_osf, prob_rnf
+FROM a"""
+)
+
+_WINDOWS_SQL = """, wd AS (
+SELECT date_trunc('day', ts) AS ws, count(*) AS n_readings, CAST(sum(machine_failure_pred) AS BIGINT) AS n_predicted,
+       round(sum(machine_failure_pred) / count(*), 6) AS failure_rate, round(avg(p), 6) AS avg_p
+FROM a GROUP BY 1
+)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, n_readings, n_predicted, failure_rate, avg_p
+FROM wd"""
+
+STREAM_RATE_SQL = with_attribution(_WINDOWS_SQL)
+# append mode: a window is emitted once the watermark (max ts - 1 hour) reaches its end
+STREAM_CLOSED_SQL = with_attribution(
+    _WINDOWS_SQL + "\nWHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM a) - INTERVAL 1 HOUR"
+)
 
 
 def stream_monitor_stats(spark, sf_dir):
@@ -35,8 +59,8 @@ def stream_closed_windows(spark, sf_dir):
 
 
 QUERIES = {
-    "stream_scored": (stream_scored, None),
+    "stream_scored": (stream_scored, STREAM_SCORED_SQL),
     "stream_monitor_stats": (stream_monitor_stats, MONITOR_STATS_SQL),
-    "stream_failure_rate": (stream_failure_rate, None),
-    "stream_closed_windows": (stream_closed_windows, None),
+    "stream_failure_rate": (stream_failure_rate, STREAM_RATE_SQL),
+    "stream_closed_windows": (stream_closed_windows, STREAM_CLOSED_SQL),
 }
