@@ -124,22 +124,20 @@ def type_map(prefix: str = "prob_") -> Column:
 
 def ranked_types(prefix: str = "prob_") -> Column:
     """A14 inside the row: array of (type, prob) sorted by prob desc, then by
-    the fixed type order; no shuffle, no explode needed."""
+    the fixed type order; no shuffle, no explode needed.  Sorting uses the
+    natural order of (-prob, position) structs, which stays in generated
+    code (a comparator lambda would be interpreted per row)."""
     items = F.array(
         *[
             F.struct(
-                F.col(f"{prefix}{k.lower()}").alias("prob"),
+                (-F.col(f"{prefix}{k.lower()}")).alias("neg"),
                 F.lit(i).alias("ord"),
                 F.lit(k).alias("type"),
             )
             for i, k in enumerate(S.FAILURE_TYPES)
         ]
     )
-    return F.array_sort(
-        items,
-        lambda a, b: F.when(a["prob"] > b["prob"], -1)
-        .when(a["prob"] < b["prob"], 1)
-        .when(a["ord"] < b["ord"], -1)
-        .when(a["ord"] > b["ord"], 1)
-        .otherwise(0),
+    return F.transform(
+        F.array_sort(items),
+        lambda x: F.struct(x["type"].alias("type"), (F.lit(0.0) - x["neg"]).alias("prob")),
     )

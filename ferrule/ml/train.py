@@ -195,6 +195,15 @@ def predictions(model: PipelineModel, df: DataFrame, label: str, key: str = S.UI
     )
 
 
+def class_probabilities(scored: DataFrame, n_classes: int, prob_col: str = "probability",
+                        prefix: str = "prob_class_") -> DataFrame:
+    """The probability vector as one column per class."""
+    from pyspark.ml.functions import vector_to_array
+
+    arr = vector_to_array(prob_col)
+    return scored.select("*", *[arr[i].alias(f"{prefix}{i}") for i in range(n_classes)])
+
+
 def slot_names(df: DataFrame, col: str = "features") -> list[str]:
     """Names of the vector slots from the assembler's ML attribute metadata."""
     meta = df.schema[col].metadata.get("ml_attr", {})

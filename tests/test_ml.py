@@ -61,3 +61,20 @@ def test_rbf_not_built(spark, split):
     opts = TR.TrainOptions(svm={"C": 1.0, "kernel": "rbf", "class_weight": "balanced"})
     with pytest.raises(ValueError):
         TR.fit("svm", train, opts)
+
+
+def test_class_probabilities_and_selection(spark, split):
+    from pyspark.ml import Pipeline
+
+    from ferrule.ml import select as SEL
+
+    train, test = split
+    model = TR.fit("logistic_regression", train)
+    out = TR.class_probabilities(model.transform(test), 2)
+    r = out.select((F.col("prob_class_0") + F.col("prob_class_1")).alias("s")).first()
+    assert r["s"] == pytest.approx(1.0)
+    prepared = Pipeline(stages=TR.base_stages(TR.TrainOptions())).fit(train).transform(train)
+    top = SEL.univariate(prepared, "machine_failure", 5, "f_test")
+    assert len(top) == 5 and len(set(top)) == 5
+    kept = SEL.recursive_elimination(prepared, "machine_failure", n=15, step=2)
+    assert len(kept) == 15
