@@ -123,10 +123,10 @@ def type_map(prefix: str = "prob_") -> Column:
 
 
 def ranked_types(prefix: str = "prob_") -> Column:
-    """A14 inside the row: array of (type, prob) sorted by prob desc, then by
-    the fixed type order; no shuffle, no explode needed.  Sorting uses the
-    natural order of (-prob, position) structs, which stays in generated
-    code (a comparator lambda would be interpreted per row)."""
+    """A14 inside the row: array of (neg, ord, type) structs sorted so the
+    highest probability comes first (ties: the fixed type order); prob =
+    -neg.  ``sort_array`` on the natural struct order has generated code
+    (a comparator lambda or ``array_sort`` would be interpreted per row)."""
     items = F.array(
         *[
             F.struct(
@@ -137,7 +137,4 @@ def ranked_types(prefix: str = "prob_") -> Column:
             for i, k in enumerate(S.FAILURE_TYPES)
         ]
     )
-    return F.transform(
-        F.array_sort(items),
-        lambda x: F.struct(x["type"].alias("type"), (F.lit(0.0) - x["neg"]).alias("prob")),
-    )
+    return F.sort_array(items)

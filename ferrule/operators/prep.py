@@ -45,7 +45,7 @@ def hash_split(df: DataFrame, fractions: tuple[float, ...] = (0.7, 0.15, 0.15),
 def exact_stratified_split(df: DataFrame, label: str, fractions: tuple[float, ...] = (0.7, 0.15, 0.15),
                            names: tuple[str, ...] = ("train", "validation", "test"),
                            key: str = S.UID, seed: int = 42, out: str = "split",
-                           hex_digits: int = 3) -> DataFrame:
+                           hex_digits: int | None = None) -> DataFrame:
     """T6 exact: inside each class, rows ordered by (hash, key); the first
     floor(f1*n_c) go to the first part, up to floor((f1+f2)*n_c) to the
     second, the rest to the last.  Class shares are exact."""
@@ -62,7 +62,7 @@ def exact_stratified_split(df: DataFrame, label: str, fractions: tuple[float, ..
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 3, key: str = S.UID, seed: int = 42,
-                     out: str = "fold", hex_digits: int = 3) -> DataFrame:
+                     out: str = "fold", hex_digits: int | None = None) -> DataFrame:
     """fold = (rank in class - 1) mod k, so every fold gets an equal
     share (+-1) of every class.  Usable as ``CrossValidator(foldCol=...)``."""
     ranked = _class_rank(df, label, key, seed, hex_digits)
@@ -71,7 +71,18 @@ def stratified_folds(df: DataFrame, label: str, k: int = 3, key: str = S.UID, se
     )
 
 
-def _class_rank(df: DataFrame, label: str, key: str, seed: int, hex_digits: int) -> DataFrame:
+def _hex_digits(df: DataFrame) -> int:
+    """Hash-prefix length so that there are about four ranges per input
+    partition (1..4 hex digits = 16..65536 ranges per class)."""
+    n = 4 * max(1, df.rdd.getNumPartitions())
+    d = 1
+    while 16 ** d < n and d < 4:
+        d += 1
+    return d
+
+
+def _class_rank(df: DataFrame, label: str, key: str, seed: int, hex_digits: int | None) -> DataFrame:
+    hex_digits = hex_digits or _hex_digits(df)
     n_classes = df.select(label).distinct().count()
     if n_classes * (16 ** hex_digits) > ranking.MAX_BROADCAST_BUCKETS * 16:
         raise ValueError("too many classes x buckets for the broadcast offsets")

@@ -23,15 +23,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = None  # None: sized from the input (see auto_buckets)
-MIN_BUCKETS = 64
 MAX_BROADCAST_BUCKETS = 1 << 16
 
 
 def auto_buckets(df: DataFrame) -> int:
     """Range count that grows with the input: four ranges per input
-    partition (so a range holds about a quarter partition of distinct
-    values), between 64 and 65536 (the broadcast offsets stay < 3 MB)."""
-    return max(MIN_BUCKETS, min(MAX_BROADCAST_BUCKETS, 4 * df.rdd.getNumPartitions()))
+    partition (a range then holds about a quarter partition of distinct
+    values), at most 65536 (the broadcast offsets stay < 3 MB).  An input
+    that is a single partition is already one task, so one range is no
+    worse and skips the quantile pass."""
+    n = df.rdd.getNumPartitions()
+    return 1 if n <= 1 else min(MAX_BROADCAST_BUCKETS, 4 * n)
+
+
+def _bucketize(df: DataFrame, col: str, out: str, buckets: int) -> DataFrame:
+    if buckets <= 1:
+        return df.withColumn(out, F.lit(0.0))
+    splits = _bucket_splits(df, col, buckets)
+    return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
 def _bucket_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
@@ -66,8 +75,7 @@ def ordered_prefix(
     src = df.filter(F.col(order_col).isNotNull()).select(
         *gs, F.col(order_col).cast("double").alias("_v"), *[c.alias(k) for k, c in sums.items()]
     )
-    splits = _bucket_splits(src, "_v", buckets)
-    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(src)
+    bucketed = _bucketize(src, "_v", "_b", buckets)
     keys = list(sums)
     grouped = bucketed.groupBy(*gs, "_b", "_v").agg(*[F.sum(k).alias(k) for k in keys])
 
@@ -123,14 +131,17 @@ def exact_quantiles_multi(
     Only the rows holding the needed order statistics reach the driver (at
     most two per column and probability)."""
     buckets = buckets or auto_buckets(df)
-    qs = df.approxQuantile(cols, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
-    splits = [[float("-inf")] + (sorted(set(e for e in q if e == e)) or [0.0]) + [float("inf")] for q in qs]
     bcols = [f"_b{i}" for i in range(len(cols))]
     vals = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    bucketed = Bucketizer(
-        inputCols=[f"_v{i}" for i in range(len(cols))], outputCols=bcols,
-        splitsArray=splits, handleInvalid="keep",
-    ).transform(vals)
+    if buckets <= 1:
+        bucketed = vals.select("*", *[F.lit(0.0).alias(b) for b in bcols])
+    else:
+        qs = df.approxQuantile(cols, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
+        splits = [[float("-inf")] + (sorted(set(e for e in q if e == e)) or [0.0]) + [float("inf")] for q in qs]
+        bucketed = Bucketizer(
+            inputCols=[f"_v{i}" for i in range(len(cols))], outputCols=bcols,
+            splitsArray=splits, handleInvalid="keep",
+        ).transform(vals)
     parts = ", ".join(f"{i}, _v{i}, _b{i}" for i in range(len(cols)))
     stacked = bucketed.select(F.expr(f"stack({len(cols)}, {parts}) AS (_f, _v, _b)")).filter(
         F.col("_v").isNotNull()

@@ -105,11 +105,13 @@ def ranked_types(scored: DataFrame, explode: bool = True) -> DataFrame:
     ranked = scored.select(S.UID, scoring.ranked_types().alias("ranked"))
     if not explode:
         return ranked
-    return ranked.select(S.UID, F.posexplode("ranked").alias("pos", "item")).select(
+    # posexplode_outer: the array always has five items, and the outer form
+    # keeps the optimizer from adding a size() filter that rebuilds the array
+    return ranked.select(S.UID, F.posexplode_outer("ranked").alias("pos", "item")).select(
         S.UID,
         (F.col("pos") + 1).alias("rank"),
         F.col("item.type").alias("failure_type"),
-        F.col("item.prob").alias("prob"),
+        (F.lit(0.0) - F.col("item.neg")).alias("prob"),
     )
 
 
