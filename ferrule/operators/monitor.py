@@ -20,9 +20,11 @@ MICROS = 1_000_000
 
 
 def ts_micros(ts_col: str = S.TS):
-    """Microseconds since the epoch for TIMESTAMP or TIMESTAMP_NTZ input
-    (session time zone UTC)."""
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+    """Microseconds since the epoch of the wall-clock value (TIMESTAMP_NTZ
+    input: independent of the session time zone, no DST gaps; TIMESTAMP
+    input is converted to the session zone's wall clock first)."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(ts_col).cast("timestamp_ntz").cast("timestamp"),
+                                              F.current_timezone()))
 
 
 def rolling_per_machine(df: DataFrame, lookback_s: int, values: dict, key: str = S.MACHINE_ID,
@@ -59,7 +61,7 @@ def rolling_per_machine(df: DataFrame, lookback_s: int, values: dict, key: str =
 
 def daily_trend(scored: DataFrame, ts_col: str = S.TS, digits: int = 6) -> DataFrame:
     """Per day: readings, rule failures, predicted failures, mean p."""
-    day = F.date_format(F.col(ts_col).cast("timestamp"), "yyyy-MM-dd")
+    day = F.date_format(F.col(ts_col).cast("timestamp_ntz"), "yyyy-MM-dd")
     return scored.groupBy(day.alias("day")).agg(
         F.count(F.lit(1)).alias("n_readings"),
         F.sum("y").cast("long").alias("n_failures"),
@@ -124,7 +126,7 @@ def performance_alert(scored: DataFrame, ts_col: str = S.TS, base_days: int = 7,
                       alert_drop: float = 0.1, digits: int = 6) -> DataFrame:
     """Daily accuracy against the accuracy of the first ``base_days``
     days; alert when it falls by more than ``alert_drop`` (relative)."""
-    day = F.to_date(F.col(ts_col).cast("timestamp"))
+    day = F.to_date(F.col(ts_col).cast("timestamp_ntz"))
     daily = scored.groupBy(day.alias("d")).agg(
         F.count(F.lit(1)).alias("n_readings"),
         F.sum((F.col("y") == F.col("pred")).cast("int")).alias("n_correct"),

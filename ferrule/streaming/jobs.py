@@ -34,11 +34,22 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return reader.parquet(sf_dir)
 
 
+def _session_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
+def event_instant(df: DataFrame, col: str = S.TS):
+    """Event time as an instant whose UTC wall clock equals the reading's
+    wall clock (``ts`` has no time zone).  Watermarks need an instant; this
+    keeps windows aligned to the readings' days whatever the session zone."""
+    return F.from_utc_timestamp(F.col(col).cast("timestamp"), _session_tz(df))
+
+
 def scored_stream(events: DataFrame) -> DataFrame:
     """Readings -> fixed scorer -> attribution, per micro-batch (stateless)."""
     scored = SC.attribute(SC.with_linear_score(readings_from_events(events)))
     return scored.select(
-        S.UID, S.MACHINE_ID, F.col(S.TS).cast("timestamp").alias(S.TS), S.TYPE, *S.SENSORS,
+        S.UID, S.MACHINE_ID, event_instant(scored).alias(S.TS), S.TYPE, *S.SENSORS,
         "p", "machine_failure_pred", "most_likely_type", "maintenance_recommendation",
         "prob_twf", "prob_hdf", "prob_pwf", "prob_osf", "prob_rnf",
     )
@@ -104,7 +115,9 @@ def windowed_failure_rate(events: DataFrame, window: str = "1 day", watermark: s
             F.avg("p").alias("avg_p"),
         )
         .select(
-            F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+            # render the UTC wall clock of the window start (session-zone independent)
+            F.date_format(F.to_utc_timestamp("w.start", _session_tz(events)), "yyyy-MM-dd HH:mm:ss")
+            .alias("window_start"),
             "n_readings", "n_predicted",
             F.round(F.col("n_predicted") / F.col("n_readings"), 6).alias("failure_rate"),
             F.round("avg_p", 6).alias("avg_p"),

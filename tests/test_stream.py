@@ -27,3 +27,18 @@ def test_windowed_rates(spark):
     # append mode emits only windows the watermark has closed
     assert 0 < closed.count() <= complete.count()
     assert closed.exceptAll(complete).count() == 0
+
+
+def test_results_do_not_depend_on_session_zone(spark):
+    import __spark_entry__ as E
+
+    names = ["stream_failure_rate", "daily_trend", "rolling_machine_features", "drift_psi", "performance_alert"]
+    q = E.queries()
+    base = {n: sorted(map(tuple, q[n](spark, SF).collect())) for n in names}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        for n in names:
+            assert sorted(map(tuple, q[n](spark, SF).collect())) == base[n], n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
