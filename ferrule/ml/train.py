@@ -31,6 +31,7 @@ from ferrule.functions import features as FE
 from ferrule.ml.stages import FeatureEngineer, preparation_stages
 from ferrule.operators import evaluate as EV
 from ferrule.operators import prep
+from ferrule.session import ensure_checkpoint_dir
 
 SPARK_MAX_DEPTH = 30
 
@@ -168,6 +169,8 @@ def fit(name: str, train: DataFrame, opts: TrainOptions | None = None) -> Pipeli
     features) rows for the iterative classifier, and return the whole
     pipeline (preparation + classifier) as one PipelineModel."""
     opts = opts or TrainOptions()
+    # tree ensembles checkpoint node ids / predictions into the shared folder
+    ensure_checkpoint_dir(train.sparkSession)
     weighted = with_weights(train, opts)
     stages = build(name, opts, weighted, n_model_features(opts)).getStages()
     prep_model = Pipeline(stages=stages[:-1]).fit(weighted)

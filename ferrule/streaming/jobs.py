@@ -82,14 +82,18 @@ def run_scoring(spark: SparkSession, sf_dir: str, out: str | None = None,
     state: dict[str, str | None] = {"last": _latest_version(spark, hist)}
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{preds}/epoch={epoch_id}")
-        merged = batch.select(S.UID, S.TS, "p", "machine_failure_pred", "most_likely_type")
-        prev = state["last"]
-        if prev is not None and prev != f"{hist}/v{epoch_id + 1}":
-            merged = spark.read.parquet(prev).unionByName(merged)
-        nxt = f"{hist}/v{epoch_id + 1}"
-        SU.last_n(merged, keep).write.mode("overwrite").parquet(nxt)
-        state["last"] = nxt
+        batch = batch.persist()  # written twice: scored once per micro-batch
+        try:
+            batch.write.mode("overwrite").parquet(f"{preds}/epoch={epoch_id}")
+            merged = batch.select(S.UID, S.TS, "p", "machine_failure_pred", "most_likely_type")
+            prev = state["last"]
+            if prev is not None and prev != f"{hist}/v{epoch_id + 1}":
+                merged = spark.read.parquet(prev).unionByName(merged)
+            nxt = f"{hist}/v{epoch_id + 1}"
+            SU.last_n(merged, keep).write.mode("overwrite").parquet(nxt)
+            state["last"] = nxt
+        finally:
+            batch.unpersist()
 
     q = (
         scored_stream(events_stream(spark, sf_dir))
