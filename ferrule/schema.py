@@ -66,7 +66,7 @@ BATCH_REQUEST_SCHEMA = T.StructType(
 )
 
 # --- fixed values that must equal the reference's -------------------------
-# Column names of the AI4I data set and of the scoring API, mapped to ours.
+# Column names of the public sensor data set and of the scoring API, mapped to ours.
 DATASET_NAMES = {
     "UID": UID,
     "Product ID": "product_id",

@@ -17,7 +17,7 @@ from ferrule.operators import quality
 
 def read_sensor_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                     dataset_names: bool = True) -> DataFrame:
-    """Header CSV with the AI4I column names (or ours), typed, FAILFAST."""
+    """Header CSV with the data set's column names (or ours), typed, FAILFAST."""
     if schema is None and dataset_names:
         # the data set's own header names, typed like SENSOR_SCHEMA
         back = {v: k for k, v in S.DATASET_NAMES.items() if v in S.SENSOR_SCHEMA.fieldNames()}
