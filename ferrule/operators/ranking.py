@@ -75,11 +75,26 @@ def ordered_prefix(
     src = df.filter(F.col(order_col).isNotNull()).select(
         *gs, F.col(order_col).cast("double").alias("_v"), *[c.alias(k) for k, c in sums.items()]
     )
-    bucketed = _bucketize(src, "_v", "_b", buckets)
     keys = list(sums)
+    v_order = F.desc("_v") if descending else F.asc("_v")
+    if buckets <= 1:
+        # one input task: one range; plain windows, no offsets to join
+        grouped = src.groupBy(*gs, "_v").agg(*[F.sum(k).alias(k) for k in keys])
+        part = [F.col(g) for g in gs] or [F.lit(0)]
+        ordered = Window.partitionBy(*part).orderBy(v_order)
+        running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*part)
+        return grouped.select(
+            *gs,
+            F.col("_v").alias(order_col),
+            *[F.col(k) for k in keys],
+            *[F.sum(k).over(running).alias(f"cum_{k}") for k in keys],
+            *[F.lead(k).over(ordered).alias(f"next_{k}") for k in keys],
+            *[F.sum(k).over(whole).alias(f"total_{k}") for k in keys],
+        )
+    bucketed = _bucketize(src, "_v", "_b", buckets)
     grouped = bucketed.groupBy(*gs, "_b", "_v").agg(*[F.sum(k).alias(k) for k in keys])
 
-    v_order = F.desc("_v") if descending else F.asc("_v")
     b_order = F.desc("_b") if descending else F.asc("_b")
     # per-range totals and the first value's sums of each range (<= buckets rows)
     first = F.max_by if descending else F.min_by

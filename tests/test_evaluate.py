@@ -125,3 +125,14 @@ def test_best_model_tie_first_wins(spark):
     m = spark.createDataFrame([("a", 0.5), ("b", 0.7), ("c", 0.7)], "model string, accuracy double")
     best = EV.best_model(m, {"a": 0, "b": 1, "c": 2}).filter("is_best_accuracy = 1").first()
     assert best["model"] == "b"
+
+
+@pytest.mark.parametrize("buckets", [1, 8])
+def test_metric_plans_have_no_cross_join_or_python(spark, buckets):
+    rows = [(i, i % 2, i % 3 == 0, (i % 17) / 17.0) for i in range(200)]
+    df = EV.literal_predictions(spark, [(a, b, int(c), d) for a, b, c, d in rows]).repartition(4)
+    for out in (EV.roc_auc(df, buckets=buckets), EV.roc_curve(df, buckets=buckets),
+                EV.average_precision(df, buckets=buckets)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+        assert "EvalPython" not in plan
