@@ -165,9 +165,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def fit(name: str, train: DataFrame, opts: TrainOptions | None = None) -> PipelineModel:
-    """Fit the preparation stages once, persist the prepared (label, weights,
-    features) rows for the iterative classifier, and return the whole
-    pipeline (preparation + classifier) as one PipelineModel."""
+    """Fit the preparation stages once, hand the prepared (label, weights,
+    features) rows to the classifier (persisted for the iterative linear
+    models), and return the whole pipeline as one PipelineModel."""
     opts = opts or TrainOptions()
     # tree ensembles checkpoint node ids / predictions into the shared folder
     ensure_checkpoint_dir(train.sparkSession)
@@ -176,7 +176,10 @@ def fit(name: str, train: DataFrame, opts: TrainOptions | None = None) -> Pipeli
     prep_model = Pipeline(stages=stages[:-1]).fit(weighted)
     prepared = prep_model.transform(weighted).select(opts.label, "w_balanced", "w_positive", "features")
     if name in TREE_MODELS:
-        prepared = spread(prepared)
+        # the tree learners persist their own binned copy of the input;
+        # a second cached copy would only double the storage
+        return PipelineModel(stages=[*prep_model.stages, stages[-1].fit(spread(prepared))])
+    # linear models / MLP cache their input only when it is not cached yet
     prepared = prepared.persist()
     try:
         clf_model = stages[-1].fit(prepared)
