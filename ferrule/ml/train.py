@@ -77,11 +77,37 @@ def base_stages(opts: TrainOptions) -> list:
 
 def with_weights(df: DataFrame, opts: TrainOptions) -> DataFrame:
     """M1/M2 weight columns (literal map from k class counts; no join)."""
-    return df.select(
+    return weights_and_rows(df, opts)[0]
+
+
+def weights_and_rows(df: DataFrame, opts: TrainOptions) -> tuple[DataFrame, int]:
+    """``with_weights`` plus the row count, both from one k-row aggregate."""
+    counts = prep.class_counts(df, opts.label)
+    n, k = sum(counts.values()), len(counts)
+    w = F.create_map(*[x for c, cnt in counts.items() for x in (F.lit(c), F.lit(n / (k * cnt)))])
+    out = df.select(
         "*",
-        prep.balanced_weight(df, opts.label).alias("w_balanced"),
+        w[F.col(opts.label)].alias("w_balanced"),
         prep.positive_weight(opts.label, opts.gbt.get("scale_pos_weight", 1.0)).alias("w_positive"),
     )
+    return out, n
+
+
+ROWS_PER_PARTITION = 1_000_000
+
+
+def right_size(df: DataFrame, n_rows: int, iterative_linear: bool) -> DataFrame:
+    """Partition count for an iterative fit, from the row count.
+
+    Linear models / MLP run one small job per iteration: every extra task is
+    pure overhead, so the input is coalesced (no shuffle) to about one
+    partition per million rows.  Tree ensembles do heavy work per pass
+    (rows x trees): a tiny input is spread over the cores once.  Large
+    inputs keep their partitioning either way."""
+    if iterative_linear:
+        target = max(1, -(-n_rows // ROWS_PER_PARTITION))
+        return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
+    return spread(df)
 
 
 def _depth(d) -> int:
@@ -135,9 +161,13 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
     raise ValueError(f"unknown model {name}")
 
 
-def build(name: str, opts: TrainOptions, train: DataFrame, n_features: int | None = None) -> Pipeline:
+def build(name: str, opts: TrainOptions, train: DataFrame, n_features: int | None = None,
+          n_rows: int | None = None) -> Pipeline:
     stages = base_stages(opts)
-    sum_w = float(train.count()) if name in ("logistic_regression", "svm") else None
+    sum_w = None
+    if name in ("logistic_regression", "svm"):
+        # balanced weights sum to n: sum_w = n
+        sum_w = float(n_rows if n_rows is not None else train.count())
     if name == "svm" and opts.svm.get("kernel") == "poly":
         stages[-1].setOutputCol("features_lin")
         stages.append(PolynomialExpansion(inputCol="features_lin", outputCol="features", degree=3))
@@ -171,16 +201,16 @@ def fit(name: str, train: DataFrame, opts: TrainOptions | None = None) -> Pipeli
     opts = opts or TrainOptions()
     # tree ensembles checkpoint node ids / predictions into the shared folder
     ensure_checkpoint_dir(train.sparkSession)
-    weighted = with_weights(train, opts)
-    stages = build(name, opts, weighted, n_model_features(opts)).getStages()
+    weighted, n_rows = weights_and_rows(train, opts)
+    stages = build(name, opts, weighted, n_model_features(opts), n_rows).getStages()
     prep_model = Pipeline(stages=stages[:-1]).fit(weighted)
     prepared = prep_model.transform(weighted).select(opts.label, "w_balanced", "w_positive", "features")
     if name in TREE_MODELS:
         # the tree learners persist their own binned copy of the input;
         # a second cached copy would only double the storage
-        return PipelineModel(stages=[*prep_model.stages, stages[-1].fit(spread(prepared))])
+        return PipelineModel(stages=[*prep_model.stages, stages[-1].fit(right_size(prepared, n_rows, False))])
     # linear models / MLP cache their input only when it is not cached yet
-    prepared = prepared.persist()
+    prepared = right_size(prepared, n_rows, True).persist()
     try:
         clf_model = stages[-1].fit(prepared)
     finally:
@@ -303,11 +333,12 @@ def tune(name: str, train: DataFrame, opts: TrainOptions | None = None, parallel
     pipelines likewise hold no fitted scaler).  Returns (best PipelineModel,
     best settings without prefixes, [(param map, mean metric)])."""
     opts = opts or TrainOptions()
-    weighted = with_weights(prep.stratified_folds(train, opts.label, opts.cv, seed=opts.seed), opts)
+    weighted, n_rows = weights_and_rows(prep.stratified_folds(train, opts.label, opts.cv, seed=opts.seed), opts)
     prep_model = Pipeline(stages=base_stages(opts)).fit(weighted)
     prepared = prep_model.transform(weighted).select(
         opts.label, "w_balanced", "w_positive", "fold", "features"
-    ).persist()
+    )
+    prepared = right_size(prepared, n_rows, name not in TREE_MODELS).persist()
     try:
         n = float(prepared.count())
         clf = make_classifier(name, opts, n, n_model_features(opts))
