@@ -94,6 +94,7 @@ def weights_and_rows(df: DataFrame, opts: TrainOptions) -> tuple[DataFrame, int]
 
 
 ROWS_PER_PARTITION = 1_000_000
+CACHE_ROWS = 50_000_000
 
 
 def right_size(df: DataFrame, n_rows: int, iterative_linear: bool) -> DataFrame:
@@ -206,11 +207,16 @@ def fit(name: str, train: DataFrame, opts: TrainOptions | None = None) -> Pipeli
     prep_model = Pipeline(stages=stages[:-1]).fit(weighted)
     prepared = prep_model.transform(weighted).select(opts.label, "w_balanced", "w_positive", "features")
     if name in TREE_MODELS:
-        # the tree learners persist their own binned copy of the input;
-        # a second cached copy would only double the storage
-        return PipelineModel(stages=[*prep_model.stages, stages[-1].fit(right_size(prepared, n_rows, False))])
-    # linear models / MLP cache their input only when it is not cached yet
-    prepared = right_size(prepared, n_rows, True).persist()
+        data = right_size(prepared, n_rows, False)
+        # the tree learners persist their own binned copy of the input; a
+        # cached prepared copy saves re-running the preparation on the few
+        # passes before that, but above CACHE_ROWS it would double storage
+        if n_rows > CACHE_ROWS:
+            return PipelineModel(stages=[*prep_model.stages, stages[-1].fit(data)])
+        prepared = data.persist()
+    else:
+        # linear models / MLP cache their input only when it is not cached yet
+        prepared = right_size(prepared, n_rows, True).persist()
     try:
         clf_model = stages[-1].fit(prepared)
     finally:
