@@ -42,3 +42,14 @@ def test_results_do_not_depend_on_session_zone(spark):
             assert sorted(map(tuple, q[n](spark, SF).collect())) == base[n], n
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_restart_resumes_without_duplicates(spark, tmp_path):
+    out = str(tmp_path / "job")
+    preds1, hist1 = jobs.run_scoring(spark, SF, out=out)
+    n1 = spark.read.parquet(preds1).count()
+    # same checkpoint: nothing new to process, nothing written twice
+    preds2, hist2 = jobs.run_scoring(spark, SF, out=out)
+    assert spark.read.parquet(preds2).count() == n1 == machine_readings(spark, SF).count()
+    assert hist2 == hist1
+    assert spark.read.parquet(hist2).count() == min(1000, n1)
