@@ -157,7 +157,7 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
         return MultilayerPerceptronClassifier(
             labelCol=label, featuresCol="features",
             layers=[n_features, *c["architecture"], max(n_classes, 2)],
-            maxIter=int(c["epochs"]) * 2, blockSize=128, seed=opts.seed,
+            maxIter=int(c["epochs"]), blockSize=128, seed=opts.seed,
         )
     raise ValueError(f"unknown model {name}")
 

@@ -4,7 +4,6 @@ invariants (better than the majority rate, save/load equality)."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +72,7 @@ def mlp_scores(spark, sf_dir):
     k = prep.n_classes(df, "label")
     opts = TR.TrainOptions()
     mlp = MultilayerPerceptronClassifier(
-        layers=[64, *opts.mlp["architecture"], k], maxIter=opts.mlp["epochs"] * 2, seed=opts.seed,
+        layers=[64, *opts.mlp["architecture"], k], maxIter=opts.mlp["epochs"], seed=opts.seed,
     )
     model = mlp.fit(df.filter(F.col("split") == "train"))
     scored = model.transform(df.filter(F.col("split") == "test"))
