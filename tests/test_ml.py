@@ -78,3 +78,11 @@ def test_class_probabilities_and_selection(spark, split):
     assert len(top) == 5 and len(set(top)) == 5
     kept = SEL.recursive_elimination(prepared, "machine_failure", n=15, step=2)
     assert len(kept) == 15
+
+
+def test_train_all_with_search(spark, split):
+    train, test = split
+    opts = TR.TrainOptions(enabled=("logistic_regression",), tune=True, tune_method="random", n_iter=2, cv=2)
+    models, ranked = TR.train_all(train, test, opts)
+    assert set(models) == {"logistic_regression"}
+    assert ranked.count() == 1
