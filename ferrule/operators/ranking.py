@@ -217,7 +217,6 @@ def rank_within_groups(
     hash_col: str,
     tie_col: str,
     bucket_expr: Column,
-    max_groups: int = 64,
 ) -> DataFrame:
     """Exact 1-based rank of each row inside its group, ordered by
     (``hash_col``, ``tie_col``), without a window over a whole group.

@@ -9,7 +9,7 @@ from ferrule import schema as S
 from ferrule.functions import features as FE
 from ferrule.functions import rules
 from ferrule.operators import quality
-from ferrule.plans.sqltext import FLAGS_SQL, POWER_SQL, RAW_CTE, with_base
+from ferrule.plans.sqltext import POWER_SQL, RAW_CTE, with_base
 from ferrule.sources.readings import machine_readings, raw_readings
 
 
