@@ -83,9 +83,7 @@ def _hex_digits(df: DataFrame) -> int:
 
 def _class_rank(df: DataFrame, label: str, key: str, seed: int, hex_digits: int | None) -> DataFrame:
     hex_digits = hex_digits or _hex_digits(df)
-    n_classes = df.select(label).distinct().count()
-    if n_classes * (16 ** hex_digits) > ranking.MAX_BROADCAST_BUCKETS * 16:
-        raise ValueError("too many classes x buckets for the broadcast offsets")
+    # the class x range count table is size-checked inside rank_within_groups
     h = df.withColumn("_h", key_hash(key, seed))
     bucket = F.conv(F.substring(F.col("_h"), 1, hex_digits), 16, 10).cast("int")
     return ranking.rank_within_groups(h, label, "_h", key, bucket)

@@ -217,6 +217,7 @@ def rank_within_groups(
     hash_col: str,
     tie_col: str,
     bucket_expr: Column,
+    max_cells: int = MAX_BROADCAST_BUCKETS * 16,
 ) -> DataFrame:
     """Exact 1-based rank of each row inside its group, ordered by
     (``hash_col``, ``tie_col``), without a window over a whole group.
@@ -228,7 +229,12 @@ def rank_within_groups(
     thereby spread over all buckets.  Adds ``group_rank`` and ``group_size``.
     """
     b = df.select("*", bucket_expr.alias("_rb"))
-    counts = b.groupBy(group_col, "_rb").agg(F.count(F.lit(1)).alias("_rc"))
+    # the (group, range) count table is small; computed once, its size is
+    # checked before it is broadcast, and the cached copy feeds the join
+    counts = b.groupBy(group_col, "_rb").agg(F.count(F.lit(1)).alias("_rc")).persist()
+    if counts.count() > max_cells:
+        counts.unpersist()
+        raise ValueError("too many groups x ranges to broadcast the rank offsets")
     before = Window.partitionBy(group_col).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(group_col)
     offsets = counts.select(
