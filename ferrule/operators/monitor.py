@@ -127,11 +127,12 @@ def performance_alert(scored: DataFrame, ts_col: str = S.TS, base_days: int = 7,
     """Daily accuracy against the accuracy of the first ``base_days``
     days; alert when it falls by more than ``alert_drop`` (relative)."""
     day = F.to_date(F.col(ts_col).cast("timestamp_ntz"))
+    # one row per day: small; cached so the two statistics and the result
+    # read it instead of re-scanning the scored rows
     daily = scored.groupBy(day.alias("d")).agg(
         F.count(F.lit(1)).alias("n_readings"),
         F.sum((F.col("y") == F.col("pred")).cast("int")).alias("n_correct"),
-    )
-    # at most one row per day: small
+    ).persist()
     first_day = daily.agg(F.min("d")).first()[0]
     if first_day is None:
         return daily.select(F.lit(None).cast("string").alias("day"))
