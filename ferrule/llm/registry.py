@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "op2_bitpack",
+    "op4_embedding_dedup",
     "op9_bpe",
 ]
 
