@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "op2_bitpack",
     "op4_embedding_dedup",
+    "op6_ann",
     "op9_bpe",
 ]
 
