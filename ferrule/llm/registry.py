@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
+    "op1_ngram_join",
     "op2_bitpack",
     "op4_embedding_dedup",
     "op6_ann",
