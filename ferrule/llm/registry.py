@@ -8,6 +8,7 @@ MODULES = [
     "op1_ngram_join",
     "op2_bitpack",
     "op4_embedding_dedup",
+    "op5_quality",
     "op6_ann",
     "op9_bpe",
 ]
