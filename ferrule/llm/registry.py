@@ -10,6 +10,7 @@ MODULES = [
     "op4_embedding_dedup",
     "op5_quality",
     "op6_ann",
+    "op7_toxicity",
     "op9_bpe",
 ]
 
