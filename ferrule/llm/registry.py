@@ -11,6 +11,7 @@ MODULES = [
     "op5_quality",
     "op6_ann",
     "op7_toxicity",
+    "op8_mixing",
     "op9_bpe",
 ]
 
