@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ferrule.session import scratch_path
 
@@ -42,6 +43,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+PREFILTER_BITS = 1 << 24
+
+
+def prefilter(df: DataFrame, id_col: str, ids: DataFrame, bits: int = PREFILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: the rows whose id may be among ``ids`` (a long
+    column of the same name), and the rest, surely not among them (nulls too).
+    The ids are hashed into a bit table of ``bits`` bits; that table alone is
+    broadcast, at most bits / 64 rows, so a join with ``ids`` that follows
+    shuffles little more than the rows it is about."""
+    place = F.pmod(F.xxhash64(id_col), F.lit(bits))
+    table = (
+        ids.select(place.alias("_h")).groupBy(F.shiftright("_h", 6).alias("_w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_bits"))
+    )
+    table = F.broadcast(written(table, "prefilter"))
+    hashed = df.withColumn("_h", F.when(F.col(id_col).isNotNull(), place))
+    cond = (F.shiftright(hashed["_h"], 6) == table["_w"]) & (
+        F.expr("shiftright(_bits, cast(_h % 64 as int)) & 1") == 1)
+    return hashed.join(table, cond, "left_semi").drop("_h"), hashed.join(table, cond, "left_anti").drop("_h")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Splitmix finaliser: spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * _M1

@@ -245,7 +245,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     family = C.written(components(_families(reps, trees, depth, short, gate)), "op1-families")
     members = family.select("id", F.col("component").alias("family")).union(
         family.select(F.col("component").alias("id"), F.col("component").alias("family")).distinct())
-    texts = docs.join(members, "id")
+    maybe, _ = C.prefilter(docs, "id", members.select("id"))
+    texts = maybe.join(members, "id")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("_m"))
     found = C.written(_verified(shingle_sets(texts, "family"), classes.select("id", "weight"), sizes, threshold), "op1-links")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -13,6 +13,7 @@ MODULES = [
     "op7_toxicity",
     "op8_mixing",
     "op9_bpe",
+    "op10_substring_dedup",
 ]
 
 
