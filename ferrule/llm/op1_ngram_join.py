@@ -238,15 +238,16 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     """See the module's text for the columns."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = C.written(signed(docs.filter("id is not null"), trees, depth, seed), "op1-signatures")
-    classes = C.written(sig.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "op1-classes")
-    reps = sig.join(classes.select("digest", "id"), ["digest", "id"], "left_semi").dropDuplicates(["digest"])
-    reps = C.written(reps.select("id", "sig"), "op1-reps")
+    classes = C.written(
+        sig.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("sig").alias("sig")), "op1-classes")
+    reps = classes.select("id", "sig")
+    classes = classes.drop("sig")
     short = shortened(trees, depth, threshold, recall)
     family = C.written(components(_families(reps, trees, depth, short, gate)), "op1-families")
     members = family.select("id", F.col("component").alias("family")).union(
         family.select(F.col("component").alias("id"), F.col("component").alias("family")).distinct())
     maybe, _ = C.prefilter(docs, "id", members.select("id"))
-    texts = maybe.join(members, "id")
+    texts = maybe.hint("merge").join(members, "id")  # one plan at every size
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("_m"))
     found = C.written(_verified(shingle_sets(texts, "family"), classes.select("id", "weight"), sizes, threshold), "op1-links")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
