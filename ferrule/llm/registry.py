@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "op1_ngram_join",
     "op2_bitpack",
+    "op3_chat",
     "op4_embedding_dedup",
     "op5_quality",
     "op6_ann",
