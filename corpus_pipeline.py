@@ -50,12 +50,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    keyed = C.written(docs.withColumn("_key", F.monotonically_increasing_id()), "pipeline-keyed")
-    rows = keyed.select(F.col("_key").alias("key"), F.col("doc_id").alias("id"), "source", mixing.word_count("text").alias("size"))
+    keyed = C.written(docs.withColumn("_mix_key", F.monotonically_increasing_id()), "pipeline-keyed")
+    rows = keyed.select(F.col("_mix_key").alias("key"), F.col("doc_id").alias("id"), "source", mixing.word_count("text").alias("size"))
     chosen, _ = mixing.mix_rows(C.written(rows, "pipeline-sizes"))
-    times = chosen.filter("copies > 0").select(F.col("key").alias("_key"), "copies")
+    times = chosen.filter("copies > 0").select(F.col("key").alias("_mix_key"), F.col("copies").alias("_mix_copies"))
     return (
-        keyed.join(times, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        keyed.join(times, "_mix_key").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
         .select(*docs.columns)
     )
 

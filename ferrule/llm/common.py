@@ -54,14 +54,14 @@ def prefilter(df: DataFrame, id_col: str, ids: DataFrame, bits: int = PREFILTER_
     shuffles little more than the rows it is about."""
     place = F.pmod(F.xxhash64(id_col), F.lit(bits))
     table = (
-        ids.select(place.alias("_h")).groupBy(F.shiftright("_h", 6).alias("_w"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_bits"))
+        ids.select(place.alias("_prefilter_h")).groupBy(F.shiftright("_prefilter_h", 6).alias("_prefilter_w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(_prefilter_h % 64 as int)))").alias("_prefilter_bits"))
     )
     table = F.broadcast(written(table, "prefilter"))
-    hashed = df.withColumn("_h", F.when(F.col(id_col).isNotNull(), place))
-    cond = (F.shiftright(hashed["_h"], 6) == table["_w"]) & (
-        F.expr("shiftright(_bits, cast(_h % 64 as int)) & 1") == 1)
-    return hashed.join(table, cond, "left_semi").drop("_h"), hashed.join(table, cond, "left_anti").drop("_h")
+    hashed = df.withColumn("_prefilter_h", F.when(F.col(id_col).isNotNull(), place))
+    cond = (F.shiftright(hashed["_prefilter_h"], 6) == table["_prefilter_w"]) & (
+        F.expr("shiftright(_prefilter_bits, cast(_prefilter_h % 64 as int)) & 1") == 1)
+    return hashed.join(table, cond, "left_semi").drop("_prefilter_h"), hashed.join(table, cond, "left_anti").drop("_prefilter_h")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

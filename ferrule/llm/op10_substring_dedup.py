@@ -221,7 +221,7 @@ def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` (all its columns) without the removed spans; what is left of a
     text is joined as it stands, and n_chars, if there, is its new length."""
     cuts = C.written(
-        spans.filter("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts")), "op10-cuts")
+        spans.filter("removed").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_removed_spans")), "op10-cuts")
     names = docs.columns
     at = names.index("text")
     some, rest = C.prefilter(docs, "doc_id", cuts.select("doc_id"))
@@ -238,7 +238,7 @@ def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    done = some.join(cuts, "doc_id", "left").select(*names, "_cuts").mapInArrow(run, T.StructType(docs.schema.fields))
+    done = some.join(cuts, "doc_id", "left").select(*names, "_removed_spans").mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*names).unionByName(rest.select(*names))

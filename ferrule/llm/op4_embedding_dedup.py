@@ -19,7 +19,8 @@ comparisons, since each member's links are counted; they are dealt over cells.
 Edge cases: null, empty or zero vectors and those with null or non-finite
 components link with nothing (0 links, their own component, kept).  Vectors of
 different length are not compared.  Repeated ids: one row each, with the links
-of their vectors; a null id keeps its row, with null component and kept.
+of their vectors; a row of null id links with nothing (0 links, null component,
+kept).
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """One row per input row: id_col, n_links, component_id, kept."""
     rows = df.select(
         F.col(id_col).cast("long").alias("id"),
-        F.when(usable(vector_col), F.transform(vector_col, lambda x: x.cast("double"))).alias("v"),
+        F.when(usable(vector_col) & F.col(id_col).isNotNull(), F.transform(vector_col, lambda x: x.cast("double"))).alias("v"),
     )
     # classes of equal vectors: a digest of the components is the key
     keyed = C.written(
@@ -112,8 +113,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     # one row of each class (rows of equal id and vector are one row here too)
     reps = C.written(
-        keyed.filter("key is not null").join(sizes, "key").filter(F.col("id").eqNullSafe(F.col("rep")))
-        .select("key", F.coalesce("rep", F.lit(-1)).alias("rep"), "weight", "v")
+        keyed.filter("key is not null").join(sizes, "key").filter(F.col("id") == F.col("rep"))
+        .select("key", "rep", "weight", "v")
         .groupBy("key").agg(F.first("rep").alias("rep"), F.first("weight").alias("weight"), F.first("v").alias("v")),
         "op4-classes",
     )
@@ -182,7 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         F.col("id").alias(id_col),
         F.coalesce(F.col("weight") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
-        (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
+        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
     )
 
 
