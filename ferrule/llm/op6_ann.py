@@ -74,9 +74,10 @@ def estimates(query: np.ndarray, codes: dict[str, np.ndarray], centre: np.ndarra
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of matching rows, summed in component order."""
-    total = np.zeros(len(a))
-    for d in range(a.shape[1]):
+    """Inner products of matching rows (``a``: one row, or as many), summed in
+    component order."""
+    total = np.zeros(len(b))
+    for d in range(b.shape[1]):
         total += a[:, d] * b[:, d]
     return total
 
@@ -84,26 +85,33 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search_block(qid, query, rid, rows, codes, centre, k: int, epsilon: float):
     """(query position, row position, score) of the k best rows of each query."""
     out = []
+    single = rows.astype(np.float32)
+    # room for the rounding of a single-precision inner product
+    slack = 1e-5 * float(np.sqrt((rows * rows).sum(axis=1).max(initial=0)))
     for s in range(0, len(query), ROWS_PER_STEP):
         part = query[s : s + ROWS_PER_STEP]
         guess, bound = estimates(part, codes, centre, epsilon)
         own = qid[s : s + ROWS_PER_STEP, None] == rid[None, :]
         guess[own] = -np.inf
-        if guess.shape[1] > k:
-            first = np.argpartition(-guess, k - 1, axis=1)[:, :k]
-        else:
-            first = np.tile(np.arange(guess.shape[1]), (len(part), 1))
-        i = np.repeat(np.arange(len(part)), first.shape[1])
-        j = first.ravel()
-        score = np.where(own[i, j], -np.inf, exact(part[i], rows[j])).reshape(first.shape)
-        least = score.min(axis=1) if first.shape[1] == k else np.full(len(part), -np.inf)
-        i, j = np.nonzero((guess + bound >= least[:, None]) & ~own)
-        score = exact(part[i], rows[j])
-        order = np.lexsort((rid[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        rank = C.ramp(np.bincount(i, minlength=len(part)))
-        keep = rank < k
-        out.append((i[keep] + s, j[keep], score[keep]))
+        reach = guess + bound
+        for i, q in enumerate(part):
+            # the best by estimate give a k-th best score to reach
+            most = min(k, len(rid) - int(own[i].sum()))
+            if not most:
+                continue
+            first = np.argpartition(-guess[i], most - 1)[:most]
+            room = slack * float(np.sqrt(q @ q))
+            least = float((rows[first] @ q).min()) - room if most == k else -np.inf
+            j = np.flatnonzero(reach[i] >= least)
+            if len(j) > k:
+                close = single[j] @ q.astype(np.float32)
+                least = np.partition(close, len(j) - k)[len(j) - k]
+                j = j[close >= least - 2 * room]
+            score = exact(q[None, :], rows[j])
+            order = np.lexsort((rid[j], -score))[:k]
+            out.append((np.full(len(order), s + i), j[order], score[order]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return [np.concatenate(x) for x in zip(*out)]
 
 
