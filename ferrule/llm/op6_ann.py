@@ -102,7 +102,7 @@ def search_block(qid, query, rid, rows, codes, centre, k: int, epsilon: float):
             first = np.argpartition(-guess[i], most - 1)[:most]
             room = slack * float(np.sqrt(q @ q))
             least = float((rows[first] @ q).min()) - room if most == k else -np.inf
-            j = np.flatnonzero(reach[i] >= least)
+            j = np.flatnonzero((reach[i] >= least) & ~own[i])
             if len(j) > k:
                 close = single[j] @ q.astype(np.float32)
                 least = np.partition(close, len(j) - k)[len(j) - k]
