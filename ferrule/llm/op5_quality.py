@@ -162,9 +162,12 @@ def fold(id_col: str, mod: int) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, y of the documents that have a label."""
-    y = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    return docs.select("doc_id", "text").join(y, "doc_id")
+    """doc_id, text, y of the documents that have a label.  A bit table of the
+    labels' ids keeps the other texts out of the shuffle; the join is the same
+    at every size."""
+    y = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    maybe, _ = C.prefilter(docs.select("doc_id", "text"), "doc_id", y.select("doc_id"))
+    return maybe.hint("merge").join(y, "doc_id")
 
 
 def _ratio_counts(rows: DataFrame, bins: int) -> np.ndarray:
