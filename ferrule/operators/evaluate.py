@@ -8,84 +8,71 @@ transformed once; callers may ``persist`` it and run many metrics from it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.operators import ranking
 
-MAX_CLASSES = 1000
-
-
-def _labels(df: DataFrame, y: str, pred: str, labels: list[int] | None) -> list[int]:
-    if labels is not None:
-        return list(labels)
-    row = df.agg(F.array_union(F.collect_set(y), F.collect_set(pred)).alias("l")).first()
-    found = sorted(int(v) for v in row["l"] if v is not None)
-    if len(found) > MAX_CLASSES:
-        raise ValueError("too many classes for a confusion grid")
-    return found
-
-
-MAX_ONE_PASS_CLASSES = 32
-
-
-def _cell_sums(df: DataFrame, y: str, pred: str, labs: list[int], gs: list[str]) -> DataFrame:
-    """One aggregate with a conditional count per (true, predicted) pair:
-    a single pass with map-side partial aggregation and no join."""
+def class_pairs(df: DataFrame, y: str = "y", pred: str = "pred", groups: list[str] | None = None) -> DataFrame:
+    """(groups, true_label, predicted_label, count) of the pairs that occur:
+    one aggregate with map-side partial sums, whatever the number of classes.
+    Rows without a true or a predicted label are not counted."""
+    gs = list(groups or [])
     yc, pc = F.col(y).cast("int"), F.col(pred).cast("int")
-    sums = [
-        F.count(F.when((yc == a) & (pc == b), F.lit(1))).alias(f"c_{i}_{j}")
-        for i, a in enumerate(labs) for j, b in enumerate(labs)
-    ]
-    return df.groupBy(*gs).agg(*sums) if gs else df.agg(*sums)
+    return df.filter(yc.isNotNull() & pc.isNotNull()).groupBy(
+        *gs, yc.alias("true_label"), pc.alias("predicted_label")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _class_list(pairs: DataFrame, labels: list[int] | None, gs: list[str]) -> DataFrame:
+    """(groups, label): the given labels, and every label that occurs."""
+    both = F.explode(F.array("true_label", "predicted_label")).alias("label")
+    found = pairs.select(*gs, both).distinct()
+    if labels:
+        given = F.explode(F.array(*[F.lit(int(v)) for v in labels])).alias("label")
+        base = pairs.select(*gs).distinct() if gs else pairs.sparkSession.range(1)
+        found = found.unionByName(base.select(*gs, given)).distinct()
+    return found
 
 
 def confusion_cells(df: DataFrame, y: str = "y", pred: str = "pred", labels: list[int] | None = None,
                     groups: list[str] | None = None) -> DataFrame:
-    """(true_label, predicted_label, count) for every label pair, zeros
-    included.  Up to 32 labels: one conditional aggregate, unpivoted; more
-    labels: a groupBy right-joined to the literal label grid."""
+    """(true_label, predicted_label, count) for every pair of classes,
+    zeros included.  ``labels`` adds classes that need not occur."""
     gs = list(groups or [])
-    labs = _labels(df, y, pred, labels)
-    if len(labs) <= MAX_ONE_PASS_CLASSES:
-        wide = _cell_sums(df, y, pred, labs, gs)
-        pairs = ", ".join(f"{a}, {b}, c_{i}_{j}" for i, a in enumerate(labs) for j, b in enumerate(labs))
-        return wide.select(*gs, F.expr(
-            f"stack({len(labs) ** 2}, {pairs}) AS (true_label, predicted_label, count)"
-        )).select(*gs, F.col("true_label").cast("int").alias("true_label"),
-                  F.col("predicted_label").cast("int").alias("predicted_label"),
-                  F.col("count").cast("long").alias("count"))
-    counts = df.groupBy(*gs, F.col(y).cast("int").alias("true_label"),
-                        F.col(pred).cast("int").alias("predicted_label")).agg(F.count(F.lit(1)).alias("count"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("q")) for a in labs for b in labs])
-    if gs:
-        keys = counts.select(*gs).distinct()
-        grid = keys.select(*gs, F.explode(pairs).alias("g"))
-    else:
-        grid = df.sparkSession.range(1).select(F.explode(pairs).alias("g"))
-    grid = grid.select(*gs, F.col("g.t").alias("true_label"), F.col("g.q").alias("predicted_label"))
-    return grid.join(counts, [*gs, "true_label", "predicted_label"], "left").select(
-        *gs, "true_label", "predicted_label", F.coalesce("count", F.lit(0)).cast("long").alias("count")
-    )
+    pairs = class_pairs(df, y, pred, gs)
+    classes = _class_list(pairs, labels, gs)
+    # the grid is the result's own size: classes x classes
+    every = classes.groupBy(*gs).agg(F.collect_list("label").alias("_l"))
+    grid = every.select(*gs, "_l", F.explode("_l").alias("true_label")).select(
+        *gs, "true_label", F.explode("_l").alias("predicted_label"))
+    other = pairs.select(*[F.col(c).alias(f"_r_{c}") for c in [*gs, "true_label", "predicted_label"]], "count")
+    cond = (F.col("true_label") == F.col("_r_true_label")) & (F.col("predicted_label") == F.col("_r_predicted_label"))
+    for g in gs:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+    return grid.join(other, cond, "left").select(
+        *gs, "true_label", "predicted_label", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def per_class(df: DataFrame, y: str = "y", pred: str = "pred", labels: list[int] | None = None,
               groups: list[str] | None = None) -> DataFrame:
     """Per label: tp, predicted, support, precision, recall, f1 (zero
-    division -> 0).  Computed from one conditional aggregate (no join)."""
+    division -> 0), for every label that occurs and those in ``labels``; from
+    the pair counts, no join."""
     gs = list(groups or [])
-    labs = _labels(df, y, pred, labels)
-    yc, pc = F.col(y).cast("int"), F.col(pred).cast("int")
-    sums = []
-    for i, a in enumerate(labs):
-        sums += [
-            F.count(F.when((yc == a) & (pc == a), F.lit(1))).alias(f"tp_{i}"),
-            F.count(F.when(pc == a, F.lit(1))).alias(f"pr_{i}"),
-            F.count(F.when(yc == a, F.lit(1))).alias(f"su_{i}"),
-        ]
-    wide = df.groupBy(*gs).agg(*sums) if gs else df.agg(*sums)
-    parts = ", ".join(f"{a}, tp_{i}, pr_{i}, su_{i}" for i, a in enumerate(labs))
-    t = wide.select(*gs, F.expr(f"stack({len(labs)}, {parts}) AS (label, tp, predicted, support)"))
+    pairs = class_pairs(df, y, pred, gs)
+    hit = F.col("true_label") == F.col("predicted_label")
+    # a pair counts once for its true and once for its predicted class
+    sides = F.explode(F.array(
+        F.struct(F.col("true_label").alias("label"), F.when(hit, F.col("count")).otherwise(0).alias("tp"),
+                 F.lit(0).cast("long").alias("predicted"), F.col("count").alias("support")),
+        F.struct(F.col("predicted_label").alias("label"), F.lit(0).cast("long").alias("tp"),
+                 F.col("count").alias("predicted"), F.lit(0).cast("long").alias("support")),
+    )).alias("x")
+    rows = pairs.select(*gs, sides).select(*gs, "x.*")
+    if labels:
+        zeros = _class_list(pairs, labels, gs)
+        rows = rows.unionByName(zeros.select(*gs, "label", *[F.lit(0).cast("long").alias(c) for c in ("tp", "predicted", "support")]))
+    t = rows.groupBy(*gs, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")])
     zero = F.lit(0.0)
     return t.select(
         *gs, F.col("label").cast("int").alias("label"), "tp", "predicted", "support",
@@ -115,15 +102,16 @@ def summary_metrics(df: DataFrame, y: str = "y", pred: str = "pred", labels: lis
 def classification_report(df: DataFrame, y: str = "y", pred: str = "pred", labels: list[int] | None = None,
                           digits: int = 6) -> DataFrame:
     """E5: per-class rows, then accuracy, macro avg, weighted avg; all from
-    one conditional aggregate (the per-class table has k rows)."""
+    the pair counts (the per-class table has k rows)."""
     pc = per_class(df, y, pred, labels)
     r = lambda c: F.round(c, digits)
     n = F.sum("support")
     summary = pc.agg(
-        F.collect_list(F.struct(
-            F.col("label").cast("string").alias("label"), r(F.col("precision")).alias("precision"),
-            r(F.col("recall")).alias("recall"), r(F.col("f1")).alias("f1"),
-            F.col("support").cast("long").alias("support"))).alias("classes"),
+        F.transform(
+            F.sort_array(F.collect_list(F.struct(
+                "label", r(F.col("precision")).alias("precision"), r(F.col("recall")).alias("recall"),
+                r(F.col("f1")).alias("f1"), F.col("support").cast("long").alias("support")))),
+            lambda x: x.withField("label", x["label"].cast("string"))).alias("classes"),
         r(F.sum("tp") / n).alias("acc"),
         r(F.avg("precision")).alias("mp"), r(F.avg("recall")).alias("mr"), r(F.avg("f1")).alias("mf"),
         r(F.sum(F.col("precision") * F.col("support")) / n).alias("wp"),
@@ -144,11 +132,11 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "pred", label
 
 
 def roc_auc(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | None = None,
-            buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
+            ranges: int = ranking.RANGES) -> DataFrame:
     """Exact ROC AUC (mid-ranks for ties) = Mann-Whitney U / (P*N).
     U is a sum of integers and halves, so it is exact in double arithmetic."""
     gs = list(groups or [])
-    pre = ranking.score_prefix(df, score, y, buckets, gs)
+    pre = ranking.score_prefix(df, score, y, ranges, gs)
     u = F.sum(F.col("pos") * (F.col("total_neg") - F.col("cum_neg") + F.col("neg") * 0.5))
     return pre.groupBy(*gs).agg(
         F.try_divide(u, F.first("total_pos") * F.first("total_neg")).alias("roc_auc"),
@@ -158,10 +146,10 @@ def roc_auc(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | N
 
 
 def average_precision(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | None = None,
-                      digits: int = 6, buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
+                      digits: int = 6, ranges: int = ranking.RANGES) -> DataFrame:
     """Sum over thresholds of (R_k - R_{k-1}) * P_k, no interpolation."""
     gs = list(groups or [])
-    pre = ranking.score_prefix(df, score, y, buckets, gs)
+    pre = ranking.score_prefix(df, score, y, ranges, gs)
     term = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return pre.groupBy(*gs).agg(
         F.round(F.try_divide(F.sum(term), F.first("total_pos")), digits).alias("average_precision")
@@ -169,12 +157,12 @@ def average_precision(df: DataFrame, score: str = "p", y: str = "y", groups: lis
 
 
 def roc_curve(df: DataFrame, score: str = "p", y: str = "y", drop_intermediate: bool = True,
-              buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
+              ranges: int = ranking.RANGES) -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, descending, after a
     leading (inf, 0, 0).  Collinear points are dropped: a point stays when the
     second difference of fps or tps is non-zero there, which reduces to the
     next point's (neg, pos) differing from this point's."""
-    pre = ranking.score_prefix(df, score, y, buckets)
+    pre = ranking.score_prefix(df, score, y, ranges)
     first = (F.col("cum_pos") + F.col("cum_neg")) == (F.col("pos") + F.col("neg"))
     last = F.col("next_pos").isNull()
     keep = first | last | (F.col("next_neg") != F.col("neg")) | (F.col("next_pos") != F.col("pos"))
@@ -188,10 +176,10 @@ def roc_curve(df: DataFrame, score: str = "p", y: str = "y", drop_intermediate:
     return origin.unionByName(curve)
 
 
-def pr_curve(df: DataFrame, score: str = "p", y: str = "y", buckets: int | None = ranking.DEFAULT_BUCKETS) -> DataFrame:
+def pr_curve(df: DataFrame, score: str = "p", y: str = "y", ranges: int = ranking.RANGES) -> DataFrame:
     """(threshold, precision, recall) at each distinct score, plus the end
     point precision 1, recall 0 (threshold null)."""
-    pre = ranking.score_prefix(df, score, y, buckets)
+    pre = ranking.score_prefix(df, score, y, ranges)
     curve = pre.select(
         F.col(score).alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
@@ -206,7 +194,7 @@ def model_metrics(df: DataFrame, model_col: str = "model", y: str = "y", pred: s
                   score: str = "p", digits: int = 6) -> DataFrame:
     """E9 input: one row per model with accuracy, weighted P/R/F1 and AUC,
     computed for all models in the same jobs (model is a group key)."""
-    m = summary_metrics(df, y, pred, [0, 1], [model_col], digits)
+    m = summary_metrics(df, y, pred, None, [model_col], digits)
     auc = roc_auc(df, score, y, [model_col]).select(model_col, F.round("roc_auc", digits).alias("roc_auc"))
     return m.join(auc, model_col, "left")
 
@@ -270,14 +258,14 @@ def _stack(columns: list[str], value_type: str) -> Column:
 
 
 def column_kinds(df: DataFrame, columns: list[str], max_categories: int = 10) -> DataFrame:
-    """Distinct count per column and kind (string, or fewer than 10
-    distinct values -> categorical).  One pass: unpivot, distinct
-    (feature, value) pairs with map-side de-duplication, count per feature."""
+    """Distinct count per column (0 if it holds nulls only) and kind
+    (string, or fewer than 10 distinct values -> categorical).  Values are
+    told apart by a 64-bit hash, so no text is shuffled, and repeated values
+    meet in map-side partial aggregates."""
     string_cols = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
-    stacked = df.select(_stack(columns, "STRING"))
-    counts = stacked.filter(F.col("value").isNotNull()).distinct().groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_distinct")
-    )
+    parts = ", ".join(f"'{c}', IF(`{c}` IS NULL, NULL, xxhash64(`{c}`))" for c in columns)
+    stacked = df.select(F.expr(f"stack({len(columns)}, {parts}) AS (feature, value)"))
+    counts = stacked.distinct().groupBy("feature").agg(F.count("value").alias("n_distinct"))
     is_string = F.col("feature").isin(*string_cols) if string_cols else F.lit(False)
     return counts.select(
         "feature", "n_distinct",
@@ -314,8 +302,3 @@ def metrics_long(metrics: DataFrame, model_col: str = "model",
     """Metric rows (model, metric, value) for the JSON report."""
     parts = ", ".join(f"'{n}', CAST({n} AS DOUBLE)" for n in names)
     return metrics.select(model_col, F.expr(f"stack({len(names)}, {parts}) AS (metric, value)"))
-
-
-def literal_predictions(spark: SparkSession, rows: list[tuple[int, int, int, float]]) -> DataFrame:
-    """Helper for tests and examples: (uid, y, pred, p) rows."""
-    return spark.createDataFrame(rows, "uid long, y int, pred int, p double")

@@ -127,24 +127,21 @@ def performance_alert(scored: DataFrame, ts_col: str = S.TS, base_days: int = 7,
     """Daily accuracy against the accuracy of the first ``base_days``
     days; alert when it falls by more than ``alert_drop`` (relative)."""
     day = F.to_date(F.col(ts_col).cast("timestamp_ntz"))
-    # one row per day: small; cached so the two statistics and the result
-    # read it instead of re-scanning the scored rows
     daily = scored.groupBy(day.alias("d")).agg(
         F.count(F.lit(1)).alias("n_readings"),
         F.sum((F.col("y") == F.col("pred")).cast("int")).alias("n_correct"),
-    ).persist()
-    first_day = daily.agg(F.min("d")).first()[0]
-    if first_day is None:
-        return daily.select(F.lit(None).cast("string").alias("day"))
-    is_base = F.col("d") < F.date_add(F.lit(first_day), base_days)
-    base = daily.agg(
-        (F.sum(F.when(is_base, F.col("n_correct"))) / F.sum(F.when(is_base, F.col("n_readings")))).alias("b")
-    ).first()["b"]
+    )
+    # one row per day: the base period is found and summed over those rows
+    everything = Window.partitionBy()
+    dated = daily.withColumn("_first", F.min("d").over(everything))
+    is_base = F.col("d") < F.date_add(F.col("_first"), base_days)
+    total = lambda c: F.sum(F.when(is_base, F.col(c))).over(everything)
     acc = F.col("n_correct") / F.col("n_readings")
-    return daily.select(
+    rated = dated.withColumn("_base", total("n_correct") / total("n_readings"))
+    return rated.select(
         F.date_format("d", "yyyy-MM-dd").alias("day"),
         "n_readings",
         F.round(acc, digits).alias("accuracy"),
-        F.round(F.lit(base), digits).alias("base_accuracy"),
-        (acc < F.lit(base) * (1 - alert_drop)).cast("int").alias("alert"),
+        F.round("_base", digits).alias("base_accuracy"),
+        (acc < F.col("_base") * (1 - alert_drop)).cast("int").alias("alert"),
     )

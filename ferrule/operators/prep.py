@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ferrule import schema as S
 from ferrule.operators import ranking
 
-MAX_CLASSES = 1000
+HEX_DIGITS = 3  # hash ranges per class: 16 ** digits
 
 
 def key_hash(key: str = S.UID, seed: int = 42) -> Column:
@@ -22,33 +22,35 @@ def key_hash(key: str = S.UID, seed: int = 42) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def _cut(fraction: float) -> str:
-    return format(int(fraction * 65536), "04x")
+HASH_RANGE = 1 << 16
 
 
 def hash_split(df: DataFrame, fractions: tuple[float, ...] = (0.7, 0.15, 0.15),
                names: tuple[str, ...] = ("train", "validation", "test"),
                key: str = S.UID, seed: int = 42, out: str = "split") -> DataFrame:
-    """Assign each row to a part by the first 4 hex digits of its hash."""
-    if len(fractions) != len(names) or abs(sum(fractions) - 1.0) > 1e-9:
-        raise ValueError("fractions must match names and sum to 1")
-    prefix = F.substring(key_hash(key, seed), 1, 4)
+    """Assign each row to a part by the first 4 hex digits of its hash,
+    as a number.  A part with share 0 gets no row."""
+    if len(fractions) != len(names) or abs(sum(fractions) - 1.0) > 1e-9 or min(fractions) < 0:
+        raise ValueError("fractions must match names, not be negative and sum to 1")
+    prefix = F.conv(F.substring(key_hash(key, seed), 1, 4), 16, 10).cast("int")
+    last = max(i for i, f in enumerate(fractions) if f > 0)
     acc, expr = 0.0, None
-    for frac, name in list(zip(fractions, names))[:-1]:
+    for frac, name in list(zip(fractions, names))[:last]:
         acc += frac
-        cond = prefix < F.lit(_cut(acc))
+        cond = prefix < F.lit(int(acc * HASH_RANGE))
         expr = (F.when if expr is None else expr.when)(cond, F.lit(name))
-    expr = expr.otherwise(F.lit(names[-1])) if expr is not None else F.lit(names[-1])
+    expr = expr.otherwise(F.lit(names[last])) if expr is not None else F.lit(names[last])
     return df.withColumn(out, expr)
 
 
 def exact_stratified_split(df: DataFrame, label: str, fractions: tuple[float, ...] = (0.7, 0.15, 0.15),
                            names: tuple[str, ...] = ("train", "validation", "test"),
                            key: str = S.UID, seed: int = 42, out: str = "split",
-                           hex_digits: int | None = None) -> DataFrame:
+                           hex_digits: int = HEX_DIGITS) -> DataFrame:
     """T6 exact: inside each class, rows ordered by (hash, key); the first
     floor(f1*n_c) go to the first part, up to floor((f1+f2)*n_c) to the
-    second, the rest to the last.  Class shares are exact."""
+    second, the rest to the last.  Class shares are exact; rows without a
+    label are a class of their own."""
     ranked = _class_rank(df, label, key, seed, hex_digits)
     pct = [int(round(f * 100)) for f in fractions]
     if sum(pct) != 100:
@@ -62,7 +64,7 @@ def exact_stratified_split(df: DataFrame, label: str, fractions: tuple[float, ..
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 3, key: str = S.UID, seed: int = 42,
-                     out: str = "fold", hex_digits: int | None = None) -> DataFrame:
+                     out: str = "fold", hex_digits: int = HEX_DIGITS) -> DataFrame:
     """fold = (rank in class - 1) mod k, so every fold gets an equal
     share (+-1) of every class.  Usable as ``CrossValidator(foldCol=...)``."""
     ranked = _class_rank(df, label, key, seed, hex_digits)
@@ -71,30 +73,15 @@ def stratified_folds(df: DataFrame, label: str, k: int = 3, key: str = S.UID, se
     )
 
 
-def _hex_digits(df: DataFrame) -> int:
-    """Hash-prefix length so that there are about four ranges per input
-    partition (1..4 hex digits = 16..65536 ranges per class)."""
-    n = 4 * max(1, df.rdd.getNumPartitions())
-    d = 1
-    while 16 ** d < n and d < 4:
-        d += 1
-    return d
-
-
-def _class_rank(df: DataFrame, label: str, key: str, seed: int, hex_digits: int | None) -> DataFrame:
-    hex_digits = hex_digits or _hex_digits(df)
-    # the class x range count table is size-checked inside rank_within_groups
+def _class_rank(df: DataFrame, label: str, key: str, seed: int, hex_digits: int) -> DataFrame:
     h = df.withColumn("_h", key_hash(key, seed))
-    bucket = F.conv(F.substring(F.col("_h"), 1, hex_digits), 16, 10).cast("int")
-    return ranking.rank_within_groups(h, label, "_h", key, bucket)
+    part = F.conv(F.substring(F.col("_h"), 1, hex_digits), 16, 10).cast("int")
+    return ranking.rank_within_groups(h, label, "_h", key, part)
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Label -> count, collected from one groupBy (k rows, checked)."""
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes")
-    return {r[label]: r["count"] for r in rows}
+    """Label -> count, one row per class; rows without a label don't count."""
+    return {r[label]: r["count"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
 
 
 def balanced_weight(df: DataFrame, label: str) -> Column:

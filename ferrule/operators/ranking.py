@@ -1,19 +1,19 @@
 """Exact running sums over a global order, without a single-task window.
 
 A global ``ORDER BY`` window pulls every row into one task.  Here the work is
-split in two levels:
+split in two levels, by one plan whatever the size of the input:
 
 1. group by the ordering value (map-side partial aggregation: one row per
    distinct value, so a value held by a third of all rows is one row);
-2. cut the value range into ``buckets`` ranges by approximate quantiles of the
-   input (each range then holds about n/buckets distinct values at most);
-3. per-range totals (at most ``buckets`` rows) get running offsets by a window
-   over that small table, broadcast back (size bounded by ``buckets``);
-4. inside each range a window partitioned by range adds the local running sum.
-
-The result is identical to the global window; every task sees one range.
-Used by the exact ROC/PR/AUC/AP metrics, the exact quantiles and the exact
-per-class ranks of the stratified split and folds.
+2. cut the value range into ``ranges`` ranges at approximate quantiles (a
+   sketch of fixed error; cuts only balance the ranges, the result is exact);
+3. per-range totals (at most ``ranges`` + 1 rows a group) get running offsets;
+4. rows and offsets meet by (group, range), the partitioning that the window
+   inside each range needs anyway.
+
+Every task sees some ranges.  Groups may be null; a null group is a group.
+Used by the exact ROC/PR/AUC/AP metrics, the exact quantiles, dense row numbers
+and the exact per-class ranks of the stratified split and folds.
 """
 
 from __future__ import annotations
@@ -21,44 +21,64 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = None  # None: sized from the input (see auto_buckets)
-MAX_BROADCAST_BUCKETS = 1 << 16
-
-
-def auto_buckets(df: DataFrame) -> int:
-    """Range count that grows with the input: four ranges per input
-    partition (a range then holds about a quarter partition of distinct
-    values), at most 65536 (the broadcast offsets stay < 3 MB).  An input
-    that is a single partition is already one task, so one range is no
-    worse and skips the quantile pass."""
-    n = df.rdd.getNumPartitions()
-    return 1 if n <= 1 else min(MAX_BROADCAST_BUCKETS, 4 * n)
+RANGES = 256  # plain parameter: how many ranges a value order is cut into
+SKETCH_ERROR = 1.0 / 1024
 
 
-def _bucketize(df: DataFrame, col: str, out: str, buckets: int) -> DataFrame:
-    if buckets <= 1:
-        return df.withColumn(out, F.lit(0.0))
-    splits = _bucket_splits(df, col, buckets)
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join in which null keys match; the keys come once."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(other, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-def _bucket_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = df.approxQuantile(col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
+def _splits(edges: list[float]) -> list[float]:
     uniq = sorted(set(e for e in edges if e == e)) or [0.0]  # drop NaN, dedupe; >= 3 splits
     return [float("-inf")] + uniq + [float("inf")]
 
 
+def _cuts(df: DataFrame, cols: list[str], ranges: int) -> list[list[float]]:
+    probs = [i / ranges for i in range(1, ranges)]
+    if not probs:
+        return [_splits([]) for _ in cols]
+    return [_splits(q) for q in df.approxQuantile(cols, probs, SKETCH_ERROR)]
+
+
+def with_ranges(df: DataFrame, col: str, out: str, ranges: int = RANGES) -> DataFrame:
+    """``df`` with ``out``: a number that never falls as ``col`` (any type that
+    sorts) rises, set by the value alone; null is -1."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        number = F.col(col)
+        if isinstance(kind, T.DateType):
+            number = F.unix_date(number)
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            number = F.unix_micros(number.cast("timestamp"))
+        v = df.select("*", number.cast("double").alias("_rv"))
+        splits = _cuts(v, ["_rv"], ranges)[0]
+        cut = Bucketizer(splits=splits, inputCol="_rv", outputCol=out, handleInvalid="keep").transform(v).drop("_rv")
+        return cut.withColumn(out, F.coalesce(F.when(F.col(col).isNotNull(), F.col(out)), F.lit(-1.0)))
+    # other types: cuts at a bounded sample of distinct values
+    sample = df.filter(F.col(col).isNotNull()).select(col).distinct().orderBy(F.xxhash64(col)).limit(ranges - 1).collect()
+    marks = F.array(*[F.lit(r[0]) for r in sample]) if sample else None
+    place = F.size(F.filter(marks, lambda m: m <= F.col(col))) if sample else F.lit(0)
+    return df.withColumn(out, F.when(F.col(col).isNull(), F.lit(-1.0)).otherwise(place.cast("double")))
+
+
 def ordered_prefix(
     df: DataFrame,
     order_col: str,
     sums: dict[str, Column],
     descending: bool = True,
-    buckets: int | None = DEFAULT_BUCKETS,
+    ranges: int = RANGES,
     groups: list[str] | None = None,
 ) -> DataFrame:
-    """One row per (``groups``, distinct ``order_col`` value), nulls dropped, with
+    """One row per (``groups``, distinct ``order_col`` value), null values dropped, with
 
     * ``<k>``       the group sum of each ``sums`` expression,
     * ``cum_<k>``   the running sum up to and including this value,
@@ -66,46 +86,26 @@ def ordered_prefix(
     * ``total_<k>`` the grand total,
 
     in ``descending`` (default) or ascending value order, restarted per group.
-    The number of groups must be small (it multiplies the broadcast offsets).
     """
     gs = list(groups or [])
-    buckets = buckets or auto_buckets(df)
-    if buckets > MAX_BROADCAST_BUCKETS:
-        raise ValueError("too many buckets to broadcast the range offsets")
     src = df.filter(F.col(order_col).isNotNull()).select(
         *gs, F.col(order_col).cast("double").alias("_v"), *[c.alias(k) for k, c in sums.items()]
     )
     keys = list(sums)
     v_order = F.desc("_v") if descending else F.asc("_v")
-    if buckets <= 1:
-        # one input task: one range; plain windows, no offsets to join
-        grouped = src.groupBy(*gs, "_v").agg(*[F.sum(k).alias(k) for k in keys])
-        part = [F.col(g) for g in gs] or [F.lit(0)]
-        ordered = Window.partitionBy(*part).orderBy(v_order)
-        running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*part)
-        return grouped.select(
-            *gs,
-            F.col("_v").alias(order_col),
-            *[F.col(k) for k in keys],
-            *[F.sum(k).over(running).alias(f"cum_{k}") for k in keys],
-            *[F.lead(k).over(ordered).alias(f"next_{k}") for k in keys],
-            *[F.sum(k).over(whole).alias(f"total_{k}") for k in keys],
-        )
-    bucketed = _bucketize(src, "_v", "_b", buckets)
+    bucketed = Bucketizer(splits=_cuts(src, ["_v"], ranges)[0], inputCol="_v", outputCol="_b", handleInvalid="keep").transform(src)
     grouped = bucketed.groupBy(*gs, "_b", "_v").agg(*[F.sum(k).alias(k) for k in keys])
 
     b_order = F.desc("_b") if descending else F.asc("_b")
-    # per-range totals and the first value's sums of each range (<= buckets rows)
+    # per-range totals and the first value's sums of each range (ranges + 1 rows a group at most)
     first = F.max_by if descending else F.min_by
     per_range = grouped.groupBy(*gs, "_b").agg(
         *[F.sum(k).alias(f"_rt_{k}") for k in keys],
         *[first(F.col(k), F.col("_v")).alias(f"_rf_{k}") for k in keys],
     )
-    part = [F.col(g) for g in gs] or [F.lit(0)]
-    before = Window.partitionBy(*part).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*part)
-    nxt = Window.partitionBy(*part).orderBy(b_order)
+    nxt = Window.partitionBy(*gs).orderBy(b_order)
+    before = nxt.rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*gs)
     offsets = per_range.select(
         *gs,
         "_b",
@@ -115,7 +115,7 @@ def ordered_prefix(
     )
     inside = Window.partitionBy(*gs, "_b").orderBy(v_order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = grouped.join(F.broadcast(offsets), [*gs, "_b"])
+    joined = null_safe_join(grouped, offsets, [*gs, "_b"])
     return joined.select(
         *gs,
         F.col("_v").alias(order_col),
@@ -126,37 +126,31 @@ def ordered_prefix(
     )
 
 
-def score_prefix(df: DataFrame, score: str = "p", label: str = "y", buckets: int | None = DEFAULT_BUCKETS,
+def score_prefix(df: DataFrame, score: str = "p", label: str = "y", ranges: int = RANGES,
                  groups: list[str] | None = None) -> DataFrame:
     """Per distinct score, descending: pos, neg, cum_pos (tps), cum_neg (fps),
     next_pos, next_neg, total_pos (P), total_neg (N)."""
     y = F.col(label).cast("long")
-    return ordered_prefix(df, score, {"pos": y, "neg": F.lit(1).cast("long") - y}, True, buckets, groups)
+    return ordered_prefix(df, score, {"pos": y, "neg": F.lit(1).cast("long") - y}, True, ranges, groups)
 
 
 def exact_quantiles_multi(
-    df: DataFrame, cols: list[str], probs: list[float], buckets: int | None = DEFAULT_BUCKETS
+    df: DataFrame, cols: list[str], probs: list[float], ranges: int = RANGES
 ) -> dict[str, list[float | None]]:
     """Exact continuous quantiles (linear interpolation between order
     statistics, as ``quantile_cont``) of several columns in one pass.
 
-    Per-column range cuts come from one ``approxQuantile`` job; values are
-    unpivoted to (feature, value, range), counted per distinct value, and the
-    running counts are built per (feature, range) as in ``ordered_prefix``.
-    Only the rows holding the needed order statistics reach the driver (at
-    most two per column and probability)."""
-    buckets = buckets or auto_buckets(df)
+    Per-column range cuts come from one sketch job; values are unpivoted to
+    (feature, value, range), counted per distinct value, and the running
+    counts are built per (feature, range) as in ``ordered_prefix``.  Only the
+    rows holding the needed order statistics reach the driver (at most two per
+    column and probability)."""
     bcols = [f"_b{i}" for i in range(len(cols))]
     vals = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
-    if buckets <= 1:
-        bucketed = vals.select("*", *[F.lit(0.0).alias(b) for b in bcols])
-    else:
-        qs = df.approxQuantile(cols, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
-        splits = [[float("-inf")] + (sorted(set(e for e in q if e == e)) or [0.0]) + [float("inf")] for q in qs]
-        bucketed = Bucketizer(
-            inputCols=[f"_v{i}" for i in range(len(cols))], outputCols=bcols,
-            splitsArray=splits, handleInvalid="keep",
-        ).transform(vals)
+    vcols = [f"_v{i}" for i in range(len(cols))]
+    bucketed = Bucketizer(
+        inputCols=vcols, outputCols=bcols, splitsArray=_cuts(vals, vcols, ranges), handleInvalid="keep",
+    ).transform(vals)
     parts = ", ".join(f"{i}, _v{i}, _b{i}" for i in range(len(cols)))
     stacked = bucketed.select(F.expr(f"stack({len(cols)}, {parts}) AS (_f, _v, _b)")).filter(
         F.col("_v").isNotNull()
@@ -170,7 +164,7 @@ def exact_quantiles_multi(
         F.sum("_rt").over(Window.partitionBy("_f")).alias("total_n"),
     )
     running = Window.partitionBy("_f", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    pre = grouped.join(F.broadcast(offsets), ["_f", "_b"]).select(
+    pre = grouped.join(offsets, ["_f", "_b"]).select(
         "_f", "_v", "n", "total_n", (F.col("_off") + F.sum("n").over(running)).alias("cum_n")
     )
     conds = None
@@ -207,8 +201,20 @@ def exact_quantiles_multi(
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int | None = DEFAULT_BUCKETS) -> list[float | None]:
-    return exact_quantiles_multi(df, [col], probs, buckets)[col]
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], ranges: int = RANGES) -> list[float | None]:
+    return exact_quantiles_multi(df, [col], probs, ranges)[col]
+
+
+def _offsets(b: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Per (``keys``, range): rows in the ranges before it, and in all."""
+    counts = b.groupBy(*keys, "_rb").agg(F.count(F.lit(1)).alias("_rc"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        *keys, "_rb",
+        F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_ro"),
+        F.sum("_rc").over(whole).alias(size),
+    )
 
 
 def rank_within_groups(
@@ -216,36 +222,35 @@ def rank_within_groups(
     group_col: str,
     hash_col: str,
     tie_col: str,
-    bucket_expr: Column,
-    max_cells: int = MAX_BROADCAST_BUCKETS * 16,
+    range_expr: Column,
 ) -> DataFrame:
-    """Exact 1-based rank of each row inside its group, ordered by
-    (``hash_col``, ``tie_col``), without a window over a whole group.
-
-    ``bucket_expr`` must be monotone in ``hash_col`` (e.g. a hash prefix):
-    rows are counted per (group, bucket), bucket offsets come from a window
-    over that small table (groups x buckets rows, broadcast), and the final
-    ``row_number`` runs per (group, bucket).  A class holding most rows is
-    thereby spread over all buckets.  Adds ``group_rank`` and ``group_size``.
+    """Exact 1-based rank of each row inside its group (a null group is one),
+    ordered by (``hash_col``, ``tie_col``), without a window over a whole group.
+
+    ``range_expr`` must never fall as ``hash_col`` rises (e.g. a hash prefix):
+    rows are counted per (group, range), offsets come from a window over those
+    counts, and the final ``row_number`` runs per (group, range).  A class
+    holding most rows is thereby spread over all ranges.  Adds ``group_rank``
+    and ``group_size``.
     """
-    b = df.select("*", bucket_expr.alias("_rb"))
-    # the (group, range) count table is small; computed once, its size is
-    # checked before it is broadcast, and the cached copy feeds the join
-    counts = b.groupBy(group_col, "_rb").agg(F.count(F.lit(1)).alias("_rc")).persist()
-    if counts.count() > max_cells:
-        counts.unpersist()
-        raise ValueError("too many groups x ranges to broadcast the rank offsets")
-    before = Window.partitionBy(group_col).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(group_col)
-    offsets = counts.select(
-        group_col,
-        "_rb",
-        F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_ro"),
-        F.sum("_rc").over(whole).alias("group_size"),
-    )
+    b = df.select("*", range_expr.alias("_rb"))
     w = Window.partitionBy(group_col, "_rb").orderBy(hash_col, tie_col)
     return (
-        b.join(F.broadcast(offsets), [group_col, "_rb"])
+        null_safe_join(b, _offsets(b, [group_col], "group_size"), [group_col, "_rb"])
         .withColumn("group_rank", F.col("_ro") + F.row_number().over(w))
         .drop("_rb", "_ro")
     )
+
+
+def dense_row_number(df: DataFrame, order_col: str, out: str = "row_no", ties: list[str] | None = None,
+                     ranges: int = RANGES) -> DataFrame:
+    """1..n in ascending order of ``order_col`` (nulls first), equal values in
+    order of ``ties``.  Offsets belong to ranges set by the value alone, never
+    to physical partitions, so recomputing a stage can't change them."""
+    b = with_ranges(df, order_col, "_rb", ranges)
+    w = Window.partitionBy("_rb").orderBy(order_col, *(ties or []))
+    return (
+        null_safe_join(b, _offsets(b, [], "_all"), ["_rb"])
+        .withColumn(out, (F.col("_ro") + F.row_number().over(w)).cast("long"))
+        .drop("_rb", "_ro", "_all")
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
+from ferrule.operators import ranking
 
 
 def batch_summary(scored: DataFrame, digits: int = 6) -> DataFrame:
@@ -83,22 +84,9 @@ def result_table(scored: DataFrame) -> DataFrame:
     )
 
 
-def dense_row_number(df: DataFrame, order_col: str, out: str = "row_no") -> DataFrame:
-    """B7 when a dense 1..n number is required: per-partition counts after a
-    range partitioning (one small collect of partition sizes), then local
-    numbering.  Never a global window."""
-    ranged = df.repartitionByRange(order_col).sortWithinPartitions(order_col)
-    with_pid = ranged.withColumn("_pid", F.spark_partition_id())
-    sizes = with_pid.groupBy("_pid").count().collect()
-    offsets, acc = {}, 0
-    for r in sorted(sizes, key=lambda r: r["_pid"]):
-        offsets[r["_pid"]] = acc
-        acc += r["count"]
-    off = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))]) if offsets else None
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(order_col))
-    if off is None:
-        return with_pid.withColumn(out, local).drop("_pid")
-    return with_pid.withColumn(out, off[F.col("_pid")] + local).drop("_pid")
+def dense_row_number(df: DataFrame, order_col: str, out: str = "row_no", ties: list[str] | None = None) -> DataFrame:
+    """A dense 1..n number in the order of a column (``ranking``)."""
+    return ranking.dense_row_number(df, order_col, out, ties)
 
 
 def last_n(history: DataFrame, n: int = S.HISTORY_KEEP, ts_col: str = S.TS, key: str = S.UID) -> DataFrame:

@@ -50,6 +50,11 @@ SENSOR_SCHEMA = T.StructType(
     ]
 )
 
+# Failure labels, where a file has them
+LABEL_SCHEMA = T.StructType(
+    [T.StructField(n, T.IntegerType(), True) for n in ("twf", "hdf", "pwf", "osf", "rnf", "machine_failure")]
+)
+
 # Request body of the batch scoring endpoint: {"machines": [ {...}, ... ]}
 MACHINE_REQUEST_SCHEMA = T.StructType(
     [

@@ -39,13 +39,17 @@ def local_session(cpus: int | str = "*", app: str = "ferrule") -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    Only when the session names none (tests, local runs) a scratch folder is
-    created and registered; on a cluster the configured shared folder wins.
-    """
+    A session on one machine that names none gets ``fallback`` or a new
+    scratch folder; on a cluster a missing setting is an error, as no
+    machine-local folder is seen by all executors."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     path = fallback or tempfile.mkdtemp(prefix="ferrule-ckpt-")
     os.makedirs(path, exist_ok=True)
     spark.conf.set(CHECKPOINT_CONF, path)

@@ -15,28 +15,39 @@ from ferrule import schema as S
 from ferrule.operators import quality
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the first line (one small read on the driver)."""
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_sensor_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                    dataset_names: bool = True) -> DataFrame:
-    """Header CSV with the data set's column names (or ours), typed, FAILFAST."""
-    if schema is None and dataset_names:
-        # the data set's own header names, typed like SENSOR_SCHEMA
-        back = {v: k for k, v in S.DATASET_NAMES.items() if v in S.SENSOR_SCHEMA.fieldNames()}
-        schema = T.StructType([T.StructField(back.get(f.name, f.name), f.dataType, True)
-                               for f in S.SENSOR_SCHEMA.fields])
-    reader = spark.read.option("header", True).option("mode", "FAILFAST")
-    if schema is not None:
-        reader = reader.schema(schema)
-        reader = reader.option("enforceSchema", False)
-    return quality.rename_to_internal(reader.csv(path))
+                    extra: T.StructType | None = None, drop_unknown: bool = False) -> DataFrame:
+    """Header CSV, typed, FAILFAST, bound by *name* in whatever order the
+    file has its columns.  Names may be the data set's or ours.
+
+    ``schema``: the columns that must be there (default: the sensor schema);
+    ``extra``: more columns to keep where present (default: the label columns).
+    Missing names are refused, and unknown ones too unless ``drop_unknown``."""
+    need = schema or S.SENSOR_SCHEMA
+    more = extra or S.LABEL_SCHEMA
+    types = {f.name: f.dataType for f in [*more.fields, *need.fields]}
+    header = _header(spark, path)
+    own = [S.DATASET_NAMES.get(h, h) for h in header]
+    missing = [f.name for f in need.fields if f.name not in own]
+    unknown = [h for h, o in zip(header, own) if o not in types]
+    double = sorted({o for o in own if own.count(o) > 1})
+    if missing or double or (unknown and not drop_unknown):
+        raise ValueError(f"{path}: missing columns {missing}, unknown columns {unknown}, named twice {double}")
+    typed = T.StructType([T.StructField(h, types.get(o, T.StringType()), True) for h, o in zip(header, own)])
+    df = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(typed).csv(path)
+    keep = {o: h for h, o in zip(header, own) if o in types}
+    return df.select(*[F.col(f"`{keep[c]}`").alias(c) for c in types if c in keep and c in need.fieldNames()],
+                     *[F.col(f"`{keep[c]}`").alias(c) for c in types if c in keep and c not in need.fieldNames()])
 
 
 def read_labelled_csv(spark: SparkSession, path: str, extra: T.StructType) -> DataFrame:
-    """S1 for tables that carry label columns after the sensors."""
-    back = {v: k for k, v in S.DATASET_NAMES.items()}
-    fields = [T.StructField(back.get(f.name, f.name), f.dataType, True) for f in S.SENSOR_SCHEMA.fields]
-    fields += [T.StructField(back.get(f.name, f.name), f.dataType, True) for f in extra.fields]
-    df = spark.read.option("header", True).option("mode", "FAILFAST").schema(T.StructType(fields)).csv(path)
-    return quality.rename_to_internal(df)
+    """S1 for tables that must carry the label columns ``extra`` too."""
+    return read_sensor_csv(spark, path, T.StructType([*S.SENSOR_SCHEMA.fields, *extra.fields]))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -60,9 +71,12 @@ def bind_features_targets(features: DataFrame, targets: DataFrame, key: str = S.
 
 def read_batch_request(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents {"machines": [ {...}, ... ]} -> one row per machine,
-    with its position in the request, renamed to internal names."""
+    renamed to internal names, with ``request`` (the file, and a number that no
+    other document of this read has) and ``position`` in the request."""
     raw = spark.read.schema(S.BATCH_REQUEST_SCHEMA).option("mode", "FAILFAST").json(path)
-    rows = raw.select(F.posexplode("machines").alias("position", "m")).select("position", "m.*")
+    request = F.concat_ws("#", "_metadata.file_path", F.monotonically_increasing_id().cast("string"))
+    keyed = raw.select(request.alias("request"), "machines")
+    rows = keyed.select("request", F.posexplode("machines").alias("position", "m")).select("request", "position", "m.*")
     return quality.rename_to_internal(rows, S.API_NAMES)
 
 
@@ -80,10 +94,18 @@ def batch_response(scored: DataFrame, summary: DataFrame) -> tuple[DataFrame, Da
 
 
 def prediction_sink(scored: DataFrame, id_col: str = S.UID, label: str | None = None,
-                    n_classes: int = 2) -> DataFrame:
-    """Id, prediction, probability per class, true value when present."""
+                    n_classes: int = 2, prob_col: str = "probability") -> DataFrame:
+    """Id, prediction, probability per class, true value when present.
+    Class probabilities come from ``prob_col`` (an array or a vector) where
+    there is one, else from ``p`` for two classes."""
+    from pyspark.ml.functions import vector_to_array
+
     cols = [F.col(id_col), F.col("pred").alias("prediction")]
-    if n_classes == 2 and "p" in scored.columns:
+    if prob_col in scored.columns:
+        kind = scored.schema[prob_col].dataType
+        arr = F.col(prob_col) if isinstance(kind, T.ArrayType) else vector_to_array(prob_col)
+        cols += [arr[i].alias(f"probability_class_{i}") for i in range(n_classes)]
+    elif n_classes == 2 and "p" in scored.columns:
         cols += [(F.lit(1.0) - F.col("p")).alias("probability_class_0"), F.col("p").alias("probability_class_1")]
     if label and label in scored.columns:
         cols.append(F.col(label).alias("true_value"))

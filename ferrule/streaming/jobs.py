@@ -22,16 +22,24 @@ from ferrule.session import scratch_path
 from ferrule.sources.readings import readings_from_events
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """File stream over the events table (schema taken from the batch read,
-    never inferred per micro-batch)."""
+    """File stream over the events table, a folder of files or a single file
+    (schema taken from the batch read, never inferred per micro-batch)."""
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # the file source watches a folder; pick the events file(s) by name
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return reader.parquet(path)
+    # the file source watches a folder; a single file is picked by its exact name
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _session_tz(df: DataFrame) -> str:
@@ -55,55 +63,64 @@ def scored_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def _latest_version(spark: SparkSession, folder: str) -> str | None:
-    """Newest ``v<N>`` sub-folder of ``folder`` (after a restart)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete ``v<N>`` sub-folders (those with a success mark)."""
+    fs, path = _fs(spark, folder)
     if not fs.exists(path):
-        return None
+        return []
+    jvm = spark.sparkContext._jvm
     names = [st.getPath().getName() for st in fs.listStatus(path)]
-    nums = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
-    return f"{folder}/v{max(nums)}" if nums else None
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+HISTORY_SCHEMA = f"{S.UID} long, {S.TS} timestamp, p double, machine_failure_pred int, most_likely_type string"
 
 
 def run_scoring(spark: SparkSession, sf_dir: str, out: str | None = None,
-                keep: int = S.HISTORY_KEEP) -> tuple[str, str]:
+                keep: int = S.HISTORY_KEEP, max_files: int | None = None) -> tuple[str, str]:
     """Run N1 to completion (availableNow) and maintain the retained history
     (N2) in the same micro-batch: the newest ``keep`` rows of (kept history
     + batch), rewritten by a top-k.  Returns (predictions path, history path).
 
-    Both writes are idempotent per epoch (predictions go to ``epoch=<id>``,
-    history version ``v<id+1>`` is built from the newest earlier version), so
-    a batch replayed after a failure overwrites instead of duplicating."""
+    Both writes are idempotent per epoch: predictions go to ``epoch=<id>``, and
+    history version ``v<id+1>`` is built from the newest complete version up to
+    ``v<id>``, so a replayed or half-written batch is rebuilt from the same
+    rows.  The two newest versions stay, for the replay.  A stream without
+    input leaves an empty history and no predictions."""
     base = out or scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     preds, hist, ckpt = f"{base}/predictions", f"{base}/history", f"{base}/_checkpoint"
-    state: dict[str, str | None] = {"last": _latest_version(spark, hist)}
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()  # written twice: scored once per micro-batch
         try:
             batch.write.mode("overwrite").parquet(f"{preds}/epoch={epoch_id}")
             merged = batch.select(S.UID, S.TS, "p", "machine_failure_pred", "most_likely_type")
-            prev = state["last"]
-            if prev is not None and prev != f"{hist}/v{epoch_id + 1}":
-                merged = spark.read.parquet(prev).unionByName(merged)
-            nxt = f"{hist}/v{epoch_id + 1}"
-            SU.last_n(merged, keep).write.mode("overwrite").parquet(nxt)
-            state["last"] = nxt
+            before = [v for v in _versions(spark, hist) if v <= epoch_id]
+            if before:
+                merged = spark.read.parquet(f"{hist}/v{before[-1]}").unionByName(merged)
+            SU.last_n(merged, keep).write.mode("overwrite").parquet(f"{hist}/v{epoch_id + 1}")
+            for v in before[:-1]:
+                fs, path = _fs(spark, f"{hist}/v{v}")
+                fs.delete(path, True)
         finally:
             batch.unpersist()
 
     q = (
-        scored_stream(events_stream(spark, sf_dir))
+        scored_stream(events_stream(spark, sf_dir, max_files))
         .writeStream.foreachBatch(sink)
         .option("checkpointLocation", ckpt)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return preds, state["last"]
+    done = _versions(spark, hist)
+    if not done:
+        spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").parquet(f"{hist}/v0")
+        empty = scored_stream(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")).limit(0)
+        empty.write.mode("overwrite").parquet(f"{preds}/epoch=0")
+        done = [0]
+    return preds, f"{hist}/v{done[-1]}"
 
 
 def windowed_failure_rate(events: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:

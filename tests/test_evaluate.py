@@ -9,6 +9,11 @@ from ferrule.operators import evaluate as EV
 from ferrule.sources import io
 
 
+def literal_predictions(spark, rows):
+    """(uid, y, pred, p) rows."""
+    return spark.createDataFrame(rows, "uid long, y int, pred int, p double")
+
+
 def _confusion_frame(spark):
     """Confusion [[11, 3], [9, 7]] of the committed report (rows true 0, 1)."""
     rows, uid = [], 0
@@ -16,7 +21,7 @@ def _confusion_frame(spark):
         for _ in range(n):
             uid += 1
             rows.append((uid, y, pred, float(pred)))
-    return EV.literal_predictions(spark, rows)
+    return literal_predictions(spark, rows)
 
 
 def test_classification_report_golden(spark):
@@ -55,7 +60,7 @@ def test_error_analysis_golden(spark):
 
 
 def test_zero_division_and_missing_class(spark):
-    df = EV.literal_predictions(spark, [(1, 0, 0, 0.1), (2, 0, 0, 0.2), (3, 1, 0, 0.3)])
+    df = literal_predictions(spark, [(1, 0, 0, 0.1), (2, 0, 0, 0.2), (3, 1, 0, 0.3)])
     rep = {r["label"]: r for r in EV.classification_report(df, labels=[0, 1]).collect()}
     assert rep["1"]["precision"] == 0.0 and rep["1"]["f1"] == 0.0
 
@@ -84,30 +89,30 @@ def _sk_like_ap(y, s):
     return float(np.sum(np.diff(np.r_[0, rec]) * prec))
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 64])
-def test_curves_match_reference_formulas(spark, buckets):
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_curves_match_reference_formulas(spark, ranges):
     rnd = random.Random(7)
     rows = []
     for i in range(600):
         s = round(rnd.random(), 2)  # many ties
         y = 1 if rnd.random() < s else 0
         rows.append((i, y, int(s > 0.5), s))
-    df = EV.literal_predictions(spark, rows)
+    df = literal_predictions(spark, rows)
     y = np.array([r[1] for r in rows])
     s = np.array([r[3] for r in rows])
     t, fpr, tpr = _sk_like_roc(y, s)
-    roc = sorted(((r["threshold"], r["fpr"], r["tpr"]) for r in EV.roc_curve(df, buckets=buckets).collect()),
+    roc = sorted(((r["threshold"], r["fpr"], r["tpr"]) for r in EV.roc_curve(df, ranges=ranges).collect()),
                  reverse=True)
     assert len(roc) == len(t)
     for (a, b, c), (x, yv, z) in zip(roc, zip(t, fpr, tpr)):
         assert a == x and b == pytest.approx(yv) and c == pytest.approx(z)
-    ap = EV.average_precision(df, buckets=buckets).first()["average_precision"]
+    ap = EV.average_precision(df, ranges=ranges).first()["average_precision"]
     assert ap == pytest.approx(_sk_like_ap(y, s), abs=1e-6)
-    auc = EV.roc_auc(df, buckets=buckets).first()["roc_auc"]
+    auc = EV.roc_auc(df, ranges=ranges).first()["roc_auc"]
     spark_auc = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0).evaluate(
         df.withColumn("y", F.col("y").cast("double")))
     assert auc == pytest.approx(spark_auc, abs=1e-12)
-    pr = EV.pr_curve(df, buckets=buckets).collect()
+    pr = EV.pr_curve(df, ranges=ranges).collect()
     assert len(pr) == len(set(s)) + 1
 
 
@@ -127,12 +132,12 @@ def test_best_model_tie_first_wins(spark):
     assert best["model"] == "b"
 
 
-@pytest.mark.parametrize("buckets", [1, 8])
-def test_metric_plans_have_no_cross_join_or_python(spark, buckets):
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_metric_plans_have_no_cross_join_or_python(spark, ranges):
     rows = [(i, i % 2, i % 3 == 0, (i % 17) / 17.0) for i in range(200)]
-    df = EV.literal_predictions(spark, [(a, b, int(c), d) for a, b, c, d in rows]).repartition(4)
-    for out in (EV.roc_auc(df, buckets=buckets), EV.roc_curve(df, buckets=buckets),
-                EV.average_precision(df, buckets=buckets)):
+    df = literal_predictions(spark, [(a, b, int(c), d) for a, b, c, d in rows]).repartition(4)
+    for out in (EV.roc_auc(df, ranges=ranges), EV.roc_curve(df, ranges=ranges),
+                EV.average_precision(df, ranges=ranges)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
         assert "EvalPython" not in plan

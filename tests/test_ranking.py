@@ -12,7 +12,7 @@ def test_prefix_equals_global_window(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.randint(0, 40) / 4.0, rnd.randint(0, 1), rnd.choice(["a", "b"])) for i in range(500)]
     df = spark.createDataFrame(rows, "uid long, v double, y int, g string")
-    pre = ranking.ordered_prefix(df, "v", {"pos": F.col("y").cast("long")}, descending=True, buckets=5,
+    pre = ranking.ordered_prefix(df, "v", {"pos": F.col("y").cast("long")}, descending=True, ranges=5,
                                  groups=["g"])
     got = {(r["g"], r["v"]): (r["cum_pos"], r["next_pos"], r["total_pos"]) for r in pre.collect()}
     g = df.groupBy("g", "v").agg(F.sum("y").alias("pos"))
@@ -27,7 +27,7 @@ def test_exact_quantiles(spark):
     rnd = random.Random(5)
     xs = [rnd.gauss(0, 1) for _ in range(1001)] + [0.5] * 300
     df = spark.createDataFrame([(x, x * 2) for x in xs], "a double, b double")
-    qs = ranking.exact_quantiles_multi(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0], buckets=16)
+    qs = ranking.exact_quantiles_multi(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0], ranges=16)
     for q, v in zip([0, 25, 50, 90, 100], qs["a"]):
         assert v == pytest.approx(np.percentile(xs, q), abs=1e-12)
     assert qs["b"][2] == pytest.approx(2 * np.percentile(xs, 50), abs=1e-12)
