@@ -179,10 +179,12 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     found = C.written(_table(docs, n_bands), "op10-paragraphs")
     classes = found.groupBy("hash").agg(
         F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *[F.min(f"k{b}").alias(f"k{b}") for b in range(n_bands)])
-    keyed = classes.select("hash", (F.col("d0") < F.col("d1")).alias("exact"), F.posexplode(F.array(*[f"k{b}" for b in range(n_bands)])).alias("band", "key"))
+    keyed = classes.select("hash", "d0", (F.col("d0") < F.col("d1")).alias("exact"), F.posexplode(F.array(*[f"k{b}" for b in range(n_bands)])).alias("band", "key"))
+    # a link of classes that begin in one document can't change who keeps them:
+    # overlapping paragraphs of a document don't make company
     company = Window.partitionBy("band", "key")
     flagged = C.written(
-        keyed.withColumn("near", F.min("hash").over(company) < F.max("hash").over(company)).filter("exact or near"), "op10-flagged")
+        keyed.withColumn("near", F.min("d0").over(company) < F.max("d0").over(company)).filter("exact or near").drop("d0"), "op10-flagged")
     hits = C.written(
         found.select("doc_id", "start", "stop", "hash").join(flagged.select("hash").distinct(), "hash"), "op10-hits")
     # near classes: exact similarity, from one occurrence of each
