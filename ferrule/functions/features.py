@@ -158,9 +158,19 @@ def engineered_names(
     input_columns: list[str],
     domain: bool = True,
     interactions: bool = True,
+    polynomial: bool = False,
+    powers: bool = False,
+    degree: int = 2,
+    numeric: list[str] | None = None,
 ) -> list[str]:
-    """names added by ``engineer`` (domain + interactions)."""
+    """names added by ``engineer``, in the order in which it adds them;
+    ``numeric`` as there (default: the input columns and the domain features)."""
     names = list(domain_columns().keys()) if domain else []
+    expand = numeric or [*input_columns, *names]
+    if polynomial:
+        names += list(polynomial_columns(expand, degree).keys())
     if interactions:
-        names += list(interaction_columns(input_columns + names).keys())
+        names += list(interaction_columns([*input_columns, *names]).keys())
+    if powers:
+        names += list(power_columns(expand).keys())
     return names

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ferrule import schema as S
 from ferrule.functions import features as FE
+from ferrule.operators import ranking
 
 
 class FeatureEngineer(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -36,9 +37,15 @@ class FeatureEngineer(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         self._setDefault(domain=True, polynomial=False, interactions=True, powers=False, degree=2)
         self._set(**self._input_kwargs)
 
+    def _expanded(self) -> list[str]:
+        """What the polynomial and power steps expand: sensors and domain
+        features, never labels or flags that a table may also have."""
+        return [*S.SENSORS, *(FE.domain_columns() if self.getOrDefault("domain") else [])]
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return FE.engineer(
             dataset,
+            numeric=self._expanded(),
             domain=self.getOrDefault("domain"),
             polynomial=self.getOrDefault("polynomial"),
             interactions=self.getOrDefault("interactions"),
@@ -47,9 +54,10 @@ class FeatureEngineer(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         )
 
     def output_names(self, input_columns: list[str]) -> list[str]:
-        """names this stage adds (domain + interactions)."""
+        """names this stage adds."""
+        get = self.getOrDefault
         return FE.engineered_names(
-            input_columns, self.getOrDefault("domain"), self.getOrDefault("interactions")
+            input_columns, get("domain"), get("interactions"), get("polynomial"), get("powers"), get("degree"), self._expanded()
         )
 
 
@@ -58,22 +66,36 @@ class _ScalerParams(HasInputCols, HasOutputCols):
 
 
 class PopulationStandardScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
-    """(x - mean) / std with the *population* std; a zero std divides by 1.
-    Fit is one global aggregate (partial per partition)."""
+    """(x - centre) / scale per column; a zero scale divides by 1.
+
+    ``method``: 'standard' (mean, *population* std), 'minmax' (min, max - min)
+    or 'robust' (median, q3 - q1, exact).  Fit is one global aggregate, or the
+    distributed quantiles of ``ranking``."""
+
+    method = Param(Params._dummy(), "method", "standard, minmax or robust", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, inputCols=None, outputCols=None):
+    def __init__(self, inputCols=None, outputCols=None, method="standard"):
         super().__init__()
+        self._setDefault(method="standard")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "PopulationStandardScalerModel":
-        cols = self.getInputCols()
-        row = dataset.agg(
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-            *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
-        ).first()
-        means = [float(row[f"m{i}"] or 0.0) for i in range(len(cols))]
-        stds = [float(row[f"s{i}"] or 0.0) for i in range(len(cols))]
+        cols, method = self.getInputCols(), self.getOrDefault("method")
+        if method == "robust":
+            qs = ranking.exact_quantiles_multi(dataset, cols, [0.25, 0.5, 0.75])
+            means = [float(qs[c][1] or 0.0) for c in cols]
+            stds = [float((qs[c][2] or 0.0) - (qs[c][0] or 0.0)) for c in cols]
+        elif method in ("standard", "minmax"):
+            lo, hi = (F.avg, F.stddev_pop) if method == "standard" else (F.min, lambda c: F.max(c) - F.min(c))
+            row = dataset.agg(
+                *[lo(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[hi(c).alias(f"s{i}") for i, c in enumerate(cols)],
+            ).first()
+            means = [float(row[f"m{i}"] or 0.0) for i in range(len(cols))]
+            stds = [float(row[f"s{i}"] or 0.0) for i in range(len(cols))]
+        else:
+            raise ValueError(f"unknown scaling {method}")
         return PopulationStandardScalerModel(
             inputCols=cols, outputCols=self.getOutputCols(), means=means, stds=stds
         )
@@ -103,19 +125,24 @@ def preparation_stages(
     categorical: str = S.TYPE,
     features_col: str = "features",
     passthrough: list[str] | None = None,
+    scaling: str = "standard",
+    encoding: str = "onehot",
+    label: str | None = None,
 ) -> list:
-    """One-hot type (categories sorted H, L, M; unknown -> all zero),
-    population-scaled numerics, passthrough columns; assembled in that order."""
-    scaled = [f"{c}_scaled" for c in numeric]
+    """Encoded type (one-hot: categories sorted H, L, M; unknown
+    -> all zero), scaled numerics, passthrough columns; assembled in that
+    order.  ``scaling`` 'none' takes the numerics as they are."""
+    encoded = {"onehot": f"{categorical}_ohe", "label": f"{categorical}_label", "target": f"{categorical}_target"}
+    if scaling == "none":
+        scaled, scalers = list(numeric), []
+    else:
+        scaled = [f"{c}_scaled" for c in numeric]
+        scalers = [PopulationStandardScaler(inputCols=numeric, outputCols=scaled, method=scaling)]
     return [
-        StringIndexer(
-            inputCol=categorical, outputCol=f"{categorical}_idx",
-            stringOrderType="alphabetAsc", handleInvalid="keep",
-        ),
-        OneHotEncoder(inputCols=[f"{categorical}_idx"], outputCols=[f"{categorical}_ohe"], dropLast=True),
-        PopulationStandardScaler(inputCols=numeric, outputCols=scaled),
+        *encoding_stages(categorical, encoding, label),
+        *scalers,
         VectorAssembler(
-            inputCols=[f"{categorical}_ohe", *scaled, *(passthrough or [])],
+            inputCols=[encoded[encoding], *scaled, *(passthrough or [])],
             outputCol=features_col,
             handleInvalid="error",
         ),
@@ -128,7 +155,10 @@ def encoding_stages(column: str = S.TYPE, method: str = "onehot", label: str | N
     'target' (per-category label mean, blended with the global mean by
     ``smoothing``; Spark's ``TargetEncoder``)."""
     if method == "onehot":
-        return preparation_stages([], column)[:2]
+        return [
+            StringIndexer(inputCol=column, outputCol=f"{column}_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
+            OneHotEncoder(inputCols=[f"{column}_idx"], outputCols=[f"{column}_ohe"], dropLast=True),
+        ]
     idx = StringIndexer(inputCol=column, outputCol=f"{column}_label", stringOrderType="alphabetAsc",
                         handleInvalid="keep")
     if method == "label":

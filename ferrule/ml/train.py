@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PolynomialExpansion
+from pyspark.ml.feature import Imputer, PolynomialExpansion, UnivariateFeatureSelector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,59 +60,103 @@ class TrainOptions:
     n_iter: int = 20
     cv: int = 3
     select_metric: str = "f1_weighted"
+    # preparation: scaling none / standard / minmax / robust; missing none /
+    # mean / median / mode; encoding onehot / label / target; the number of
+    # features that an F test keeps (None: all)
+    scaling: str = "standard"
+    handle_missing: str = "none"
+    encoding: str = "onehot"
+    select_features: int | None = None
+    # partitions of the prepared rows (None: as the input has them).  Iterative
+    # fits run one job per step over them; a table of one small file is one task
+    num_partitions: int | None = None
 
 
 def feature_columns(opts: TrainOptions) -> list[str]:
     """Allow-list of numeric model inputs (labels and flags never leak in)."""
-    names = list(S.SENSORS)
-    names += FE.engineered_names(S.SENSORS, opts.domain, opts.interactions)
-    return names
+    return [*S.SENSORS, *_engineer(opts).output_names(list(S.SENSORS))]
+
+
+def _engineer(opts: TrainOptions) -> FeatureEngineer:
+    return FeatureEngineer(domain=opts.domain, interactions=opts.interactions,
+                           polynomial=opts.polynomial, powers=opts.powers)
 
 
 def base_stages(opts: TrainOptions) -> list:
-    fe = FeatureEngineer(domain=opts.domain, interactions=opts.interactions,
-                         polynomial=False, powers=False)
-    return [fe, *preparation_stages(feature_columns(opts))]
+    """The preparation that the options choose, up to the column ``features``."""
+    stages: list = []
+    if opts.handle_missing != "none":
+        stages.append(Imputer(inputCols=list(S.SENSORS), outputCols=list(S.SENSORS), strategy=opts.handle_missing))
+    out = "features_all" if opts.select_features else "features"
+    stages += [_engineer(opts), *preparation_stages(
+        feature_columns(opts), features_col=out, scaling=opts.scaling, encoding=opts.encoding, label=opts.label)]
+    if opts.select_features:
+        chooser = UnivariateFeatureSelector(
+            featuresCol=out, outputCol="features", labelCol=opts.label, selectionMode="numTopFeatures")
+        stages.append(chooser.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(opts.select_features))
+    return stages
 
 
 def with_weights(df: DataFrame, opts: TrainOptions) -> DataFrame:
     """M1/M2 weight columns (literal map from k class counts; no join)."""
-    return weights_and_rows(df, opts)[0]
+    return _weighted(df, opts, prep.class_counts(df, opts.label))
 
 
-def weights_and_rows(df: DataFrame, opts: TrainOptions) -> tuple[DataFrame, int]:
-    """``with_weights`` plus the row count, both from one k-row aggregate."""
-    counts = prep.class_counts(df, opts.label)
+def _weighted(df: DataFrame, opts: TrainOptions, counts: dict) -> DataFrame:
     n, k = sum(counts.values()), len(counts)
+    if not k:
+        raise ValueError("no row has a label")
     w = F.create_map(*[x for c, cnt in counts.items() for x in (F.lit(c), F.lit(n / (k * cnt)))])
-    out = df.select(
+    return df.select(
         "*",
         w[F.col(opts.label)].alias("w_balanced"),
         prep.positive_weight(opts.label, opts.gbt.get("scale_pos_weight", 1.0)).alias("w_positive"),
     )
-    return out, n
 
 
-ROWS_PER_PARTITION = 1_000_000
-CACHE_ROWS = 50_000_000
+@dataclass
+class Prepared:
+    """The preparation, fitted once, and the training rows it gave (persisted)."""
+
+    stages: PipelineModel
+    rows: DataFrame
+    n_rows: int
+    n_classes: int
+
+    @property
+    def width(self) -> int:
+        return len(self.rows.first()["features"])
 
+    def release(self) -> None:
+        self.rows.unpersist()
 
-def right_size(df: DataFrame, n_rows: int, iterative_linear: bool) -> DataFrame:
-    """Partition count for an iterative fit, from the row count.
 
-    Linear models / MLP run one small job per iteration: every extra task is
-    pure overhead, so the input is coalesced (no shuffle) to about one
-    partition per million rows.  Tree ensembles do heavy work per pass
-    (rows x trees): a tiny input is spread over the cores once.  Large
-    inputs keep their partitioning either way."""
-    if iterative_linear:
-        target = max(1, -(-n_rows // ROWS_PER_PARTITION))
-        return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
-    return spread(df)
+def prepare(train: DataFrame, opts: TrainOptions, stages: list | None = None, folds: bool = False) -> Prepared:
+    """Fits the preparation stages (default: those of the options) and persists
+    label, weights, features and, with ``folds``, the stratified fold: shared
+    by every model, search candidate and fold that follows."""
+    # tree ensembles checkpoint node ids / predictions into the shared folder
+    ensure_checkpoint_dir(train.sparkSession)
+    train = train.filter(F.col(opts.label).isNotNull())
+    counts = prep.class_counts(train, opts.label)
+    if folds:
+        train = prep.stratified_folds(train, opts.label, opts.cv, seed=opts.seed)
+    weighted = _weighted(train, opts, counts)
+    model = Pipeline(stages=stages or base_stages(opts)).fit(weighted)
+    rows = model.transform(weighted).select(opts.label, "w_balanced", "w_positive", *(["fold"] if folds else []), "features")
+    if opts.num_partitions:
+        rows = rows.repartition(opts.num_partitions)
+    top = int(max(counts)) + 1  # Spark's classes are 0 .. k-1
+    return Prepared(model, rows.persist(), sum(counts.values()), max(2, top))
 
 
 def _depth(d) -> int:
-    return SPARK_MAX_DEPTH if d is None else min(int(d), SPARK_MAX_DEPTH)
+    """Spark's trees go to depth 30; None (no limit) means that, more is refused."""
+    if d is None:
+        return SPARK_MAX_DEPTH
+    if int(d) > SPARK_MAX_DEPTH:
+        raise ValueError(f"depth {d}: Spark's trees stop at {SPARK_MAX_DEPTH}")
+    return int(d)
 
 
 def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None = None,
@@ -135,7 +179,7 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
             labelCol=label, featuresCol="features", maxIter=int(c["n_estimators"]),
             stepSize=float(c["learning_rate"]), maxDepth=_depth(c["max_depth"]),
             subsamplingRate=float(c["subsample"]), featureSubsetStrategy=str(c["colsample_bytree"]),
-            weightCol="w_positive", seed=opts.seed, cacheNodeIds=True,
+            weightCol="w_positive", seed=opts.seed, cacheNodeIds=True, maxMemoryInMB=1024,
         )
     if name in ("logistic_regression", "svm"):
         c = opts.lr if name == "logistic_regression" else opts.svm
@@ -162,81 +206,58 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
     raise ValueError(f"unknown model {name}")
 
 
-def build(name: str, opts: TrainOptions, train: DataFrame, n_features: int | None = None,
-          n_rows: int | None = None) -> Pipeline:
-    stages = base_stages(opts)
-    sum_w = None
-    if name in ("logistic_regression", "svm"):
-        # balanced weights sum to n: sum_w = n
-        sum_w = float(n_rows if n_rows is not None else train.count())
+def classifier_stages(name: str, opts: TrainOptions, data: Prepared) -> list:
+    """The estimator, after what it needs of its own (poly kernel)."""
+    stages: list = []
     if name == "svm" and opts.svm.get("kernel") == "poly":
-        stages[-1].setOutputCol("features_lin")
-        stages.append(PolynomialExpansion(inputCol="features_lin", outputCol="features", degree=3))
+        stages.append(PolynomialExpansion(inputCol="features", outputCol="features_poly", degree=3))
     elif name == "svm" and opts.svm.get("kernel") == "rbf":
         raise ValueError("rbf kernel needs a single-machine solver; not built")
-    clf = make_classifier(name, opts, sum_w, n_features, prep.n_classes(train, opts.label)
-                          if name == "neural_network" else 2)
-    return Pipeline(stages=[*stages, clf])
-
-
-def n_model_features(opts: TrainOptions) -> int:
-    # one-hot keeps 3 slots (H, L, M) + scaled numerics
-    return len(S.MACHINE_TYPES) + len(feature_columns(opts))
+    # balanced weights sum to the number of rows
+    clf = make_classifier(name, opts, float(data.n_rows), data.width if name == "neural_network" else None, data.n_classes)
+    return [*stages, clf.setFeaturesCol("features_poly") if stages else clf]
 
 
-TREE_MODELS = ("random_forest", "xgboost")
+def fit_prepared(name: str, data: Prepared, opts: TrainOptions) -> PipelineModel:
+    """The classifier fitted on prepared rows, as a whole pipeline."""
+    model = Pipeline(stages=classifier_stages(name, opts, data)).fit(data.rows)
+    return PipelineModel(stages=[*data.stages.stages, *model.stages])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Tree ensembles do heavy work per pass (rows x trees): when the input
-    has fewer partitions than the cluster has cores (a small file is one
-    task), spread it round-robin once.  On large inputs this is a no-op."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
-def fit(name: str, train: DataFrame, opts: TrainOptions | None = None) -> PipelineModel:
+def fit(name: str, train: DataFrame, opts: TrainOptions | None = None, stages: list | None = None) -> PipelineModel:
     """Fit the preparation stages once, hand the prepared (label, weights,
-    features) rows to the classifier (persisted for the iterative linear
-    models), and return the whole pipeline as one PipelineModel."""
+    features) rows to the classifier, and return the whole pipeline as one
+    PipelineModel.  ``stages``: another preparation, ending in ``features``."""
     opts = opts or TrainOptions()
-    # tree ensembles checkpoint node ids / predictions into the shared folder
-    ensure_checkpoint_dir(train.sparkSession)
-    weighted, n_rows = weights_and_rows(train, opts)
-    stages = build(name, opts, weighted, n_model_features(opts), n_rows).getStages()
-    prep_model = Pipeline(stages=stages[:-1]).fit(weighted)
-    prepared = prep_model.transform(weighted).select(opts.label, "w_balanced", "w_positive", "features")
-    if name in TREE_MODELS:
-        data = right_size(prepared, n_rows, False)
-        # the tree learners persist their own binned copy of the input; a
-        # cached prepared copy saves re-running the preparation on the few
-        # passes before that, but above CACHE_ROWS it would double storage
-        if n_rows > CACHE_ROWS:
-            return PipelineModel(stages=[*prep_model.stages, stages[-1].fit(data)])
-        prepared = data.persist()
-    else:
-        # linear models / MLP cache their input only when it is not cached yet
-        prepared = right_size(prepared, n_rows, True).persist()
+    data = prepare(train, opts, stages)
     try:
-        clf_model = stages[-1].fit(prepared)
+        return fit_prepared(name, data, opts)
     finally:
-        prepared.unpersist()
-    return PipelineModel(stages=[*prep_model.stages, clf_model])
+        data.release()
 
 
-def predictions(model: PipelineModel, df: DataFrame, label: str, key: str = S.UID) -> DataFrame:
-    """(uid, y, pred, p) from a fitted pipeline; p = P(class 1), or the hard
-    label for models without probabilities (A2)."""
+def _scored(out: DataFrame, label: str, key: str = S.UID, probabilities: bool = False) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df)
-    p = (vector_to_array("probability")[1] if "probability" in out.columns else F.lit(None).cast("double"))
+    if "probability" in out.columns:
+        arr = vector_to_array("probability")
+        # two classes: that of class 1; more: that of the predicted class
+        p = F.when(F.size(arr) == 2, arr[1]).otherwise(F.array_max(arr))
+    else:
+        arr, p = F.lit(None).cast("array<double>"), F.lit(None).cast("double")
     return out.select(
         key, F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"),
-        F.coalesce(p, F.col("prediction").cast("double")).alias("p"),
+        F.coalesce(p, F.col("prediction").cast("double")).alias("p"), *([arr.alias("probability")] if probabilities else []),
     )
 
 
+def predictions(model: PipelineModel, df: DataFrame, label: str, key: str = S.UID, probabilities: bool = False) -> DataFrame:
+    """(uid, y, pred, p) from a fitted pipeline; p = P(class 1) for two
+    classes, P(predicted class) for more, or the hard label for models without
+    probabilities (A2).  ``probabilities`` adds one array of all classes'."""
+    return _scored(model.transform(df), label, key, probabilities)
+
+
 def class_probabilities(scored: DataFrame, n_classes: int, prob_col: str = "probability",
                         prefix: str = "prob_class_") -> DataFrame:
     """The probability vector as one column per class."""
@@ -306,9 +327,10 @@ def _spark_settings(name: str, combo: dict, sum_w: float) -> dict:
     raise ValueError(name)
 
 
-def candidate_maps(name: str, clf, sum_w: float, method: str = "random", n_iter: int = 20, seed: int = 42):
-    """All combinations (grid) or a seeded sample of n_iter of them
-    (the whole grid when smaller); duplicates after mapping are removed."""
+def candidates(name: str, sum_w: float, method: str = "random", n_iter: int = 20, seed: int = 42) -> tuple[list[dict], list[dict]]:
+    """(Spark settings, combinations not run and why): all
+    combinations (grid) or a seeded sample of n_iter of them (the whole grid
+    when smaller); duplicates after mapping are run once."""
     grid = SEARCH_GRIDS[name]
     keys = list(grid)
     combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
@@ -316,76 +338,110 @@ def candidate_maps(name: str, clf, sum_w: float, method: str = "random", n_iter:
         combos = random.Random(seed).sample(combos, n_iter)
     elif method not in ("random", "grid"):
         raise ValueError("method must be grid or random")
-    maps, seen = [], set()
+    settings, seen, not_run = [], set(), []
     for combo in combos:
         st = _spark_settings(name, combo, sum_w)
         if st is None:
+            not_run.append({"model": name, "settings": combo, "reason": f"kernel {combo['kernel']} is not searched: only the linear one is a Spark solver"})
             continue
         frozen = tuple(sorted(st.items()))
         if frozen in seen:
+            not_run.append({"model": name, "settings": combo, "reason": "the same Spark settings as an earlier candidate"})
             continue
         seen.add(frozen)
-        maps.append({getattr(clf, k): v for k, v in st.items()})
-    return maps
+        settings.append(st)
+    return settings, not_run
 
 
-def tune(name: str, train: DataFrame, opts: TrainOptions | None = None, parallelism: int = 8):
+def candidate_maps(name: str, clf, sum_w: float, method: str = "random", n_iter: int = 20, seed: int = 42):
+    """The candidates as param maps of ``clf``."""
+    return [{getattr(clf, k): v for k, v in st.items()} for st in candidates(name, sum_w, method, n_iter, seed)[0]]
+
+
+@dataclass
+class Search:
+    model: PipelineModel
+    best: dict
+    scored: list  # (param map, mean metric)
+    not_run: list  # {model, settings, reason}
+
+
+def _search(name: str, data: Prepared, opts: TrainOptions, parallelism: int) -> Search:
+    clf = make_classifier(name, opts, float(data.n_rows), data.width, data.n_classes)
+    maps = candidate_maps(name, clf, float(data.n_rows), opts.tune_method, opts.n_iter, opts.seed)
+    grid = maps or ParamGridBuilder().build()
+    evaluator = MulticlassClassificationEvaluator(labelCol=opts.label, metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=clf, estimatorParamMaps=grid, evaluator=evaluator,
+                        numFolds=opts.cv, foldCol="fold", parallelism=parallelism, seed=opts.seed)
+    cv_model = cv.fit(data.rows)
+    best_clf = cv_model.bestModel
+    best = {p.name: best_clf.getOrDefault(p) for p in grid[0]} if maps else {}  # M15
+    not_run = candidates(name, float(data.n_rows), opts.tune_method, opts.n_iter, opts.seed)[1]
+    return Search(PipelineModel(stages=[*data.stages.stages, best_clf]), best, list(zip(grid, cv_model.avgMetrics)), not_run)
+
+
+def tune(name: str, train: DataFrame, opts: TrainOptions | None = None, parallelism: int = 8) -> Search:
     """Cross-validated search; folds are stratified by label
     (M14, ``foldCol``); score = F1 of class 1.
 
     The preparation stages are fitted once on the training data and the
     prepared (label, weights, fold, features) rows are persisted, so the
     candidates x folds fits only re-run the classifier (the reference's search
-    pipelines likewise hold no fitted scaler).  Returns (best PipelineModel,
-    best settings without prefixes, [(param map, mean metric)])."""
+    pipelines likewise hold no fitted scaler)."""
     opts = opts or TrainOptions()
-    weighted, n_rows = weights_and_rows(prep.stratified_folds(train, opts.label, opts.cv, seed=opts.seed), opts)
-    prep_model = Pipeline(stages=base_stages(opts)).fit(weighted)
-    prepared = prep_model.transform(weighted).select(
-        opts.label, "w_balanced", "w_positive", "fold", "features"
-    )
-    prepared = right_size(prepared, n_rows, name not in TREE_MODELS).persist()
+    data = prepare(train, opts, folds=True)
     try:
-        n = float(prepared.count())
-        clf = make_classifier(name, opts, n, n_model_features(opts))
-        maps = candidate_maps(name, clf, n, opts.tune_method, opts.n_iter, opts.seed)
-        grid = maps or ParamGridBuilder().build()
-        evaluator = MulticlassClassificationEvaluator(
-            labelCol=opts.label, metricName="fMeasureByLabel", metricLabel=1.0
-        )
-        cv = CrossValidator(estimator=clf, estimatorParamMaps=grid, evaluator=evaluator,
-                            numFolds=opts.cv, foldCol="fold", parallelism=parallelism, seed=opts.seed)
-        cv_model = cv.fit(prepared)
+        return _search(name, data, opts, parallelism)
     finally:
-        prepared.unpersist()
-    best_clf = cv_model.bestModel
-    best = {p.name: best_clf.getOrDefault(p) for p in grid[0]} if maps else {}  # M15
-    model = PipelineModel(stages=[*prep_model.stages, best_clf])
-    return model, best, list(zip(grid, cv_model.avgMetrics))
+        data.release()
 
 
-def train_all(train: DataFrame, test: DataFrame, opts: TrainOptions | None = None):
+@dataclass
+class Trained:
+    models: dict  # name -> PipelineModel
+    metrics: DataFrame  # one row per model
+    not_run: list  # {model, settings, reason}: models and candidates left out
+
+
+def train_all(train: DataFrame, test: DataFrame, opts: TrainOptions | None = None, parallelism: int = 8) -> Trained:
     """Fit every enabled model in order, evaluate on ``test``,
     choose the best by ``opts.select_metric`` (strictly greater wins, so the
-    earlier model keeps a tie).  Returns (models, metrics DataFrame)."""
+    earlier model keeps a tie).  One preparation serves all models, and the
+    test part is prepared and scored once."""
     opts = opts or TrainOptions()
-    models, frames = {}, []
-    for name in opts.enabled:
-        if name == "svm" and opts.svm.get("kernel") == "rbf":
-            continue
-        if opts.tune and name in SEARCH_GRIDS:
-            # Search first, then keep the refitted best pipeline
-            model = tune(name, train, opts)[0]
-        else:
-            model = fit(name, train, opts)
-        models[name] = model
-        frames.append(predictions(model, test, opts.label).withColumn("model", F.lit(name)))
-    allp = frames[0]
-    for f in frames[1:]:
-        allp = allp.unionByName(f)
-    metrics = EV.model_metrics(allp)
-    order = {n: i for i, n in enumerate(opts.enabled)}
-    return models, EV.best_model(metrics, order, opts.select_metric)
+    models, frames, not_run = {}, [], []
+    data = prepare(train, opts, folds=opts.tune)
+    ready = data.stages.transform(test).select(S.UID, opts.label, "features").persist()
+    try:
+        for name in opts.enabled:
+            if name == "svm" and opts.svm.get("kernel") == "rbf":
+                not_run.append({"model": name, "settings": dict(opts.svm), "reason": "rbf kernel needs a single-machine solver; not built"})
+                continue
+            if opts.tune and name in SEARCH_GRIDS:
+                # Search first, then keep the refitted best pipeline
+                found = _search(name, data, opts, parallelism)
+                models[name] = found.model
+                not_run += found.not_run
+            else:
+                models[name] = fit_prepared(name, data, opts)
+            own = PipelineModel(stages=models[name].stages[len(data.stages.stages):])
+            frames.append(_scored(own.transform(ready), opts.label).withColumn("model", F.lit(name)))
+        if not frames:
+            raise ValueError("no enabled model can be built")
+        allp = frames[0]
+        for f in frames[1:]:
+            allp = allp.unionByName(f)
+        allp = allp.persist()  # narrow; read for the counts and for the AUC
+        try:
+            order = {n: i for i, n in enumerate(opts.enabled)}
+            ranked = EV.best_model(EV.model_metrics(allp), order, opts.select_metric)
+            rows = ranked.collect()  # one row per model
+        finally:
+            allp.unpersist()
+    finally:
+        data.release()
+        ready.unpersist()
+    return Trained(models, train.sparkSession.createDataFrame(rows, ranked.schema), not_run)
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -1,18 +1,25 @@
-"""Registered queries: training (M3-M7, M12-M20).  Model fitting is not SQL,
-so these have no oracle (rows-only check); the pytest suite checks their
-invariants (better than the majority rate, save/load equality)."""
+"""Registered queries: training (M3-M7, M12-M20).  Fitted numbers are not SQL:
+those queries have no oracle, and the pytest suite checks their invariants
+(better than the majority rate, save/load equality).  What is exact about them
+has queries of its own with oracles: the scored rows and the form of their
+scores, the names of the features in order, the candidates, the models."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
+from ferrule.functions import features as FE
 from ferrule.functions import rules
 from ferrule.ml import train as TR
 from ferrule.operators import evaluate as EV
 from ferrule.operators import prep
+from ferrule.plans.sqltext import with_base
+from ferrule.sources import io
 from ferrule.sources.readings import machine_readings, read_table
 
 
@@ -22,64 +29,68 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
 
 
+def _options(spark: SparkSession, trees: bool = False, **more) -> TR.TrainOptions:
+    """The driver's tables are single files.  Trees do heavy work per pass, so
+    their rows are spread over the cores; the other fits run one light job per
+    step and take the partitions as they are."""
+    return TR.TrainOptions(num_partitions=spark.sparkContext.defaultParallelism if trees else None, **more)
+
+
 def rf_test_accuracy(spark, sf_dir):
     """M3 + M20: the demo flow - fit the forest on the training part, score
     the test part, accuracy and weighted metrics."""
     train, test = _split(spark, sf_dir)
-    model = TR.fit("random_forest", train)
+    model = TR.fit("random_forest", train, _options(spark, True))
     return EV.summary_metrics(TR.predictions(model, test, "machine_failure"), labels=[0, 1])
 
 
 def rf_importance(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    model = TR.fit("random_forest", train)
+    model = TR.fit("random_forest", train, _options(spark, True))
     return TR.importance_table(spark, model, train)
 
 
 def gbt_scores(spark, sf_dir):
     """M4: boosted trees (positive-class weight 3) scored on the test part."""
     train, test = _split(spark, sf_dir)
-    model = TR.fit("xgboost", train)
+    model = TR.fit("xgboost", train, _options(spark, True))
     return TR.predictions(model, test, "machine_failure")
 
 
 def lr_coefficients(spark, sf_dir):
     """M5 + M19: balanced logistic regression, |coefficient| ranking."""
     train, _ = _split(spark, sf_dir)
-    model = TR.fit("logistic_regression", train)
+    model = TR.fit("logistic_regression", train, _options(spark))
     return TR.importance_table(spark, model, train)
 
 
 def svm_scores(spark, sf_dir):
     """M6: linear SVM (no probabilities: p falls back to the hard label)."""
     train, test = _split(spark, sf_dir)
-    model = TR.fit("svm", train)
+    model = TR.fit("svm", train, _options(spark))
     return TR.predictions(model, test, "machine_failure")
 
 
-def mlp_scores(spark, sf_dir):
-    """Multilayer perceptron on the 64-dim embeddings, 10 classes;
-    the prediction is the argmax class, probabilities per class kept."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-
+def _embedding_scores(spark, sf_dir, epochs: int):
+    """M7/M8/M10/M11 by the library's ``fit``: the neural net on scaled
+    64-dim embeddings, ten classes, the test part with all probabilities."""
     emb = read_table(spark, sf_dir, "embeddings")
     df = emb.select(
         F.col("vec_id").alias(S.UID),
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-        F.col("label").cast("double").alias("label"),
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"),
+        "label",
     )
     df = prep.hash_split(df, (0.8, 0.2), ("train", "test"))
-    k = prep.n_classes(df, "label")
-    opts = TR.TrainOptions()
-    mlp = MultilayerPerceptronClassifier(
-        layers=[64, *opts.mlp["architecture"], k], maxIter=opts.mlp["epochs"], seed=opts.seed,
-    )
-    model = mlp.fit(df.filter(F.col("split") == "train"))
-    scored = model.transform(df.filter(F.col("split") == "test"))
-    return scored.select(
-        S.UID, F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"),
-        F.array_max(vector_to_array("probability")).alias("p_pred"),
-    )
+    opts = _options(spark, label="label", mlp={"architecture": [64, 32, 16], "epochs": epochs, "batch_size": 32})
+    scaler = StandardScaler(inputCol="vector", outputCol="features", withMean=True, withStd=True)
+    model = TR.fit("neural_network", df.filter(F.col("split") == "train"), opts, [scaler])
+    return TR.predictions(model, df.filter(F.col("split") == "test"), "label", probabilities=True)
+
+
+def mlp_scores(spark, sf_dir):
+    """Multilayer perceptron on the embeddings; the prediction is
+    the argmax class, with its probability."""
+    return _embedding_scores(spark, sf_dir, 50).select(S.UID, "y", "pred", F.col("p").alias("p_pred"))
 
 
 def tuned_best(spark, sf_dir):
@@ -87,9 +98,9 @@ def tuned_best(spark, sf_dir):
     stratified 3-fold CV on logistic regression; rows = candidates with
     their mean class-1 F1, best flagged."""
     train, _ = _split(spark, sf_dir)
-    cv_model, best, scored = TR.tune("logistic_regression", train)
+    found = TR.tune("logistic_regression", train, _options(spark))
     rows = []
-    for i, (pm, metric) in enumerate(scored):
+    for i, (pm, metric) in enumerate(found.scored):
         st = {p.name: v for p, v in pm.items()}
         rows.append((i, float(st.get("regParam", 0.0)), float(st.get("elasticNetParam", 0.0)), float(metric)))
     df = spark.createDataFrame(rows, "candidate int, reg_param double, elastic_net double, cv_f1 double")
@@ -101,9 +112,95 @@ def model_comparison(spark, sf_dir):
     """Every enabled model trained in order, evaluated on the
     test part, best by weighted F1 (first wins ties)."""
     train, test = _split(spark, sf_dir)
-    _, metrics = TR.train_all(train, test)
-    return metrics
+    return TR.train_all(train, test, _options(spark)).metrics
+
+
+# --- exact facts of trained results, with oracles --------------------------
+# (fewer trees and epochs: what is checked does not depend on them)
+
+_HASH_SQL = "md5(concat(CAST(uid AS VARCHAR), '42'))"
+_TEST_ROWS_SQL = f"""SELECT uid, machine_failure AS y, 1 AS pred_is_class, 1 AS p_is_share
+FROM f WHERE substr({_HASH_SQL}, 1, 4) >= 'cccc'"""
+
+
+def _facts(scored: DataFrame, classes: int) -> DataFrame:
+    return scored.select(
+        S.UID, "y", F.col("pred").between(0, classes - 1).cast("int").alias("pred_is_class"),
+        F.col("p").between(0.0, 1.0).cast("int").alias("p_is_share"))
+
+
+def _scored_facts(name: str, **more):
+    def run(spark, sf_dir):
+        train, test = _split(spark, sf_dir)
+        model = TR.fit(name, train, _options(spark, name in ("random_forest", "xgboost"), **more))
+        return _facts(TR.predictions(model, test, "machine_failure"), 2)
+
+    return run
+
+
+def embedding_predictions(spark, sf_dir):
+    """S8 + M11 on ten classes: the sink's columns, checked for form."""
+    sink = io.prediction_sink(_embedding_scores(spark, sf_dir, 5).withColumnRenamed("y", "label"), label="label", n_classes=10)
+    probs = [F.col(f"probability_class_{i}") for i in range(10)]
+    total = sum(probs[1:], probs[0])
+    return sink.select(
+        S.UID, F.col("true_value").cast("int").alias("y"), F.col("prediction").between(0, 9).cast("int").alias("pred_is_class"),
+        (F.abs(total - 1) < 1e-6).cast("int").alias("probabilities_sum_to_one"))
+
+
+EMBEDDING_PREDICTIONS_SQL = """SELECT vec_id AS uid, label AS y, 1 AS pred_is_class, 1 AS probabilities_sum_to_one
+FROM embeddings WHERE substr(md5(concat(CAST(vec_id AS VARCHAR), '42')), 1, 4) >= 'cccc'"""
+
+
+def _slot_names(**more):
+    """The assembled features' names under these options, in order."""
+
+    def run(spark, sf_dir):
+        train, _ = _split(spark, sf_dir)
+        opts = _options(spark, **more)
+        rows = Pipeline(stages=TR.base_stages(opts)).fit(train).transform(train)
+        return spark.createDataFrame(list(enumerate(TR.slot_names(rows))), "slot int, name string")
+
+    return run
+
+
+def _names_sql(names: list[str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(names)) + ") AS t(slot, name)"
+
+
+_SENSORS = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min"]
+# features' names, written out
+_DOMAIN = list(FE.domain_columns())
+_PAIRS = list(FE.interaction_columns([*_SENSORS, *_DOMAIN]))
+_ONEHOT = ["type_ohe_H", "type_ohe_L", "type_ohe_M"]
+
+
+def search_candidates(spark, sf_dir):
+    """The logistic search's candidates in order, for this training set."""
+    train, _ = _split(spark, sf_dir)
+    n = train.count()
+    rows = [(i, float(c["regParam"]), float(c["elasticNetParam"])) for i, c in enumerate(TR.candidates("logistic_regression", float(n))[0])]
+    return spark.createDataFrame(rows, "candidate int, reg_param double, elastic_net double")
+
+
+SEARCH_CANDIDATES_SQL = with_base(f"""SELECT candidate, 1.0 / (c * n) AS reg_param, elastic_net FROM
+(VALUES (0, CAST(0.1 AS DOUBLE), CAST(1 AS DOUBLE)), (1, 0.1, 0), (2, 1, 1), (3, 1, 0), (4, 10, 1), (5, 10, 0)) AS t(candidate, c, elastic_net),
+(SELECT CAST(count(*) AS DOUBLE) AS n FROM f WHERE substr({_HASH_SQL}, 1, 4) < 'cccc') AS k""")
+
+
+def compared_models(spark, sf_dir):
+    """Which models were trained, in which order, on how many test rows."""
+    train, test = _split(spark, sf_dir)
+    opts = _options(spark, enabled=("logistic_regression", "svm", "neural_network"),
+                    mlp={"architecture": [8], "epochs": 5, "batch_size": 32})
+    return TR.train_all(train, test, opts).metrics.select("model", "train_order", "n_rows")
+
+
+COMPARED_MODELS_SQL = with_base(f"""SELECT model, train_order, n_rows FROM
+(VALUES ('logistic_regression', 0), ('svm', 1), ('neural_network', 2)) AS t(model, train_order),
+(SELECT count(*) AS n_rows FROM f WHERE substr({_HASH_SQL}, 1, 4) >= 'cccc') AS k""")
 
+_SCALED = lambda names: [f"{n}_scaled" for n in names]
 
 QUERIES = {
     "rf_test_accuracy": (rf_test_accuracy, None),
@@ -114,4 +211,16 @@ QUERIES = {
     "mlp_scores": (mlp_scores, None),
     "tuned_best": (tuned_best, None),
     "model_comparison": (model_comparison, None),
+    "forest_test_rows": (_scored_facts("random_forest", rf={"n_estimators": 10, "max_depth": 8, "min_samples_leaf": 1, "class_weight": "balanced"}),
+                         with_base(_TEST_ROWS_SQL)),
+    "boosted_test_rows": (_scored_facts("xgboost", gbt={**TR.TrainOptions().gbt, "n_estimators": 5}), with_base(_TEST_ROWS_SQL)),
+    "logistic_test_rows": (_scored_facts("logistic_regression", scaling="robust", handle_missing="mean", select_features=8), with_base(_TEST_ROWS_SQL)),
+    "svm_test_rows": (_scored_facts("svm", scaling="minmax", encoding="target"), with_base(_TEST_ROWS_SQL)),
+    "embedding_predictions": (embedding_predictions, EMBEDDING_PREDICTIONS_SQL),
+    "model_slots": (_slot_names(), _names_sql([*_ONEHOT, *_SCALED([*_SENSORS, *_DOMAIN, *_PAIRS])])),
+    "model_slots_plain": (_slot_names(domain=False, interactions=False, scaling="none", encoding="label"), _names_sql(["type_label", *_SENSORS])),
+    "model_slots_expanded": (_slot_names(domain=False, interactions=False, polynomial=True, powers=True, scaling="none"),
+                             _names_sql([*_ONEHOT, *_SENSORS, *FE.polynomial_columns(_SENSORS, 2), *FE.power_columns(_SENSORS)])),
+    "search_candidates": (search_candidates, SEARCH_CANDIDATES_SQL),
+    "compared_models": (compared_models, COMPARED_MODELS_SQL),
 }

@@ -27,6 +27,7 @@ class TrainResult:
     models: dict[str, PipelineModel]
     metrics: DataFrame
     best_model: str
+    not_run: list
 
 
 def train_and_report(readings: DataFrame, out_dir: str, opts: TR.TrainOptions | None = None,
@@ -40,27 +41,28 @@ def train_and_report(readings: DataFrame, out_dir: str, opts: TR.TrainOptions |
     df = prep.hash_split(df)
     train = df.filter(F.col("split") == "train")
     test = df.filter(F.col("split") == "test")
-    models, ranked = TR.train_all(train, test, opts)
-    ranked = ranked.persist()
+    trained = TR.train_all(train, test, opts)
+    models, ranked = trained.models, trained.metrics
     best = ranked.filter(F.col(f"is_best_{opts.select_metric}") == 1).first()["model"]
     io.write_table(io.evaluation_report(ranked, opts.select_metric), f"{out_dir}/evaluation_report", "json")
     for name, model in models.items():
         evaluate_model(model, test, f"{out_dir}/{name}", opts.label)
     TR.save(models[best], f"{out_dir}/model")
-    ranked.unpersist()
-    return TrainResult(models, ranked, best)
+    return TrainResult(models, ranked, best, trained.not_run)
 
 
 def evaluate_model(model: PipelineModel, data: DataFrame, out_dir: str, label: str = "machine_failure") -> None:
     """Evaluate flow: transform once, persist the narrow prediction frame,
     derive every report from it."""
-    preds = TR.predictions(model, data, label).persist()
+    preds = TR.predictions(model, data, label, probabilities=True).persist()
     try:
-        io.write_table(EV.classification_report(preds, labels=[0, 1]), f"{out_dir}/classification_report", "csv")
-        cells = EV.confusion_cells(preds, labels=[0, 1])
+        io.write_table(EV.classification_report(preds), f"{out_dir}/classification_report", "csv")
+        cells = EV.confusion_cells(preds)
         io.write_table(io.error_report(cells), f"{out_dir}/error_report", "json")
-        io.write_table(EV.roc_curve(preds), f"{out_dir}/roc_curve")
-        io.write_table(EV.pr_curve(preds), f"{out_dir}/pr_curve")
+        top_class = cells.agg(F.max("true_label")).first()[0] or 0
+        if top_class < 2:  # curves are of class 1 against class 0
+            io.write_table(EV.roc_curve(preds), f"{out_dir}/roc_curve")
+            io.write_table(EV.pr_curve(preds), f"{out_dir}/pr_curve")
         clf = model.stages[-1]
         if hasattr(clf, "featureImportances") or hasattr(clf, "coefficients"):
             imp = TR.importance_table(data.sparkSession, model, data)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule import schema as S
 from ferrule.functions import rules
 from ferrule.ml import train as TR
 from ferrule.operators import evaluate as EV
@@ -29,7 +30,7 @@ def test_forest_beats_majority_and_round_trips(spark, split, tmp_path):
     again = TR.predictions(TR.load(str(tmp_path / "rf")), test, "machine_failure")
     assert sorted(map(tuple, preds.collect())) == sorted(map(tuple, again.collect()))
     imp = TR.importance_table(spark, model, train).collect()
-    assert len(imp) == TR.n_model_features(opts)
+    assert len(imp) == len(S.MACHINE_TYPES) + len(TR.feature_columns(opts))
     assert imp[0]["importance"] >= imp[-1]["importance"]
 
 
@@ -83,6 +84,47 @@ def test_class_probabilities_and_selection(spark, split):
 def test_train_all_with_search(spark, split):
     train, test = split
     opts = TR.TrainOptions(enabled=("logistic_regression",), tune=True, tune_method="random", n_iter=2, cv=2)
-    models, ranked = TR.train_all(train, test, opts)
-    assert set(models) == {"logistic_regression"}
-    assert ranked.count() == 1
+    trained = TR.train_all(train, test, opts)
+    assert set(trained.models) == {"logistic_regression"}
+    assert trained.metrics.count() == 1
+
+
+def test_left_out_candidates_and_models_are_named(spark, split):
+    train, test = split
+    settings, not_run = TR.candidates("svm", 100.0, "grid")
+    assert len(settings) == 3 and len(settings) + len(not_run) == 36 and all(x["reason"] for x in not_run)
+    opts = TR.TrainOptions(enabled=("svm", "logistic_regression"), svm={"C": 1.0, "kernel": "rbf", "class_weight": "balanced"})
+    trained = TR.train_all(train, test, opts)
+    assert list(trained.models) == ["logistic_regression"] and [x["model"] for x in trained.not_run] == ["svm"]
+
+
+def test_depth_beyond_spark_is_refused():
+    with pytest.raises(ValueError):
+        TR.make_classifier("random_forest", TR.TrainOptions(rf={"n_estimators": 1, "max_depth": 31}))
+
+
+@pytest.mark.parametrize("more", [
+    {"polynomial": True, "powers": True, "domain": False}, {"scaling": "none", "encoding": "label"},
+    {"scaling": "minmax", "encoding": "target"}, {"scaling": "robust", "handle_missing": "median", "interactions": False},
+])
+def test_names_follow_the_options(spark, split, more):
+    from pyspark.ml import Pipeline
+
+    train, _ = split
+    opts = TR.TrainOptions(**more)
+    holes = train.withColumn("rpm", F.when(F.col("uid") % 7 > 0, F.col("rpm"))) if "handle_missing" in more else train
+    rows = Pipeline(stages=TR.base_stages(opts)).fit(holes).transform(holes)
+    names = [n.removesuffix("_scaled") for n in TR.slot_names(rows)]
+    assert names[-len(TR.feature_columns(opts)):] == TR.feature_columns(opts)
+    assert len(rows.first()["features"]) == len(names) and not {"twf", "machine_failure"} & set(names)
+
+
+def test_selection_and_three_classes(spark, split):
+    train, test = split
+    bin3 = F.when(F.col("rpm") < 1450, 0).when(F.col("rpm") < 1600, 1).otherwise(2)
+    opts = TR.TrainOptions(label="speed", enabled=("logistic_regression", "neural_network"), select_features=4)
+    trained = TR.train_all(train.withColumn("speed", bin3), test.withColumn("speed", bin3), opts)
+    rows = {r["model"]: r for r in trained.metrics.collect()}
+    assert rows["logistic_regression"]["n_rows"] == test.count() and rows["logistic_regression"]["accuracy"] > 0.8
+    scored = TR.predictions(trained.models["neural_network"], test.withColumn("speed", bin3), "speed", probabilities=True)
+    assert scored.filter(F.size("probability") != 3).count() == 0
