@@ -2,11 +2,9 @@
 per-machine features, W2 daily trend).
 
 Rolling windows per machine are split by time: a machine that holds a third
-of all rows must not become one window partition.  Rows are cut into
-(machine, chunk) partitions where a chunk is longer than the look-back; the
-rows of the look-back tail of a chunk are replicated into the next chunk as
-context only.  Each window partition then holds one machine-chunk, and the
-result equals the unsplit window.
+of all rows must not become one window partition.  Rows are cut into (machine,
+bucket) partitions as long as the look-back, and the result equals the unsplit
+window.
 """
 
 from __future__ import annotations
@@ -28,35 +26,53 @@ def ts_micros(ts_col: str = S.TS):
 
 
 def rolling_per_machine(df: DataFrame, lookback_s: int, values: dict, key: str = S.MACHINE_ID,
-                        ts_col: str = S.TS, chunk_s: int = 86_400) -> DataFrame:
+                        ts_col: str = S.TS) -> DataFrame:
     """For every row, aggregates over the same machine's rows with
     ts in [ts - lookback, ts] (range frame, peers included).
 
-    ``values``: output name -> (aggregate function, column expression).
-    """
-    if chunk_s < lookback_s:
-        raise ValueError("chunk must be at least the look-back")
+    ``values``: output name -> (``F.count``, ``F.sum``, ``F.avg``, ``F.min`` or
+    ``F.max``, column expression).
+
+    Time is cut into buckets as long as the look-back, so a frame is the end of
+    one bucket and the beginning of the next: two running aggregates, one from
+    each end, put together.  A moving frame would be aggregated anew for every
+    row; this takes one step a row, however many rows a frame holds.  A bucket
+    of one machine is one window partition."""
+    span = lookback_s * MICROS
     us = ts_micros(ts_col)
-    base = df.select("*", us.alias("_us"), F.floor(us / (chunk_s * MICROS)).alias("_chunk"))
-    # primary copy in its own chunk; context copy in the next chunk when the
-    # row lies within the look-back of that chunk's start
-    next_start = (F.col("_chunk") + 1) * chunk_s * MICROS
-    copies = F.when(
-        F.col("_us") >= next_start - lookback_s * MICROS,
-        F.array(F.struct(F.col("_chunk").alias("c"), F.lit(True).alias("own")),
-                F.struct((F.col("_chunk") + 1).alias("c"), F.lit(False).alias("own"))),
-    ).otherwise(F.array(F.struct(F.col("_chunk").alias("c"), F.lit(True).alias("own"))))
-    exploded = base.select("*", F.explode(copies).alias("_copy")).select(
-        "*", F.col("_copy.c").alias("_part"), F.col("_copy.own").alias("_own")
-    ).drop("_copy")
-    w = (
-        Window.partitionBy(key, "_part")
-        .orderBy("_us")
-        .rangeBetween(-lookback_s * MICROS, 0)
-    )
-    aggs = [fn(expr).over(w).alias(name) for name, (fn, expr) in values.items()]
-    out = exploded.select("*", *aggs).filter(F.col("_own"))
-    return out.drop("_us", "_chunk", "_part", "_own")
+    merge = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    parts = {}  # partial name -> (aggregate, expression)
+    for name, (fn, expr) in values.items():
+        if fn.__name__ not in (*merge, "avg"):
+            raise ValueError(f"no rolling {fn.__name__}")
+        for kind in ("sum", "count") if fn.__name__ == "avg" else (fn.__name__,):
+            parts[f"_{kind}_{name}"] = (kind, expr)
+    base = df.select("*", us.alias("_us"), F.monotonically_increasing_id().alias("_rid"),
+                     *[F.when(expr.isNotNull(), expr).alias(f"_x{n}") for n, (_, expr) in parts.items()])
+    bucket = F.floor(F.col("_us") / span)
+    own = F.struct(F.lit(True).alias("own"), F.col("_us").alias("t"), bucket.alias("b"))
+    # asks the bucket before for its rows from ts - lookback on
+    probe = F.struct(F.lit(False).alias("own"), (F.col("_us") - span).alias("t"), (bucket - 1).alias("b"))
+    both = F.explode(F.when(F.col("_us").isNotNull(), F.array(own, probe)).otherwise(F.array(own))).alias("_c")
+    marked = base.select("*", both).select("*", F.col("_c.own").alias("_own"), F.col("_c.t").alias("_t"), F.col("_c.b").alias("_b")).drop("_c")
+    place = Window.partitionBy(key, "_b")
+    begin = place.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    end = place.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = []
+    for n, (kind, _) in parts.items():
+        x = F.when(F.col("_own"), F.col(f"_x{n}"))
+        pieces.append(F.when(F.col("_own"), merge[kind](x).over(begin)).otherwise(merge[kind](x).over(end)).alias(n))
+    pair = Window.partitionBy("_rid")
+    add = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    whole = marked.select("*", *pieces)
+    whole = whole.select(*[c for c in whole.columns if c not in parts], *[add[kind](n).over(pair).alias(n) for n, (kind, _) in parts.items()])
+    outs = []
+    for name, (fn, _) in values.items():
+        if fn.__name__ == "avg":
+            outs.append((F.col(f"_sum_{name}") / F.when(F.col(f"_count_{name}") > 0, F.col(f"_count_{name}"))).alias(name))
+        else:
+            outs.append(F.col(f"_{fn.__name__}_{name}").alias(name))
+    return whole.filter("_own").select(*df.columns, *outs)
 
 
 def daily_trend(scored: DataFrame, ts_col: str = S.TS, digits: int = 6) -> DataFrame:

@@ -16,12 +16,15 @@ def test_rolling_split_equals_plain_window(spark):
         m = 1 if i % 3 == 0 else 2 + i % 7
         rows.append((i, m, t0 + dt.timedelta(minutes=37 * i), float(i % 11)))
     df = spark.createDataFrame(rows, "uid long, machine_id long, ts timestamp, v double")
-    got = MO.rolling_per_machine(df, 6 * 3600, {"n": (F.count, F.lit(1)), "s": (F.sum, F.col("v"))},
-                                 chunk_s=8 * 3600)
+    df = df.unionByName(df.limit(40).withColumn("uid", F.col("uid") + 10_000).withColumn("v", F.lit(None).cast("double")))
+    got = MO.rolling_per_machine(df, 6 * 3600, {
+        "n": (F.count, F.lit(1)), "s": (F.sum, F.col("v")), "m": (F.avg, F.col("v")), "lo": (F.min, F.col("v")), "hi": (F.max, F.col("v"))})
+    assert got.columns == [*df.columns, "n", "s", "m", "lo", "hi"]
     w = Window.partitionBy("machine_id").orderBy(F.unix_micros("ts")).rangeBetween(-6 * 3600 * 10**6, 0)
-    ref = df.select("uid", F.count(F.lit(1)).over(w).alias("n"), F.sum("v").over(w).alias("s"))
-    a = {r["uid"]: (r["n"], r["s"]) for r in got.collect()}
-    b = {r["uid"]: (r["n"], r["s"]) for r in ref.collect()}
+    ref = df.select("uid", F.count(F.lit(1)).over(w).alias("n"), F.sum("v").over(w).alias("s"), F.avg("v").over(w).alias("m"),
+                    F.min("v").over(w).alias("lo"), F.max("v").over(w).alias("hi"))
+    a = {r["uid"]: tuple(r[c] for c in ("n", "s", "m", "lo", "hi")) for r in got.collect()}
+    b = {r["uid"]: tuple(r[c] for c in ("n", "s", "m", "lo", "hi")) for r in ref.collect()}
     assert a == b
 
 
