@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule import schema as S
 from ferrule.functions import features as FE
-from ferrule.functions import rules
+from ferrule.functions import rules, scoring
 from ferrule.operators import quality
 from ferrule.plans.sqltext import POWER_SQL, RAW_CTE, with_base
 from ferrule.sources.readings import machine_readings, raw_readings
@@ -244,7 +244,30 @@ SELECT status, count(*) AS n_rows, round(avg(tool_wear_min), 6) AS avg_tool_wear
 FROM k GROUP BY status"""
 
 
+def unknown_machine_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2, J3, A6 where the type is unknown or null: the rule is false without
+    a default, the default threshold decides with one, and scores sum to p."""
+    odd = F.when(F.col(S.UID) % 5 == 1, F.lit("X")).when(F.col(S.UID) % 5 != 3, F.col(S.TYPE))
+    df = machine_readings(spark, sf_dir).withColumn(S.TYPE, odd)
+    parts = scoring.raw_type_scores()
+    return df.select(
+        S.UID, S.TYPE,
+        rules.osf_threshold().alias("threshold"), rules.osf_threshold(default=S.OSF_DEFAULT_THRESHOLD).alias("threshold_or_default"),
+        rules.osf().cast("int").alias("osf"), rules.osf(S.OSF_DEFAULT_THRESHOLD).cast("int").alias("osf_or_default"),
+        parts["OSF"].alias("osf_score"),
+    )
+
+
+_ODD_TYPES_SQL = with_base("""SELECT uid, type, t AS threshold, coalesce(t, 12000) AS threshold_or_default,
+       CASE WHEN tool_wear_min * torque_nm > t THEN 1 ELSE 0 END AS osf,
+       CASE WHEN tool_wear_min * torque_nm > coalesce(t, 12000) THEN 1 ELSE 0 END AS osf_or_default,
+       CAST(CASE WHEN tool_wear_min * torque_nm > coalesce(t, 12000) THEN 0.8 ELSE 0.2 END AS DOUBLE) AS osf_score
+FROM (SELECT *, CASE type WHEN 'L' THEN CAST(11000 AS DOUBLE) WHEN 'M' THEN CAST(12000 AS DOUBLE) WHEN 'H' THEN CAST(13000 AS DOUBLE) END AS t
+      FROM (SELECT * REPLACE (CASE WHEN uid % 5 = 1 THEN 'X' WHEN uid % 5 <> 3 THEN type END AS type) FROM r))""")
+
+
 QUERIES = {
+    "unknown_machine_types": (unknown_machine_types, _ODD_TYPES_SQL),
     "failures_by_type": (failures_by_type, FAILURES_BY_TYPE_SQL),
     "domain_features": (domain_features, DOMAIN_FEATURES_SQL),
     "interaction_features": (interaction_features, INTERACTION_FEATURES_SQL),

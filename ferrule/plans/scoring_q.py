@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ferrule import schema as S
 from ferrule.operators import scoring as SC
 from ferrule.operators import summary as SU
-from ferrule.plans.sqltext import RECOMMENDATION_SQL, with_attribution
+from ferrule.plans.sqltext import RECOMMENDATION_SQL, with_attribution, with_base
 from ferrule.sources.readings import machine_readings
 
 
@@ -163,7 +163,17 @@ FROM a WHERE machine_failure_pred = 1 GROUP BY most_likely_type"""
 )
 
 
+def dense_row_numbers(spark, sf_dir):
+    """1..n over all readings, by torque and then id."""
+    df = machine_readings(spark, sf_dir).select(S.UID, S.TORQUE)
+    return SU.dense_row_number(df, S.TORQUE, ties=[S.UID]).select(S.UID, "row_no")
+
+
+DENSE_ROW_NUMBERS_SQL = with_base("SELECT uid, row_number() OVER (ORDER BY torque_nm NULLS FIRST, uid) AS row_no FROM r")
+
+
 QUERIES = {
+    "dense_row_numbers": (dense_row_numbers, DENSE_ROW_NUMBERS_SQL),
     "score_linear": (score_linear, SCORE_LINEAR_SQL),
     "failure_attribution": (failure_attribution, FAILURE_ATTRIBUTION_SQL),
     "recommendations": (recommendations, RECOMMENDATIONS_SQL),
