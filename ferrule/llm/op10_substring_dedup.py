@@ -185,8 +185,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     company = Window.partitionBy("band", "key")
     flagged = C.written(
         keyed.withColumn("near", F.min("d0").over(company) < F.max("d0").over(company)).filter("exact or near").drop("d0"), "op10-flagged")
-    hits = C.written(
-        found.select("doc_id", "start", "stop", "hash").join(flagged.select("hash").distinct(), "hash"), "op10-hits")
+    # written first, so that a join only joins, and Spark can split a hot hash
+    wanted = C.written(flagged.select("hash").distinct(), "op10-wanted")
+    hits = C.written(found.select("doc_id", "start", "stop", "hash").join(wanted, "hash"), "op10-hits")
     # near classes: exact similarity, from one occurrence of each
     near = flagged.filter("near").select("band", "key", "hash")
     reps = hits.join(near.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(
@@ -198,7 +199,8 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     comp = C.written(components(_similar(near.join(shingles, "hash"), threshold)), "op10-clusters")
     hits = hits.join(comp.withColumnRenamed("id", "hash"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     clusters = hits.groupBy("component").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).filter("keeper < _last")
-    hits = hits.join(clusters.select("component", "keeper"), "component").select(
+    clusters = C.written(clusters.select("component", "keeper"), "op10-keepers")
+    hits = hits.join(clusters, "component").select(
         "doc_id", "start", "stop", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
 
     def merge(t: pa.Table) -> pa.Table:
