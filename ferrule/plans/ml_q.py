@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
-from ferrule.functions import features as FE
 from ferrule.functions import rules
 from ferrule.ml import train as TR
 from ferrule.operators import evaluate as EV
@@ -170,8 +169,14 @@ def _names_sql(names: list[str]) -> str:
 
 _SENSORS = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min"]
 # features' names, written out
-_DOMAIN = list(FE.domain_columns())
-_PAIRS = list(FE.interaction_columns([*_SENSORS, *_DOMAIN]))
+_DOMAIN = ["temp_diff", "power_w", "tool_wear_rate", "torque_per_rpm", "tool_wear_torque", "temp_efficiency", "critical_operation"]
+_PAIRS = [
+    "air_temp_k_process_temp_k_interaction", "rpm_torque_nm_interaction", "tool_wear_min_torque_nm_interaction",
+    "tool_wear_min_rpm_interaction",
+]
+# monomials of degree 2, then square, cube and root of each sensor
+_MONOMIALS = [f"{a}^2" if a == b else f"{a} {b}" for i, a in enumerate(_SENSORS) for b in _SENSORS[i:]]
+_POWERS = [f"{a}_{n}" for a in _SENSORS for n in ("squared", "cubed", "sqrt")]
 _ONEHOT = ["type_ohe_H", "type_ohe_L", "type_ohe_M"]
 
 
@@ -220,7 +225,7 @@ QUERIES = {
     "model_slots": (_slot_names(), _names_sql([*_ONEHOT, *_SCALED([*_SENSORS, *_DOMAIN, *_PAIRS])])),
     "model_slots_plain": (_slot_names(domain=False, interactions=False, scaling="none", encoding="label"), _names_sql(["type_label", *_SENSORS])),
     "model_slots_expanded": (_slot_names(domain=False, interactions=False, polynomial=True, powers=True, scaling="none"),
-                             _names_sql([*_ONEHOT, *_SENSORS, *FE.polynomial_columns(_SENSORS, 2), *FE.power_columns(_SENSORS)])),
+                             _names_sql([*_ONEHOT, *_SENSORS, *_MONOMIALS, *_POWERS])),
     "search_candidates": (search_candidates, SEARCH_CANDIDATES_SQL),
     "compared_models": (compared_models, COMPARED_MODELS_SQL),
 }
