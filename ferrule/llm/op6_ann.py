@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm import common as C
-from ferrule.llm.op4_embedding_dedup import _equal_lengths, _matrix, usable
+from ferrule.llm.op4_embedding_dedup import _matrix, usable
 
 K, EPSILON, SEED = 20, 4.0, 6
 QUERY_BLOCK, ROW_BLOCK = 2048, 16384

@@ -28,8 +28,6 @@ exchanged freely, each row taken on its own); an empty table gives no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
