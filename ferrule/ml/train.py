@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
-from ferrule.functions import features as FE
 from ferrule.ml.stages import FeatureEngineer, preparation_stages
 from ferrule.operators import evaluate as EV
 from ferrule.operators import prep
