@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 def cells(df: DataFrame, group: list[str], member: Column, size: int, sizes: DataFrame | None = None) -> DataFrame:
-    """``df`` with columns ``cell`` (long: tells the cells of the table apart),
+    """``df`` with columns ``cell`` (a struct: tells the cells of the table apart),
     ``mine`` and ``other`` (this row's block and the cell's other block)."""
     if sizes is None:
         sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
@@ -23,7 +23,7 @@ def cells(df: DataFrame, group: list[str], member: Column, size: int, sizes: Dat
     out = out.withColumn("mine", F.pmod(F.xxhash64(member), F.col("_n")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return out.withColumn(
-        "cell", F.xxhash64(*group, F.least("mine", "other"), F.greatest("mine", "other"))
+        "cell", F.struct(*group, F.least("mine", "other").alias("_lo"), F.greatest("mine", "other").alias("_hi"))
     ).drop("_m", "_n")
 
 

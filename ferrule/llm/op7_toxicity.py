@@ -276,9 +276,6 @@ def fit(train: DataFrame, corpus: DataFrame, bins: int = BINS) -> Model:
     return model
 
 
-SPANS = "array<struct<start:int,stop:int,score:double>>"
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (all its columns) with score, predicted and segments: the
     significant segments' character spans and scores."""
