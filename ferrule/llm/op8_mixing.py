@@ -169,7 +169,9 @@ def _fly(units: DataFrame, last: bool) -> DataFrame:
         grp = np.full(len(key), t.column("grp")[0].as_py())
         return pa.table({"key": key, "grp": grp, "p": q, "x": x, "tie": tie})
 
-    return units.groupBy("grp", "block").applyInArrow(run, "key long, grp long, p double, x long, tie long")
+    # dealt by source and block: what came before may have dealt by source alone,
+    # which would leave a hot source's blocks in one task
+    return units.repartition("grp", "block").groupBy("grp", "block").applyInArrow(run, "key long, grp long, p double, x long, tie long")
 
 
 def choose(units: DataFrame, block: int = BLOCK) -> DataFrame:
