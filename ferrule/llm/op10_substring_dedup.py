@@ -14,9 +14,21 @@ in a third of all documents is one row.  Classes that share a band's key are
 compared by the exact Jaccard similarity of their shingles, in cells of two
 blocks (``blocks.py``); components of the similar ones are clusters.
 
+*Extension.*  A change in the middle of a longer passage leaves few windows
+equal, so passages are also seeded: ``SEED_WORDS`` words from denser anchors, of
+which every ``SEED_WORDS + SEED_REACH - 1`` words (22) in a row hold one.  Words of
+Jaccard similarity 0.8 or more to others have 22 equal ones in a row (the worst
+is one inserted word in the middle of 44).  Equal seeds, and equal paragraphs,
+link each document to the one of smallest id that has them; overlapping links
+on one diagonal are a run.  From each run the chain of equal shingles is
+followed over ``CONTEXT`` shingles on both sides, and the longest extent whose
+shingles, counted along the chain, have the threshold's Jaccard similarity is
+taken if it has ``WORDS`` words.
+
 *Removal.*  In a cluster of two documents at least, the document of smallest
-id keeps its paragraphs and all others lose them; overlapping ones merge to
-spans.  Whole texts are used, and only spans leave a text.
+id keeps its paragraphs and all others lose them; so does the later document
+of an extent, in full.  Overlapping ones merge to spans.  Whole texts are used,
+and only spans leave a text.  The kept span of an extent is its run.
 
 Edge cases: null, empty and short texts (under ``WORDS`` words) have no
 paragraph; rows of one id count as one document; rows of null id have no
@@ -27,6 +39,7 @@ anchors only where it begins.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +54,11 @@ from ferrule.llm.components import components
 from ferrule.llm.op1_ngram_join import intersections
 
 WORDS, REACH, K = 25, 24, 5
+SEED_WORDS, SEED_REACH, CONTEXT = 12, 11, 120
 THRESHOLD, RECALL, SEED = 0.8, 0.95, 10
 BLOCK = 512
 
+LINK_SCHEMA = "doc_id long, start int, stop int, keeper long, kstart int, kstop int"
 SPAN_SCHEMA = "doc_id long, start int, stop int, removed boolean, keepers array<bigint>"
 
 
@@ -107,22 +122,22 @@ def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH)
     chars = np.cumsum((c.data & 0xC0) != 0x80)
     base = np.concatenate([[0], chars])[c.offsets[:-1]]
     return {"row": row, "start": chars[starts[at]] - 1 - base[row], "stop": chars[stops[at + words - 1] - 1] - base[row],
-            "hash": whole, "keys": np.stack(keys, axis=1)}
+            "hash": whole, "keys": np.stack(keys, axis=1) if keys else np.zeros((len(at), 0), np.uint32)}
 
 
-def _table(docs: DataFrame, n_bands: int) -> DataFrame:
+def _table(docs: DataFrame, n_bands: int, words: int = WORDS, reach: int = REACH) -> DataFrame:
     """(doc_id, start, stop, hash, keys) of all paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for c in C.chunks(batch.column(1)):
-                p = paragraphs(c, n_bands)
+                p = paragraphs(c, n_bands, words, reach)
                 cols = [pa.array(ids[c.rows[p["row"]]]), pa.array(p["start"].astype(np.int32)), pa.array(p["stop"].astype(np.int32)), pa.array(p["hash"].view(np.int64))]
                 cols += [pa.array(p["keys"][:, b].astype(np.int64)) for b in range(n_bands)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "stop", "hash", *[f"k{b}" for b in range(n_bands)]])
 
-    schema = "doc_id long, start int, stop int, hash long, " + ", ".join(f"k{b} long" for b in range(n_bands))
+    schema = ", ".join(["doc_id long, start int, stop int, hash long", *[f"k{b} long" for b in range(n_bands)]])
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -170,6 +185,167 @@ def _shingles(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return docs.join(reps, "doc_id").select("text", "at").mapInArrow(run, "hash long, shingles binary").dropDuplicates(["hash"])
 
 
+def _links(found: DataFrame, name: str) -> DataFrame:
+    """(``LINK_SCHEMA``): each place of ``found`` (doc_id, start, stop, hash) with
+    the first place of its hash, if that is in a document of smaller id."""
+    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "stop")).alias("o"), F.max("doc_id").alias("_last"))
+    first = first.filter("o.doc_id < _last").select(
+        "hash", F.col("o.doc_id").alias("keeper"), F.col("o.start").alias("kstart"), F.col("o.stop").alias("kstop"))
+    # written first, so that Spark can split a hot hash in the join
+    return found.join(C.written(first, name), "hash").filter("doc_id > keeper").select("doc_id", "start", "stop", "keeper", "kstart", "kstop")
+
+
+def _runs(links: DataFrame) -> DataFrame:
+    """Links merged where they overlap on one diagonal of two documents; one
+    whose spaces differ in length is a run of its own."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        start, stop, keeper, kstart, kstop = (t.column(c).to_numpy().astype(np.int64) for c in ("start", "stop", "keeper", "kstart", "kstop"))
+        order = np.lexsort((start, start - kstart, stop - kstop, keeper))
+        start, stop, keeper, kstart, kstop = start[order], stop[order], keeper[order], kstart[order], kstop[order]
+        shift, ends = start - kstart, stop - kstop
+        other = np.concatenate([[True], (keeper[1:] != keeper[:-1]) | (shift[1:] != shift[:-1]) | (ends[1:] != ends[:-1])]) | (shift != ends)
+        far = np.cumsum(other) << 33
+        top = np.maximum.accumulate(far + stop)
+        new = other.copy()
+        new[1:] |= far[1:] + start[1:] > top[:-1]
+        a = np.flatnonzero(new)
+        z = np.append(a[1:], len(start)) - 1
+        start, keeper, shift, ends, stop = start[a], keeper[a], shift[a], ends[a], (top - far)[z]
+        doc = t.column("doc_id")[0].as_py()
+        return pa.table({
+            "doc_id": pa.array([doc] * len(a), pa.int64()), "start": start.astype(np.int32), "stop": stop.astype(np.int32),
+            "keeper": keeper, "kstart": (start - shift).astype(np.int32), "kstop": (stop - ends).astype(np.int32)})
+
+    return links.groupBy("doc_id").applyInArrow(merge, LINK_SCHEMA)
+
+
+def _places(batch: pa.RecordBatch, names: tuple[str, str]):
+    """Of a batch (text, at: array of structs with a start and a stop in
+    ``names``), per place that lies on words of its text: its entry in the
+    array's values, (starts, stops) of the text's words, their shingles, and
+    the place's first word and the word after its last."""
+    at = batch.column(1)
+    off, a, b = at.offsets.to_numpy(), at.values.field(names[0]).to_numpy(), at.values.field(names[1]).to_numpy()
+    for c in C.chunks(batch.column(0)):
+        starts, stops, first = c.spans()
+        n = len(starts)
+        if n < K:
+            continue
+        w = C.Prefix(c.data).slices(starts, stops)
+        k = C.seeds(K, 77)
+        five = C.mix64(sum((w[j : n - K + 1 + j] * k[j] for j in range(K)), np.zeros(n - K + 1, np.uint64)))
+        five = (five >> np.uint64(32)).astype(np.uint32)
+        chars = np.cumsum((c.data & 0xC0) != 0x80)
+        base = np.concatenate([[0], chars])[c.offsets[:-1]]
+        for r, row in enumerate(c.rows.tolist()):
+            x, y = first[r], first[r + 1]
+            if y - x < K:
+                continue
+            begin, end = chars[starts[x:y]] - 1 - base[r], chars[stops[x:y] - 1] - base[r]
+            mine = np.arange(off[row], off[row + 1])
+            p, q = np.searchsorted(begin, a[mine]), np.searchsorted(end, b[mine])
+            fits = (p < q) & (q < y - x)
+            fits[fits] = (begin[p[fits]] == a[mine[fits]]) & (end[q[fits]] == b[mine[fits]])
+            for m, u, v in zip(mine[fits].tolist(), p[fits].tolist(), (q[fits] + 1).tolist()):
+                if v - u >= K:
+                    yield m, begin, end, five[x : y - K + 1], u, v
+
+
+def _sides(five: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that end left of the run of words p..q, and right of it, going away from it."""
+    return five[max(p - CONTEXT, 0) : p][::-1], five[q - K + 1 : q - K + 1 + CONTEXT]
+
+
+def chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest chain of equal entries of x and y, in the order of both: how
+    many entries of x, and of y, it takes to hold 0, 1, 2, ... of them."""
+    i, j = np.nonzero(x[:, None] == y[None, :])
+    if len(i):
+        order = np.lexsort((-j, i))
+        i, j = i[order].tolist(), j[order].tolist()
+    tails: list = []
+    last: list = []
+    before = [-1] * len(i)
+    for n, b in enumerate(j):
+        k = bisect_left(tails, b)
+        before[n] = last[k - 1] if k else -1
+        if k == len(tails):
+            tails.append(b)
+            last.append(n)
+        else:
+            tails[k], last[k] = b, n
+    path = []
+    n = last[-1] if last else -1
+    while n >= 0:
+        path.append(n)
+        n = before[n]
+    path.reverse()
+    return np.array([0, *[i[n] + 1 for n in path]]), np.array([0, *[j[n] + 1 for n in path]])
+
+
+def extent(inside: int, mine: tuple, other: tuple, threshold: float) -> tuple[int, int]:
+    """Words by which a run of ``inside`` equal shingles extends to the left and
+    to the right: the longest extent of the wanted Jaccard similarity."""
+    gain, length = [], []
+    for x, y in zip(mine, other):
+        a, b = chain(x, y)
+        gain.append((1 + threshold) * np.arange(len(a)) - threshold * (a + b))
+        length.append(a)
+    good = gain[0][:, None] + gain[1][None, :] + (1 - threshold) * inside >= -1e-6
+    u, v = np.unravel_index(np.argmax(np.where(good, length[0][:, None] + length[1][None, :], -1)), good.shape)
+    return int(length[0][u]), int(length[1][v])
+
+
+def _extended(docs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
+    """The extents (``LINK_SCHEMA``) of the runs, those of WORDS words at least."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ("kstart", "kstop")
+            held, left, right = [], [], []
+            for m, _, _, five, p, q in _places(batch, names):
+                x, y = _sides(five, p, q)
+                held.append(m)
+                left.append(x.tobytes())
+                right.append(y.tobytes())
+            place = batch.column(1).values.take(pa.array(held, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [place.field("keeper"), place.field("kstart"), place.field("kstop"), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                names=["keeper", *names, "left", "right"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("doc_id", "start", "stop", "keeper", "kstart", "kstop")
+        for batch in batches:
+            values = batch.column(1).values
+            left, right = values.field("left"), values.field("right")
+            held, start, stop = [], [], []
+            for m, begin, end, five, p, q in _places(batch, ("start", "stop")):
+                other = tuple(np.frombuffer(side[m].as_py(), np.uint32) for side in (left, right))
+                u, v = extent(q - p - K + 1, _sides(five, p, q), other, threshold)
+                if q - p + u + v >= WORDS:
+                    held.append(m)
+                    start.append(int(begin[p - u]))
+                    stop.append(int(end[q + v - 1]))
+            place = values.take(pa.array(held, pa.int64()))
+            cols = {c: place.field(c) for c in names}
+            cols |= {"start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32())}
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=list(names))
+
+    spots = ["keeper", "kstart", "kstop"]
+    reps = C.written(
+        runs.select(*spots).distinct().groupBy(F.col("keeper").alias("doc_id")).agg(F.collect_list(F.struct(*spots)).alias("at")), "op10-run-keepers")
+    maybe, _ = C.prefilter(docs, "doc_id", reps.select("doc_id"))
+    sides = C.written(
+        maybe.join(reps, "doc_id").select("text", "at")
+        .mapInArrow(around, "keeper long, kstart int, kstop int, left binary, right binary").dropDuplicates(spots), "op10-sides")
+    asked = C.written(
+        runs.join(sides, spots).groupBy("doc_id")
+        .agg(F.collect_list(F.struct("doc_id", "start", "stop", *spots, "left", "right")).alias("at")), "op10-asked")
+    maybe, _ = C.prefilter(docs, "doc_id", asked.select("doc_id"))
+    return C.written(maybe.join(asked, "doc_id").select("text", "at").mapInArrow(extend, LINK_SCHEMA), "op10-extents")
+
+
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per span of a document that repeats in another one: doc_id,
     start, stop (code points), removed, keepers (documents that keep it).
@@ -188,6 +364,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     # written first, so that a join only joins, and Spark can split a hot hash
     wanted = C.written(flagged.select("hash").distinct(), "op10-wanted")
     hits = C.written(found.select("doc_id", "start", "stop", "hash").join(wanted, "hash"), "op10-hits")
+    seeds = C.written(_table(docs, 0, SEED_WORDS, SEED_REACH), "op10-seeds")
+    links = _links(seeds, "op10-seed-keepers").unionByName(_links(hits, "op10-hit-keepers"))
+    extents = _extended(docs, C.written(_runs(links), "op10-runs"), threshold)
     # near classes: exact similarity, from one occurrence of each
     near = flagged.filter("near").select("band", "key", "hash")
     reps = hits.join(near.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(
@@ -202,6 +381,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     clusters = C.written(clusters.select("component", "keeper"), "op10-keepers")
     hits = hits.join(clusters, "component").select(
         "doc_id", "start", "stop", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    kept = extents.select(F.col("keeper").alias("doc_id"), F.col("kstart").alias("start"), F.col("kstop").alias("stop"), "keeper").distinct()
+    hits = hits.unionByName(extents.select("doc_id", "start", "stop", "keeper", F.lit(True).alias("removed"))).unionByName(
+        kept.withColumn("removed", F.lit(False)))
 
     def merge(t: pa.Table) -> pa.Table:
         rows = sorted(set(zip(*(t.column(c).to_pylist() for c in ("removed", "start", "stop", "keeper")))))

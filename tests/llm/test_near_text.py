@@ -149,6 +149,41 @@ def test_passages_are_found_and_removed(spark, make_docs):
     assert set(docs.columns) == set(out[0].asDict())
 
 
+def jaccard(a, b):
+    x, y = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_passages_go_in_full_wherever_they_are_edited(spark, make_docs):
+    rng = random.Random(3)
+    rows, want = [], []
+    for n in (44, 60, 75, 90, 105, 120):
+        for kind in ("change", "insert", "delete"):
+            for at in (3, n // 4, n // 2, 3 * n // 4, n - 4):
+                for more in (0, 1):
+                    base = words(rng.random(), n)
+                    edited = list(base)
+                    places = {at, (at + n // 2) % n} if more else {at}
+                    for k in sorted(places, reverse=True):
+                        edited[k : k + (kind != "insert")] = [] if kind == "delete" else ["new"]
+                    if jaccard(base, edited) < 0.8:
+                        continue
+                    k = len(rows)
+                    rest = [words(rng.random(), 40) for _ in range(4)]
+                    rows += [(k, " ".join(rest[0] + base + rest[1])), (k + 1, " ".join(rest[2]) + "\n\n" + " ".join(rest[3][:20] + edited).replace(" ", "  ", k % 3 * 40) + " " + " ".join(rest[3][20:]))]
+                    want.append((k + 1, set(edited), rest[2] + rest[3], min(min(x, n - 1 - x) for x in places)))
+    docs = make_docs(rows)
+    left = {r["doc_id"]: r["text"].split() for r in sub.cleaned(docs, sub.repeats(docs)).collect()}
+    assert len(want) > 80
+    for k, text in rows[::2]:
+        assert left[k] == text.split()
+    for k, passage, rest, edge in want:
+        # an edit within four words of the edge leaves no shingle beyond it
+        assert len([w for w in left[k] if w in passage - set(rest)]) <= (0 if edge > 4 else 5), k
+        # a similar paragraph of 25 words may reach two words beyond the passage
+        assert len([w for w in left[k] if w not in passage]) >= len([w for w in rest if w not in passage]) - 4, k
+
+
 def test_paragraphs_do_not_depend_on_neighbours():
     p = " ".join(words(77, 51))
     one = sub.paragraphs(next(C.chunks(pa.array([p]))), 2)
