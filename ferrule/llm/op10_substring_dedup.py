@@ -33,7 +33,8 @@ and only spans leave a text.  The kept span of an extent is its run.
 Edge cases: null, empty and short texts (under ``WORDS`` words) have no
 paragraph; rows of one id count as one document; rows of null id have no
 paragraph and stay as they are; a stretch of one word over and over has
-anchors only where it begins.
+anchors only where it begins, so one of ``WORDS`` words or more is also a record
+of its word, and goes whole where a document of smaller id has such a stretch.
 """
 
 from __future__ import annotations
@@ -125,6 +126,44 @@ def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH)
             "hash": whole, "keys": np.stack(keys, axis=1) if keys else np.zeros((len(at), 0), np.uint32)}
 
 
+def stretches(c: C.Chunk) -> dict[str, np.ndarray]:
+    """Of the chunk's stretches of ``WORDS`` or more times one word: row (in the
+    chunk), start and stop (code points of the text), and hash of the word."""
+    starts, stops, first = c.spans()
+    w = C.Prefix(c.data).slices(starts, stops)
+    new = np.ones(len(w), bool)
+    new[1:] = w[1:] != w[:-1]
+    new[first[:-1][np.diff(first) > 0]] = True
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(w)) - 1
+    long = z - a + 1 >= WORDS
+    a, z = a[long], z[long]
+    row = np.searchsorted(first, a, "right") - 1
+    chars = np.cumsum((c.data & 0xC0) != 0x80)
+    base = np.concatenate([[0], chars])[c.offsets[:-1]]
+    return {"row": row, "start": chars[starts[a]] - 1 - base[row], "stop": chars[stops[z] - 1] - base[row], "hash": w[a]}
+
+
+def _stretches(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, keeper, removed) of the stretches of one word that
+    two documents have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for c in C.chunks(batch.column(1)):
+                s = stretches(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[c.rows[s["row"]]]), pa.array(s["start"].astype(np.int32)), pa.array(s["stop"].astype(np.int32)), pa.array(s["hash"].view(np.int64))],
+                    names=["doc_id", "start", "stop", "hash"])
+
+    schema = "doc_id long, start int, stop int, hash long"
+    found = C.written(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema), "op10-stretches")
+    first = found.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).filter("keeper < _last")
+    return found.join(C.written(first.select("hash", "keeper"), "op10-stretch-keepers"), "hash").select(
+        "doc_id", "start", "stop", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+
+
 def _table(docs: DataFrame, n_bands: int, words: int = WORDS, reach: int = REACH) -> DataFrame:
     """(doc_id, start, stop, hash, keys) of all paragraphs."""
 
@@ -383,7 +422,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         "doc_id", "start", "stop", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
     kept = extents.select(F.col("keeper").alias("doc_id"), F.col("kstart").alias("start"), F.col("kstop").alias("stop"), "keeper").distinct()
     hits = hits.unionByName(extents.select("doc_id", "start", "stop", "keeper", F.lit(True).alias("removed"))).unionByName(
-        kept.withColumn("removed", F.lit(False)))
+        kept.withColumn("removed", F.lit(False))).unionByName(_stretches(docs))
 
     def merge(t: pa.Table) -> pa.Table:
         rows = sorted(set(zip(*(t.column(c).to_pylist() for c in ("removed", "start", "stop", "keeper")))))
