@@ -40,7 +40,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm import common as C
@@ -215,11 +215,12 @@ def event_log(turns: DataFrame, delta: int = DELTA) -> DataFrame:
     """The log that streams the rows of a table of turns (conv_id, turn, role,
     text): each row opens a message with its first ``delta`` code points, and
     streams the rest in deltas of as many."""
-    # rows of one conversation and turn: each a message, in order of role and text
+    # rows of one conversation and turn: each a message, in order of role and
+    # whole text, of which a start event has the first piece only
     keyed = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), "role",
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("message", F.xxhash64("seq", F.monotonically_increasing_id()))
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    ).withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "role", "text")).cast("long"))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / delta), F.lit(0))))
     cut = keyed.withColumn("part", piece)
     return cut.select(

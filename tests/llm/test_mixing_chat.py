@@ -143,3 +143,16 @@ def test_format_and_digests_round_trip(spark, tmp_path):
             assert offset == at
             at += len(text)
     assert chat.digests(rendered.filter("false")).count() == 0
+
+
+def test_tied_rows_are_in_order_of_their_whole_texts(spark):
+    start = "x" * 1500
+    rows = [(1, 0, "assistant", start + f"{k:03d}" + "y" * (k % 3 * 800)) for k in range(40)]
+    rows += [(2, 0, None, "b"), (2, 0, "", "a"), (2, 0, None, "c"), (2, None, "user", start + "2"), (2, None, "user", start + "1")]
+    random.Random(5).shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {}
+    for r in chat.reconstruct(chat.event_log(table)).collect():
+        got.setdefault(r["conv_id"], []).append((r["turn_no"], r["role"], r["text"]))
+    assert [x for _, _, x in sorted(got[1])] == sorted(x for c, _, _, x in rows if c == 1)
+    assert [x for _, _, x in sorted(got[2])] == [start + "1", start + "2", "a", "b", "c"]
