@@ -156,41 +156,51 @@ def _landing(p: np.ndarray, x: np.ndarray, open_: list[int], want: float) -> np.
     return out
 
 
-def _fly(units: DataFrame, last: bool) -> DataFrame:
-    """One flight in every block.  ``units``: key, grp, block, p, x, tie."""
+def _fly(units: DataFrame) -> DataFrame:
+    """One flight in every block, and the landing of the groups of one block.
+    ``units``: key, grp, block, p, x, tie, land."""
 
     def run(t: pa.Table) -> pa.Table:
         key, tie, x, p = (t.column(c).to_numpy() for c in ("key", "tie", "x", "p"))
         order = np.lexsort((key, x, tie))
         key, tie, x, p = key[order], tie[order], x[order], p[order]
         q, open_ = flight(p, x, int(np.bitwise_xor.reduce(tie)) & 0xFFFFFFFF)
-        if last:
+        land = t.column("land")[0].as_py()
+        if land:
             q = _landing(q, x, open_, float((p * x).sum()))
-        grp = np.full(len(key), t.column("grp")[0].as_py())
-        return pa.table({"key": key, "grp": grp, "p": q, "x": x, "tie": tie})
+        grp, block = (np.full(len(key), t.column(c)[0].as_py()) for c in ("grp", "block"))
+        return pa.table({"key": key, "grp": grp, "p": q, "x": x, "tie": tie, "block": block.astype(np.int32), "land": np.full(len(key), land)})
 
     # dealt by source and block: what came before may have dealt by source alone,
     # which would leave a hot source's blocks in one task
-    return units.repartition("grp", "block").groupBy("grp", "block").applyInArrow(run, "key long, grp long, p double, x long, tie long")
+    return units.repartition("grp", "block").groupBy("grp", "block").applyInArrow(
+        run, "key long, grp long, p double, x long, tie long, block int, land boolean")
 
 
 def choose(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key, extra): 1 for the units taken.  ``units``: key (unique long), grp
     (long), p (in [0, 1)), x (long), tie (long: a hash)."""
     sure = []
-    now = units
+    # each group lands in the round in which it fits one block; of a larger one,
+    # the decided units of a first block wait as partners for exchanges
+    names = ("key", "grp", "p", "x", "tie", "waits")
+    now = units.withColumn("waits", F.lit(False))
     while True:
-        sizes = now.groupBy("grp").agg(F.count(F.lit(1)).alias("_m"))
-        blocks = sizes.select("grp", F.ceil(F.col("_m") / block).cast("int").alias("_n"))
-        dealt = now.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("tie", F.lit(len(sure))), F.col("_n")).cast("int"))
-        most = sizes.agg(F.max("_m")).first()[0] or 0
-        last = most <= block
-        flown = C.written(_fly(dealt.select("key", "grp", "block", "p", "x", "tie"), last), f"op8-flight{len(sure)}")
+        sizes = now.groupBy("grp").agg(F.count_if(~F.col("waits")).alias("_m"))
+        blocks = sizes.select("grp", F.greatest(F.ceil(F.col("_m") / block), F.lit(1)).cast("int").alias("_n"))
+        dealt = now.join(blocks, "grp").withColumn("land", F.col("_n") == 1).withColumn(
+            "block", F.pmod(F.xxhash64("tie", F.lit(len(sure))), F.col("_n")).cast("int"))
+        last = (sizes.agg(F.max("_m")).first()[0] or 0) <= block
+        flown = C.written(
+            _fly(dealt.filter("land or not waits").select("key", "grp", "block", "p", "x", "tie", "land")), f"op8-flight{len(sure)}")
         whole = (F.col("p") == 0) | (F.col("p") == 1)
-        sure.append(flown.filter(whole).select("key", F.col("p").cast("int").alias("extra")))
+        wait = whole & ~F.col("land") & (F.col("block") == 0) if not sure else F.lit(False)
+        sure.append(flown.filter(whole & ~wait).select("key", F.col("p").cast("int").alias("extra")))
         if last:
             break
-        now = flown.filter(~whole)
+        waiting = flown.filter(wait) if len(sure) == 1 else dealt.filter("waits and not land")
+        now = flown.filter(~whole).withColumn("waits", F.lit(False)).select(*names).unionByName(
+            waiting.withColumn("waits", F.lit(True)).select(*names))
     out = sure[0]
     for s in sure[1:]:
         out = out.union(s)

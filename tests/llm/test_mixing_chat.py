@@ -66,6 +66,18 @@ def test_reruns_agree_whatever_the_partitions(spark):
     assert runs[0] == runs[1]
 
 
+def test_sources_land_whatever_the_size_of_others(spark):
+    rng = random.Random(8)
+    hot = [(k, 0, 0.37, rng.randint(50, 150), rng.getrandbits(60)) for k in range(300)]
+    small = [(1000 * g + k, g, 0.5, 50 + k if k else 400, rng.getrandbits(60)) for g in range(1, 7) for k in range(15)]
+    schema = "key long, grp long, p double, x long, tie long"
+    run = lambda rows: {r["key"]: r["extra"] for r in mix.choose(spark.createDataFrame(rows, schema), 16).collect()}
+    alone, beside = run(small), run(hot + small)
+    assert len(beside) == len(hot + small)
+    assert all(beside[k] == v for k, v in alone.items())
+    assert abs(sum(beside[r[0]] * r[3] for r in hot) - sum(r[2] * r[3] for r in hot)) <= 3
+
+
 def test_flight_keeps_sums_and_expectations():
     rng = np.random.default_rng(0)
     p, x = rng.random(400), rng.integers(1, 1000, 400)
