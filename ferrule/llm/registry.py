@@ -16,6 +16,7 @@ MODULES = [
     "op9_bpe",
     "op10_substring_dedup",
     "op12_exact_dedup",
+    "op13_filter_audit",
 ]
 
 
