@@ -15,6 +15,7 @@ MODULES = [
     "op8_mixing",
     "op9_bpe",
     "op10_substring_dedup",
+    "op11_centroids",
     "op12_exact_dedup",
     "op13_filter_audit",
 ]
