@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
+from ferrule.ml import batched, boost
 from ferrule.ml.stages import FeatureEngineer, preparation_stages
 from ferrule.operators import evaluate as EV
 from ferrule.operators import prep
@@ -174,12 +174,9 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
         )
     if name == "xgboost":
         c = opts.gbt
-        return GBTClassifier(
-            labelCol=label, featuresCol="features", maxIter=int(c["n_estimators"]),
-            stepSize=float(c["learning_rate"]), maxDepth=_depth(c["max_depth"]),
-            subsamplingRate=float(c["subsample"]), featureSubsetStrategy=str(c["colsample_bytree"]),
-            weightCol="w_positive", seed=opts.seed, cacheNodeIds=True, maxMemoryInMB=1024,
-        )
+        if n_classes > 2:
+            raise ValueError("boosted trees are built for two classes")
+        return boost.BoostedTrees(label, boost.Settings(**{**c, "seed": opts.seed}))
     if name in ("logistic_regression", "svm"):
         c = opts.lr if name == "logistic_regression" else opts.svm
         sum_w = n_rows_weight or 1.0
@@ -309,14 +306,13 @@ SEARCH_GRIDS = {
 
 def _spark_settings(name: str, combo: dict, sum_w: float) -> dict:
     """Map one sklearn-style combination to Spark params (None when the
-    combination has no Spark meaning; solver and min_samples_split drop out)."""
+    combination has no Spark meaning; solver and min_samples_split drop out).
+    Boosted trees take every setting of their grid as it is."""
     if name == "random_forest":
         return {"numTrees": combo["n_estimators"], "maxDepth": _depth(combo["max_depth"]),
                 "minInstancesPerNode": combo["min_samples_leaf"]}
     if name == "xgboost":
-        return {"maxIter": combo["n_estimators"], "stepSize": combo["learning_rate"],
-                "maxDepth": combo["max_depth"], "subsamplingRate": combo["subsample"],
-                "featureSubsetStrategy": str(combo["colsample_bytree"])}
+        return dict(combo)
     if name == "logistic_regression":
         return {"regParam": 1.0 / (combo["C"] * sum_w), "elasticNetParam": 1.0 if combo["penalty"] == "l1" else 0.0}
     if name == "svm":
@@ -361,22 +357,43 @@ def candidate_maps(name: str, clf, sum_w: float, method: str = "random", n_iter:
 class Search:
     model: PipelineModel
     best: dict
-    scored: list  # (param map, mean metric)
+    scored: list  # (settings, mean F1 of class 1 over the folds)
     not_run: list  # {model, settings, reason}
 
 
 def _search(name: str, data: Prepared, opts: TrainOptions, parallelism: int) -> Search:
-    clf = make_classifier(name, opts, float(data.n_rows), data.width, data.n_classes)
-    maps = candidate_maps(name, clf, float(data.n_rows), opts.tune_method, opts.n_iter, opts.seed)
-    grid = maps or ParamGridBuilder().build()
-    evaluator = MulticlassClassificationEvaluator(labelCol=opts.label, metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=clf, estimatorParamMaps=grid, evaluator=evaluator,
-                        numFolds=opts.cv, foldCol="fold", parallelism=parallelism, seed=opts.seed)
-    cv_model = cv.fit(data.rows)
-    best_clf = cv_model.bestModel
-    best = {p.name: best_clf.getOrDefault(p) for p in grid[0]} if maps else {}  # M15
-    not_run = candidates(name, float(data.n_rows), opts.tune_method, opts.n_iter, opts.seed)[1]
-    return Search(PipelineModel(stages=[*data.stages.stages, best_clf]), best, list(zip(grid, cv_model.avgMetrics)), not_run)
+    """Logistic regression and boosted trees: all candidates and folds share
+    their scans.  The others: one fit each, ``parallelism`` at a time."""
+    total = float(data.n_rows)
+    settings, not_run = candidates(name, total, opts.tune_method, opts.n_iter, opts.seed)
+    clf = make_classifier(name, opts, total, data.width, data.n_classes)
+    if name == "xgboost":
+        tried = [boost.Settings(**st, seed=opts.seed) for st in settings]
+        f1 = boost.cross_validated(data.rows, opts.label, tried, opts.cv)
+    elif name == "logistic_regression" and data.n_classes == 2 and data.width <= batched.MAX_WIDTH:
+        weight = "w_balanced" if opts.lr.get("class_weight") == "balanced" else None
+        problems = [batched.Problem(st["regParam"], st["elasticNetParam"], k) for st in settings for k in range(opts.cv)]
+        table = batched.blocks(data.rows, opts.label, weight, "fold")
+        parts = batched.fold_f1(table, problems, batched.fit_many(table, problems, data.width))
+        f1 = [sum(parts[i * opts.cv : (i + 1) * opts.cv]) / opts.cv for i in range(len(settings))]
+    else:
+        maps = [{getattr(clf, k): v for k, v in st.items()} for st in settings] or ParamGridBuilder().build()
+        evaluator = MulticlassClassificationEvaluator(labelCol=opts.label, metricName="fMeasureByLabel", metricLabel=1.0)
+        cv = CrossValidator(estimator=clf, estimatorParamMaps=maps, evaluator=evaluator,
+                            numFolds=opts.cv, foldCol="fold", parallelism=parallelism, seed=opts.seed)
+        cv_model = cv.fit(data.rows)
+        best_i = max(range(len(maps)), key=lambda i: (cv_model.avgMetrics[i], -i))
+        best = settings[best_i] if settings else {}
+        return Search(PipelineModel(stages=[*data.stages.stages, cv_model.bestModel]), best,
+                      list(zip(settings or [{}], cv_model.avgMetrics)), not_run)
+    best_i = max(range(len(settings)), key=lambda i: (f1[i], -i))  # M15: the first of the best
+    best = settings[best_i]
+    if name == "xgboost":
+        clf = boost.BoostedTrees(opts.label, tried[best_i])
+        model = clf.fit(data.rows)
+    else:
+        model = clf.fit(data.rows, {getattr(clf, k): v for k, v in best.items()})
+    return Search(PipelineModel(stages=[*data.stages.stages, model]), best, list(zip(settings, f1)), not_run)
 
 
 def tune(name: str, train: DataFrame, opts: TrainOptions | None = None, parallelism: int = 8) -> Search:
@@ -416,6 +433,9 @@ def train_all(train: DataFrame, test: DataFrame, opts: TrainOptions | None = Non
             if name == "svm" and opts.svm.get("kernel") == "rbf":
                 not_run.append({"model": name, "settings": dict(opts.svm), "reason": "rbf kernel needs a single-machine solver; not built"})
                 continue
+            if name == "xgboost" and data.n_classes > 2:
+                not_run.append({"model": name, "settings": dict(opts.gbt), "reason": "boosted trees are built for two classes"})
+                continue
             if opts.tune and name in SEARCH_GRIDS:
                 # Search first, then keep the refitted best pipeline
                 found = _search(name, data, opts, parallelism)
