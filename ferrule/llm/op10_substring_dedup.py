@@ -403,9 +403,12 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     # written first, so that a join only joins, and Spark can split a hot hash
     wanted = C.written(flagged.select("hash").distinct(), "op10-wanted")
     hits = C.written(found.select("doc_id", "start", "stop", "hash").join(wanted, "hash"), "op10-hits")
+    C.discard(found)
     seeds = C.written(_table(docs, 0, SEED_WORDS, SEED_REACH), "op10-seeds")
     links = _links(seeds, "op10-seed-keepers").unionByName(_links(hits, "op10-hit-keepers"))
-    extents = _extended(docs, C.written(_runs(links), "op10-runs"), threshold)
+    runs = C.written(_runs(links), "op10-runs")
+    C.discard(seeds)
+    extents = _extended(docs, runs, threshold)
     # near classes: exact similarity, from one occurrence of each
     near = flagged.filter("near").select("band", "key", "hash")
     reps = hits.join(near.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm import common as C
-from ferrule.llm.op9_bpe import WordTable
+from ferrule.llm.op9_bpe import CHUNK, WordTable
 from ferrule.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -212,7 +212,7 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
         n = 0
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for chunk in C.chunks(batch.column(1), 2 * C.CHUNK_BYTES):
+            for chunk in C.chunks(batch.column(1), CHUNK):
                 ids, counts = own.encode(chunk, end_id)
                 held.append((docs[chunk.rows[0] : chunk.rows[0] + len(chunk)], ids, counts))
                 n += len(ids)

@@ -87,6 +87,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: fl
             break
         at_limit = r["n"]
         rate = (share * total - (r["caps"] or 0.0)) / r["open"]
+    else:
+        raise RuntimeError(f"targets did not settle in {ROUNDS} rounds")
     return table.withColumn("target", F.least("cap", F.col("weight") * F.lit(rate)))
 
 

@@ -37,8 +37,11 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 L, N, O, A1, A2, SP, SL, S = range(8)
 # states: what the match that holds the previous code point is
 LET, NUM, OTH, RUN, JOIN, DONE, ONE, TWO = range(8)
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
-BLOCK = 512
+# words of at most WORD_BYTES are kept, CACHE_BYTES of them in all, counting
+# WORD_COST for the table's own objects
+WORD_BYTES, WORD_COST, CACHE_BYTES = 64, 200, 32 << 20
+CHUNK = C.CHUNK_BYTES // 4
+BLOCK = 256
 
 
 def _step(state: int, cls: int) -> tuple[int, bool]:
@@ -110,7 +113,7 @@ def cuts(cls: np.ndarray) -> np.ndarray:
     blocks = -(-n // BLOCK)
     grid = np.full(blocks * BLOCK, 8 + O, np.uint8)
     grid[:n] = cls
-    grid = np.ascontiguousarray(grid.reshape(blocks, BLOCK).T).astype(np.int64) * 8  # one row per step
+    grid = np.ascontiguousarray(grid.reshape(blocks, BLOCK).T) << 3  # one row per step; 127 at most
     # fold: the function of every block
     fold = np.tile(np.arange(8, dtype=np.uint8), (blocks, 1))
     for row in grid:
@@ -185,7 +188,8 @@ def merge_pairs(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 class WordTable:
     """word -> its run of ids; words not seen before are encoded together by
-    ``encode(words) -> (ids of all, number of ids of each)``."""
+    ``encode(words) -> (ids of all, number of ids of each)``.  Short ones are kept,
+    up to ``CACHE_BYTES`` in all; longer ones are encoded where they occur."""
 
     def __init__(self, encode):
         self.encode = encode
@@ -194,16 +198,19 @@ class WordTable:
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.first, self.ids = array("q", [0]), array("I")
+        self.size = 0
 
     def _add(self, words: list[bytes]) -> list[int]:
+        """Places of these short words, now kept."""
         ids, counts = self.encode(words)
         at = len(self.first) - 1
         self.ids.extend(ids)
         end = self.first[-1]
-        for word, n in zip(words, counts):
+        for n in counts:
             end += n
             self.first.append(end)
-        self.place.update((w, at + k) for k, w in enumerate(words) if len(w) <= CACHE_BYTES)
+        self.place.update((w, at + k) for k, w in enumerate(words))
+        self.size += sum(map(len, words)) + 4 * len(ids) + WORD_COST * len(words)
         return list(range(at, at + len(words)))
 
     def expand(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,20 +218,28 @@ class WordTable:
         Equal slices, told by a 64-bit hash, are looked up once."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.first) > CACHE_WORDS:
+        if self.size > CACHE_BYTES:
             self.clear()
         _, one, where = np.unique(C.Prefix(data).slices(starts, stops), return_index=True, return_inverse=True)
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(starts[one].tolist(), stops[one].tolist())]
+        long = np.flatnonzero(stops[one] - starts[one] > WORD_BYTES)
         found = list(map(self.place.get, words))
-        missing = [k for k, at in enumerate(found) if at is None]
+        missing = [k for k, at in enumerate(found) if at is None and len(words[k]) <= WORD_BYTES]
         for k, at in zip(missing, self._add([words[k] for k in missing])):
             found[k] = at
-        at = np.array(found, np.int64)
-        lo = np.frombuffer(self.first, np.int64)[at]
-        counts = np.frombuffer(self.first, np.int64)[at + 1] - lo
+        at = np.array([0 if x is None else x for x in found], np.int64)
+        bounds = np.append(np.frombuffer(self.first, np.int64), self.first[-1])
+        lo, counts = bounds[at], bounds[at + 1] - bounds[at]
+        ids = np.frombuffer(self.ids, np.uint32)
+        if len(long):
+            # this chunk's long words follow the kept ones, for this call only
+            more, n = self.encode([words[k] for k in long.tolist()])
+            counts[long] = n
+            lo[long] = len(ids) + np.cumsum(n) - n
+            ids = np.concatenate([ids, np.array(more, np.uint32)])
         lo, counts = lo[where], counts[where]
-        out = np.frombuffer(self.ids, np.uint32)[np.repeat(lo, counts) + C.ramp(counts)]
+        out = ids[np.repeat(lo, counts) + C.ramp(counts)]
         return out, counts
 
 
@@ -275,7 +290,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for chunk in C.chunks(batch.column(1), 2 * C.CHUNK_BYTES):
+            for chunk in C.chunks(batch.column(1), CHUNK):
                 tokens, first = own.encode(chunk)
                 raw, cut = own.decode(tokens, first)
                 spans = list(zip(first[:-1].tolist(), first[1:].tolist()))
@@ -288,6 +303,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+        pa.default_memory_pool().release_unused()
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 

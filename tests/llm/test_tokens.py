@@ -107,3 +107,25 @@ def test_files_with_repeated_and_null_ids_and_empty_table(spark, make_docs, no_d
     path = str(tmp_path / "none")
     pack.write(no_docs, path, P.path(pack.VOCABULARY))
     assert pack.read(spark, path).count() == 0
+
+
+def test_word_table_stays_bounded_whatever_the_words():
+    import numpy as np
+
+    from ferrule.llm import op9_bpe as bpe
+
+    table = bpe.WordTable(lambda words: ([b for w in words for b in w], [len(w) for w in words]))
+    rng = np.random.default_rng(0)
+    for size in (200, 200, 12, 12, 64, 65):
+        for _ in range(4):
+            data = rng.integers(97, 123, 5000 * size, dtype=np.uint8)
+            starts = np.arange(0, len(data), size)
+            ids, counts = table.expand(data, starts, starts + size)
+            assert (counts == size).all() and (ids == data).all()
+            held = sum(map(len, table.place)) + 4 * len(table.ids) + bpe.WORD_COST * len(table.place)
+            assert held == table.size and held <= bpe.CACHE_BYTES + 5000 * (size * 5 + bpe.WORD_COST)
+        if size == 200:
+            assert not table.place and not len(table.ids)  # long words are never kept
+    mixed = np.frombuffer(b"ab" * 40 + b"ab" + b"c" * 70, np.uint8)
+    ids, counts = table.expand(mixed, np.array([0, 80, 82, 0]), np.array([80, 82, 152, 80]))
+    assert counts.tolist() == [80, 2, 70, 80] and bytes(ids.astype(np.uint8)) == b"ab" * 41 + b"c" * 70 + b"ab" * 40
