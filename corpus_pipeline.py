@@ -30,9 +30,11 @@ from ferrule.llm import op10_substring_dedup as substrings
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
     model = quality.quality_model(docs, C.table(spark, sf_dir, "labels"))
+    # private names while the classifier adds its own columns
     names = docs.columns
-    plain = docs.select(*[F.col(c) for c in names])
-    return quality.score(plain, model).filter("predicted = 1").select(*names)
+    private = [c if c == "text" else f"_doc_{k}" for k, c in enumerate(names)]
+    scored = quality.score(docs.toDF(*private), model).filter("predicted = 1")
+    return scored.select(*private).toDF(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,9 @@ Edge cases: a null text is empty; a null role is the empty role; events of
 equal seq are taken in the order start, regenerate, edit, delta, retract, then
 by role, text and message; events on a message that was never opened, or is dropped,
 and unknown kinds, do nothing; an edit beyond the text's end acts at the end;
-repeated rows are events of their own; a null conv_id is a conversation.
+repeated rows are events of their own; a null conv_id is a conversation; a row of
+null turn comes before its conversation's others.  An empty table gives no row;
+other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -214,22 +216,22 @@ def digests(rendered: DataFrame) -> DataFrame:
 def event_log(turns: DataFrame, delta: int = DELTA) -> DataFrame:
     """The log that streams the rows of a table of turns (conv_id, turn, role,
     text): each row opens a message with its first ``delta`` code points, and
-    streams the rest in deltas of as many."""
-    # rows of one conversation and turn: each a message, in order of role and
-    # whole text, of which a start event has the first piece only
+    streams the rest in deltas of as many.  Messages are numbered by turn (any
+    long; null first), role and whole text, of which a start event has the first
+    piece only; their numbers order the log, so no turn is too large."""
     keyed = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "role", "text")).cast("long"))
+    ).withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long"))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / delta), F.lit(0))))
     cut = keyed.withColumn("part", piece)
     return cut.select(
-        "conv_id", F.coalesce("seq", F.lit(-(1 << 40))).alias("turn"), "part",
+        "conv_id", (F.col("message") * (1 << 20) + F.col("part")).alias("seq"),
         F.when(F.col("part") == 0, "start").otherwise("delta").alias("kind"), "message",
         F.when(F.col("part") == 0, F.col("role")).alias("role"),
         F.substring("text", F.col("part").cast("int") * delta + 1, F.lit(delta)).alias("text"),
         F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("len"),
-    ).withColumn("seq", F.col("turn") * (1 << 20) + F.col("part"))
+    )
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,9 +251,9 @@ WITH t AS (
   SELECT *, replace(regexp_replace(text, '(\\|<\||</s>|<s>|\[/?INST\])', '\\\1', 'g'), '|>', '|\>') AS body FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(body) + length(role) + 13)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """

@@ -168,3 +168,18 @@ def test_tied_rows_are_in_order_of_their_whole_texts(spark):
         got.setdefault(r["conv_id"], []).append((r["turn_no"], r["role"], r["text"]))
     assert [x for _, _, x in sorted(got[1])] == sorted(x for c, _, _, x in rows if c == 1)
     assert [x for _, _, x in sorted(got[2])] == [start + "1", start + "2", "a", "b", "c"]
+
+
+def test_any_turn_number(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, t, "user", f"turn {t}") for t in (2**44, 2**63 - 1, 0, -(2**63), None, 5)]
+    rows += [(2, 2**62, "assistant", "b" * 3000), (2, 2**62, "assistant", "a" * 3000), (2, None, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in chat.op3_chat_format(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(db.execute(chat.SQL).fetchall()) and len(got) == 3
+    order = sorted((r["turn_no"], r["text"]) for r in chat.reconstruct(chat.event_log(table)).filter("conv_id = 1").collect())
+    assert [x for _, x in order] == ["turn None", f"turn {-(2**63)}", "turn 0", "turn 5", f"turn {2**44}", f"turn {2**63 - 1}"]

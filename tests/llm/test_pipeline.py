@@ -77,9 +77,21 @@ def test_empty_documents(spark, corpus):
         assert stage(spark, docs, d).count() == 0
 
 
+def test_quality_filter_leaves_the_documents_columns_alone(spark, corpus):
+    d, _ = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    wanted = sorted(((r["doc_id"], r["text"]) for r in pipeline.quality_filter(spark, docs, d).collect()), key=repr)
+    more = docs.selectExpr("'mine' AS Score", "doc_id", "7 AS predicted", "text", "lang", "source", "n_chars", "doc_id AS _doc_1")
+    got = pipeline.quality_filter(spark, more, d)
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in rows), key=repr) == wanted
+    assert {(r["Score"], r["predicted"], r["_doc_1"] == r["doc_id"]) for r in rows if r["doc_id"] is not None} == {("mine", 7, True)}
+
+
 def test_registry_has_each_operator_once():
     numbers = [int(n[2:].split("_")[0]) for n in registry.registry()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert len(pipeline.STAGES) == 5 and P.path("x")
 
 
