@@ -136,20 +136,21 @@ def engineer(
 ) -> DataFrame:
     """domain -> polynomial -> interactions -> powers; later steps see
     the columns of earlier steps.  ``numeric`` restricts the columns the
-    polynomial / power steps expand (default: every numeric column except
-    keys and flags)."""
+    polynomial step expands (default: every numeric column except keys and
+    flags); the power step expands those and what the steps between added."""
     out = df
     if domain:
         require_columns(out, S.SENSORS)
         out = with_columns(out, domain_columns())
     keys = (S.UID, S.MACHINE_ID, S.RNF_FLAG, "machine_failure", "label", "y")
+    before = set(out.columns)
     if polynomial:
         cols = numeric or numeric_columns(out, keys)
         out = with_columns(out, polynomial_columns(cols, degree))
     if interactions:
         out = with_columns(out, interaction_columns(out.columns))
     if powers:
-        cols = numeric or numeric_columns(out, keys)
+        cols = [*numeric, *(c for c in out.columns if c not in before)] if numeric else numeric_columns(out, keys)
         out = with_columns(out, power_columns(cols))
     return out
 
@@ -167,10 +168,11 @@ def engineered_names(
     ``numeric`` as there (default: the input columns and the domain features)."""
     names = list(domain_columns().keys()) if domain else []
     expand = numeric or [*input_columns, *names]
+    n_domain = len(names)
     if polynomial:
         names += list(polynomial_columns(expand, degree).keys())
     if interactions:
         names += list(interaction_columns([*input_columns, *names]).keys())
     if powers:
-        names += list(power_columns(expand).keys())
+        names += list(power_columns([*expand, *names[n_domain:]]).keys())
     return names

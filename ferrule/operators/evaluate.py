@@ -70,8 +70,11 @@ def per_class(df: DataFrame, y: str = "y", pred: str = "pred", labels: list[int]
     )).alias("x")
     rows = pairs.select(*gs, sides).select(*gs, "x.*")
     if labels:
-        zeros = _class_list(pairs, labels, gs)
-        rows = rows.unionByName(zeros.select(*gs, "label", *[F.lit(0).cast("long").alias(c) for c in ("tp", "predicted", "support")]))
+        none = [F.lit(0).cast("long").alias(c) for c in ("tp", "predicted", "support")]
+        given = F.explode(F.array(*[F.lit(int(v)).cast(pairs.schema["true_label"].dataType) for v in labels])).alias("label")
+        # the labels that occur are in the rows; only with groups is the input asked for these
+        base = pairs.select(*gs).distinct() if gs else pairs.sparkSession.range(1)
+        rows = rows.unionByName(base.select(*gs, given, *none))
     t = rows.groupBy(*gs, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")])
     zero = F.lit(0.0)
     return t.select(
@@ -133,13 +136,17 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "pred", label
 
 def roc_auc(df: DataFrame, score: str = "p", y: str = "y", groups: list[str] | None = None,
             ranges: int = ranking.RANGES) -> DataFrame:
-    """Exact ROC AUC (mid-ranks for ties) = Mann-Whitney U / (P*N).
-    U is a sum of integers and halves, so it is exact in double arithmetic."""
+    """Exact ROC AUC (mid-ranks for ties) = Mann-Whitney U / (P*N) of labels
+    0 and 1; null where another label occurs, or one of the two doesn't.  U is a
+    sum of integers and halves, so it is exact in double arithmetic."""
     gs = list(groups or [])
-    pre = ranking.score_prefix(df, score, y, ranges, gs)
+    label = F.col(y).cast("long")
+    counts = {"pos": (label == 1).cast("long"), "neg": (label == 0).cast("long"), "other": (~label.isin(0, 1)).cast("long")}
+    pre = ranking.ordered_prefix(df, score, counts, True, ranges, gs)
     u = F.sum(F.col("pos") * (F.col("total_neg") - F.col("cum_neg") + F.col("neg") * 0.5))
+    area = F.try_divide(u, F.first("total_pos") * F.first("total_neg"))
     return pre.groupBy(*gs).agg(
-        F.try_divide(u, F.first("total_pos") * F.first("total_neg")).alias("roc_auc"),
+        F.when(F.first("total_other") == 0, area).alias("roc_auc"),
         F.first("total_pos").alias("n_pos"),
         F.first("total_neg").alias("n_neg"),
     )
@@ -217,11 +224,17 @@ def best_model(metrics: DataFrame, order: dict[str, int], metric: str = "accurac
     )
 
 
-def error_frame(df: DataFrame, y: str = "y", pred: str = "pred", p: str | None = "p") -> DataFrame:
+def error_frame(df: DataFrame, y: str = "y", pred: str = "pred", p: str | None = "p",
+                probability: str | None = None, n_classes: int = 2) -> DataFrame:
     """Rows keep features, truth and prediction together (no positional
-    bind); probability per class for the binary case."""
+    bind), with one probability column a class: from the array ``probability`` of
+    ``n_classes``, or for two classes from ``p``, that of class 1."""
     cols = [F.col("*"), (F.col(y) != F.col(pred)).cast("int").alias("is_error")]
-    if p:
+    if probability:
+        cols += [F.get(probability, F.lit(i)).alias(f"prob_class_{i}") for i in range(n_classes)]
+    elif n_classes != 2:
+        raise ValueError("more than two classes need the array of their probabilities")
+    elif p:
         cols += [(F.lit(1.0) - F.col(p)).alias("prob_class_0"), F.col(p).alias("prob_class_1")]
     return df.select(*cols)
 

@@ -336,7 +336,58 @@ FROM b GROUP BY feature, bin, is_error"""
     )
 
 
+def _three_classes(spark, sf_dir):
+    """Readings with three speed classes and two guesses at them by torque."""
+    speed = F.when(F.col("rpm") < 1450, 0).when(F.col("rpm") < 1600, 1).otherwise(2)
+    guess = F.when(F.col("torque_nm") > 45, 0).when(F.col("torque_nm") > 35, 1).otherwise(2)
+    return machine_readings(spark, sf_dir).select("uid", "torque_nm", speed.alias("y"), guess.alias("pred"))
+
+
+def three_class_metrics(spark, sf_dir):
+    """E1/E3/E9 for more than two classes: no ROC AUC."""
+    rows = _three_classes(spark, sf_dir).withColumn("p", F.lit(0.5))
+    both = rows.withColumn("model", F.lit("torque")).unionByName(rows.withColumn("pred", F.lit(1)).withColumn("model", F.lit("constant")))
+    return EV.model_metrics(both)
+
+
+_THREE_SQL = """, t AS (
+SELECT uid, torque_nm, CASE WHEN rpm < 1450 THEN 0 WHEN rpm < 1600 THEN 1 ELSE 2 END AS y,
+       CASE WHEN torque_nm > 45 THEN 0 WHEN torque_nm > 35 THEN 1 ELSE 2 END AS pred
+FROM f
+)"""
+THREE_CLASS_METRICS_SQL = with_base(_THREE_SQL + """, m AS (
+SELECT 'torque' AS model, y, pred FROM t UNION ALL SELECT 'constant', y, 1 FROM t
+), c AS (
+SELECT model, k, count(*) FILTER (y = k AND pred = k) AS tp, count(*) FILTER (pred = k) AS g, count(*) FILTER (y = k) AS s, count(*) AS n
+FROM m, range(3) AS r(k) GROUP BY model, k
+)
+SELECT model, any_value(n) AS n_rows, round(sum(tp) / any_value(n), 6) AS accuracy,
+       round(sum(s * CASE WHEN g > 0 THEN tp / g ELSE 0 END) / any_value(n), 6) AS precision_weighted,
+       round(sum(s * CASE WHEN s > 0 THEN tp / s ELSE 0 END) / any_value(n), 6) AS recall_weighted,
+       round(sum(s * CASE WHEN g + s > 0 THEN 2 * tp / (g + s) ELSE 0 END) / any_value(n), 6) AS f1_weighted,
+       CAST(NULL AS DOUBLE) AS roc_auc
+FROM c GROUP BY model""")
+
+
+def error_frame_classes(spark, sf_dir):
+    """E10 for three classes: one probability column a class."""
+    w = [F.abs(F.col("torque_nm") - c) + 1 for c in (50.0, 40.0, 30.0)]
+    total = w[0] + w[1] + w[2]
+    rows = _three_classes(spark, sf_dir).withColumn("probability", F.array(*[x / total for x in w]))
+    out = EV.error_frame(rows, probability="probability", n_classes=3)
+    return out.select("uid", "y", "pred", "is_error", *[F.round(f"prob_class_{i}", 9).alias(f"prob_class_{i}") for i in range(3)])
+
+
+ERROR_FRAME_CLASSES_SQL = with_base(_THREE_SQL + """, w AS (
+SELECT *, abs(torque_nm - 50.0) + 1 AS a, abs(torque_nm - 40.0) + 1 AS b, abs(torque_nm - 30.0) + 1 AS c FROM t
+)
+SELECT uid, y, pred, CASE WHEN y <> pred THEN 1 ELSE 0 END AS is_error,
+       round(a / (a + b + c), 9) AS prob_class_0, round(b / (a + b + c), 9) AS prob_class_1, round(c / (a + b + c), 9) AS prob_class_2
+FROM w""")
+
 QUERIES = {
+    "three_class_metrics": (three_class_metrics, THREE_CLASS_METRICS_SQL),
+    "error_frame_classes": (error_frame_classes, ERROR_FRAME_CLASSES_SQL),
     "accuracy_weighted_prf": (accuracy_weighted_prf, ACCURACY_PRF_SQL),
     "confusion_cells": (confusion_cells, CONFUSION_SQL),
     "classification_report": (classification_report, CLASS_REPORT_SQL),

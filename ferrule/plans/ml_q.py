@@ -174,9 +174,10 @@ _PAIRS = [
     "air_temp_k_process_temp_k_interaction", "rpm_torque_nm_interaction", "tool_wear_min_torque_nm_interaction",
     "tool_wear_min_rpm_interaction",
 ]
-# monomials of degree 2, then square, cube and root of each sensor
+# monomials of degree 2, then square, cube and root of each sensor and of what was added
 _MONOMIALS = [f"{a}^2" if a == b else f"{a} {b}" for i, a in enumerate(_SENSORS) for b in _SENSORS[i:]]
-_POWERS = [f"{a}_{n}" for a in _SENSORS for n in ("squared", "cubed", "sqrt")]
+_POWERS = [f"{a}_{n}" for a in [*_SENSORS, *_MONOMIALS] for n in ("squared", "cubed", "sqrt")]
+_PAIR_POWERS = [f"{a}_{n}" for a in [*_SENSORS, *_PAIRS] for n in ("squared", "cubed", "sqrt")]
 _ONEHOT = ["type_ohe_H", "type_ohe_L", "type_ohe_M"]
 
 
@@ -306,6 +307,8 @@ QUERIES = {
     "model_slots_plain": (_slot_names(domain=False, interactions=False, scaling="none", encoding="label"), _names_sql(["type_label", *_SENSORS])),
     "model_slots_expanded": (_slot_names(domain=False, interactions=False, polynomial=True, powers=True, scaling="none"),
                              _names_sql([*_ONEHOT, *_SENSORS, *_MONOMIALS, *_POWERS])),
+    "model_slots_powers": (_slot_names(domain=False, powers=True, scaling="none"),
+                           _names_sql([*_ONEHOT, *_SENSORS, *_PAIRS, *_PAIR_POWERS])),
     "search_candidates": (search_candidates, SEARCH_CANDIDATES_SQL),
     "compared_models": (compared_models, COMPARED_MODELS_SQL),
 }
