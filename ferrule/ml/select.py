@@ -37,6 +37,24 @@ def top_f(prepared: DataFrame, label: str, n: int = 5, features_col: str = "feat
     return anova_f(prepared, label, features_col).orderBy(F.desc_nulls_last("f_value"), "feature").limit(n)
 
 
+def chi_squared(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Chi-squared of non-negative columns against the class: the sums of each
+    column per class against those that the classes' sizes would give; (feature,
+    chi2) from one aggregate of one row a class.  Null where a column sums to 0
+    or holds a negative value; nulls count as 0, rows of null label not at all."""
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    per_class = df.filter(F.col(label).isNotNull()).groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(value(c)).alias(f"_s{i}") for i, c in enumerate(columns)],
+        *[F.min(value(c)).alias(f"_m{i}") for i, c in enumerate(columns)])
+    parts = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"_s{i}").alias("seen"), F.col(f"_m{i}").alias("least")) for i, c in enumerate(columns)]))
+    rows = per_class.select("n", parts.alias("x")).select("n", "x.*")
+    # sum (o - e)^2 / e with e = n / N * S is N / S * sum(o^2 / n) - S
+    return rows.groupBy("feature").agg(
+        F.when(F.min("least") >= 0, F.try_divide(F.sum("n") * F.sum(F.col("seen") * F.col("seen") / F.col("n")), F.sum("seen"))
+               - F.sum("seen")).alias("chi2"))
+
+
 def univariate(prepared: DataFrame, label: str, n: int = 5, method: str = "f_test",
                features_col: str = "features") -> list[str]:
     """'f_test': the n slots with the highest ANOVA F (ranked by the

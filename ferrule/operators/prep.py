@@ -8,7 +8,7 @@ window (``ranking.rank_within_groups``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
@@ -100,3 +100,34 @@ def positive_weight(label: str, weight: float = 3.0) -> Column:
 def n_classes(df: DataFrame, label: str) -> int:
     """M8: distinct labels (2 -> binary)."""
     return df.agg(F.countDistinct(label)).first()[0]
+
+
+def hash_fold(key: str = S.UID, folds: int = 5, seed: int = 42) -> Column:
+    """Fold 0 .. folds - 1 of a row, from the hash of its key: no shuffle."""
+    return F.pmod(F.conv(F.substring(key_hash(key, seed), 1, 7), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def cross_fitted_target(df: DataFrame, column: str, label: str, out: str, folds: int = 5, smoothing: float = 10.0,
+                        key: str = S.UID, seed: int = 42) -> DataFrame:
+    """The mean label of a row's category over the *other* folds, pulled to
+    their overall mean by ``smoothing`` rows; no row's own label is in its code.
+
+    One aggregate per (category, fold), partial before its shuffle, gives every
+    code; the rows take theirs by (category, fold).  Null is a category of its
+    own, null labels count for none, and a category that the other folds don't
+    have gets their overall mean (null if they have no label)."""
+    rows = df.withColumn("_fold", hash_fold(key, folds, seed))
+    seen = rows.groupBy(column, "_fold").agg(F.count(label).alias("_n"), F.coalesce(F.sum(F.col(label).cast("double")), F.lit(0.0)).alias("_s"))
+    # at most folds rows a category from here on
+    own, everything = Window.partitionBy(column), Window.partitionBy()
+    per_fold = seen.groupBy("_fold").agg(F.sum("_n").alias("_fn"), F.sum("_s").alias("_fs"))
+    per_fold = per_fold.select(
+        F.col("_fold").alias("_f"), F.try_divide(F.sum("_fs").over(everything) - F.col("_fs"), F.sum("_fn").over(everything) - F.col("_fn")).alias("_mean"))
+    n, s = F.sum("_n").over(own) - F.col("_n"), F.sum("_s").over(own) - F.col("_s")
+    others = seen.select(column, "_fold", n.alias("_on"), s.alias("_os"))
+    codes = others.join(F.broadcast(per_fold), F.col("_fold") == F.col("_f")).select(
+        F.col(column).alias("_category"), F.col("_fold").alias("_f"),
+        F.when((F.col("_on") > 0) | (F.lit(smoothing) > 0), F.try_divide(
+            F.col("_os") + F.lit(smoothing) * F.col("_mean"), F.col("_on") + F.lit(smoothing))).otherwise(F.col("_mean")).alias(out))
+    return rows.join(codes, F.col(column).eqNullSafe(F.col("_category")) & (F.col("_fold") == F.col("_f")), "left").drop(
+        "_category", "_f", "_fold")

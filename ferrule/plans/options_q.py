@@ -12,6 +12,7 @@ from ferrule.functions import rules
 from ferrule.ml import select as SEL
 from ferrule.ml import train as TR
 from ferrule.ml.stages import encoding_stages
+from ferrule.operators import prep
 from ferrule.operators import quality as Q
 from ferrule.plans.sqltext import RAW_CTE, with_base
 from ferrule.sources.readings import machine_readings, raw_readings
@@ -118,7 +119,41 @@ fv AS (SELECT feature, ((sb2 - n * m * m) / (k - 1)) / ((ss - sb2) / (n - k)) AS
 SELECT feature FROM fv ORDER BY fval DESC, feature LIMIT 5""")
 
 
+def cross_fitted_machine(spark, sf_dir):
+    """Each machine's failure rate over the other folds, as a code."""
+    df = rules.label_failures(machine_readings(spark, sf_dir))
+    out = prep.cross_fitted_target(df, S.MACHINE_ID, "machine_failure", "machine_code")
+    return out.select(S.UID, S.MACHINE_ID, F.round("machine_code", 9).alias("machine_code"))
+
+
+CROSS_FITTED_SQL = with_base(""", x AS (
+SELECT uid, machine_id, machine_failure AS y, CAST('0x' || substr(md5(concat(CAST(uid AS VARCHAR), '42')), 1, 7) AS BIGINT) % 5 AS fold FROM f
+), c AS (
+SELECT a.machine_id, k.fold, count(*) FILTER (a.fold <> k.fold) AS n, coalesce(sum(a.y) FILTER (a.fold <> k.fold), 0) AS s
+FROM x AS a, range(5) AS k(fold) GROUP BY ALL
+), m AS (
+SELECT k.fold, avg(a.y) AS mean FROM x AS a, range(5) AS k(fold) WHERE a.fold <> k.fold GROUP BY k.fold
+)
+SELECT uid, machine_id, round((s + 10 * mean) / (n + 10), 9) AS machine_code FROM x JOIN c USING (machine_id, fold) JOIN m USING (fold)""")
+
+
+def chi2_scores(spark, sf_dir):
+    """C4: chi-squared of the sensors against the failure label."""
+    out = SEL.chi_squared(rules.label_failures(machine_readings(spark, sf_dir)), list(S.SENSORS), "machine_failure")
+    return out.select("feature", F.round("chi2", 4).alias("chi2"))
+
+
+CHI2_SQL = with_base(", l AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, machine_failure AS y FROM f" for c in S.SENSORS) + """), o AS (
+SELECT feature, y, sum(x) AS seen, count(*) AS n FROM l GROUP BY feature, y
+), dues AS (
+SELECT *, n / sum(n) OVER (PARTITION BY feature) * sum(seen) OVER (PARTITION BY feature) AS due FROM o
+)
+SELECT feature, round(sum((seen - due) * (seen - due) / due), 4) AS chi2 FROM dues GROUP BY feature""")
+
 QUERIES = {
+    "cross_fitted_machine": (cross_fitted_machine, CROSS_FITTED_SQL),
+    "chi2_scores": (chi2_scores, CHI2_SQL),
     "robust_scaled": (robust_scaled, _robust_sql()),
     "imputed_mode": (imputed_mode, IMPUTED_MODE_SQL),
     "encoded_type": (encoded_type, ENCODED_TYPE_SQL),

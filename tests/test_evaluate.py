@@ -141,3 +141,18 @@ def test_metric_plans_have_no_cross_join_or_python(spark, ranges):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
         assert "EvalPython" not in plan
+
+
+def test_more_than_two_classes(spark):
+    rows = [(i, 0 if i < 30 else 1 if i < 50 else 2, i % 3, 0.5) for i in range(60)]
+    df = spark.createDataFrame(rows, "uid long, y int, pred int, p double")
+    assert EV.roc_auc(df).first()["roc_auc"] is None
+    assert EV.roc_auc(df.filter("y < 2")).first()["roc_auc"] == 0.5
+    assert EV.roc_auc(df.filter("y = 1")).first()["roc_auc"] is None
+    whole = {r["label"]: r["support"] for r in EV.per_class(df, labels=[0, 1, 2, 7]).collect()}
+    assert whole == {0: 30, 1: 20, 2: 10, 7: 0}
+    shares = df.withColumn("probability", F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)))
+    out = EV.error_frame(shares, probability="probability", n_classes=3).first()
+    assert (out["prob_class_0"], out["prob_class_1"], out["prob_class_2"]) == (0.2, 0.3, 0.5)
+    with pytest.raises(ValueError):
+        EV.error_frame(df, n_classes=3)

@@ -67,3 +67,19 @@ def test_scaler_persistence(spark, tmp_path):
     from ferrule.ml.stages import PopulationStandardScalerModel
     m2 = PopulationStandardScalerModel.load(str(tmp_path / "s"))
     assert [r["z"] for r in m2.transform(df).collect()] == [-1.0, 1.0]
+
+
+def test_cross_fitted_codes_leave_out_their_own_fold(spark):
+    rows = [(i, "abc"[i % 3] if i % 7 else None, (i * i) % 5 % 2 if i % 11 else None) for i in range(200)] + [(900, "only here", 1)]
+    df = spark.createDataFrame(rows, "uid long, kind string, y int").withColumn("_f", F.lit(1))
+    got = {r["uid"]: r["code"] for r in prep.cross_fitted_target(df.drop("_f"), "kind", "y", "code", smoothing=3.0).collect()}
+    fold = {r["uid"]: r["k"] for r in df.select("uid", prep.hash_fold().alias("k")).collect()}
+    assert len(got) == len(rows) and len(set(fold.values())) == 5
+    for i, kind, _ in rows:
+        others = [(c, y) for j, c, y in rows if fold[j] != fold[i] and y is not None]
+        mean = sum(y for _, y in others) / len(others)
+        mine = [y for c, y in others if c == kind]
+        assert abs(got[i] - (sum(mine) + 3 * mean) / (len(mine) + 3)) < 1e-12
+    flipped = df.drop("_f").withColumn("y", F.when(F.col("uid") == 5, 1 - F.col("y")).otherwise(F.col("y")))
+    again = {r["uid"]: r["code"] for r in prep.cross_fitted_target(flipped, "kind", "y", "code", smoothing=3.0).collect()}
+    assert again[5] == got[5]  # its own label is not in its code
