@@ -39,7 +39,7 @@ L, N, O, A1, A2, SP, SL, S = range(8)
 LET, NUM, OTH, RUN, JOIN, DONE, ONE, TWO = range(8)
 # words of at most WORD_BYTES are kept, CACHE_BYTES of them in all, counting
 # WORD_COST for the table's own objects
-WORD_BYTES, WORD_COST, CACHE_BYTES = 64, 200, 32 << 20
+WORD_BYTES, WORD_COST, CACHE_BYTES = 64, 200, 64 << 20
 CHUNK = C.CHUNK_BYTES // 4
 BLOCK = 256
 
