@@ -23,7 +23,8 @@ link each document to the one of smallest id that has them; overlapping links
 on one diagonal are a run.  From each run the chain of equal shingles is
 followed over ``CONTEXT`` shingles on both sides, and the longest extent whose
 shingles, counted along the chain, have the threshold's Jaccard similarity is
-taken if it has ``WORDS`` words.
+taken if a paragraph of ``WORDS`` words that holds it, all else in it unlike the
+other's, has that similarity still: 23 equal words in a row at least.
 
 *Removal.*  In a cluster of two documents at least, the document of smallest
 id keeps its paragraphs and all others lose them; so does the later document
@@ -32,9 +33,13 @@ and only spans leave a text.  The kept span of an extent is its run.
 
 Edge cases: null, empty and short texts (under ``WORDS`` words) have no
 paragraph; rows of one id count as one document; rows of null id have no
-paragraph and stay as they are; a stretch of one word over and over has
-anchors only where it begins, so one of ``WORDS`` words or more is also a record
-of its word, and goes whole where a document of smaller id has such a stretch.
+paragraph and stay as they are; very long texts are read whole, a text at a
+time; empty tables give no spans; further columns are not looked at.  A
+*stretch* repeats fewer than ``WORDS`` words over and over (one word, a pair, a
+sentence), at least twice and over ``WORDS`` words or more.  It has anchors in its
+first and last repetition only, and is also a record of the words that it
+repeats, wherever it begins among them; it goes whole where a document of
+smaller id has such a stretch.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,7 +65,6 @@ THRESHOLD, RECALL, SEED = 0.8, 0.95, 10
 BLOCK = 512
 
 LINK_SCHEMA = "doc_id long, start int, stop int, keeper long, kstart int, kstop int"
-SPAN_SCHEMA = "doc_id long, start int, stop int, removed boolean, keepers array<bigint>"
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -68,6 +72,12 @@ def bands(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold) - 1e-9))
 
 
+def least_words(threshold: float = THRESHOLD) -> int:
+    """Fewest equal words in a row that make two paragraphs of ``WORDS`` words
+    similar, if they share nothing else."""
+    return math.ceil(2 * (WORDS - K + 1) * threshold / (1 + threshold) - 1e-9) + K - 1
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` entries in a row (len(x) - width + 1)."""
     out, have = x, 1
@@ -78,6 +88,28 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def periodic(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of the words ``w``: first word, word after the last, and period
+    (the least one).  Rows begin at ``first``."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    a, z, period = (np.zeros(0, np.int64) for _ in range(3))
+    for p in range(1, min(WORDS, len(w))):
+        at = np.flatnonzero((w[p:] == w[:-p]) & (row[p:] == row[:-p]))
+        if len(at) < max(WORDS - p, p):
+            continue
+        cut = np.flatnonzero(np.diff(at) != 1)
+        i, j = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + p + 1
+        long = j - i >= max(WORDS, 2 * p)
+        i, j = i[long], j[long]
+        if len(i) and len(a):
+            order = np.argsort(a, kind="stable")
+            known = np.searchsorted(a[order], i, "right") - 1
+            new = (known < 0) | (np.maximum.accumulate(z[order])[known] < j)
+            i, j = i[new], j[new]
+        a, z, period = np.append(a, i), np.append(z, j), np.append(period, np.full(len(i), p))
+    return a, z, period
+
+
 def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH) -> dict[str, np.ndarray]:
     """Of the chunk's paragraphs: row (in the chunk), start and stop (code
     points of the text), hash, and per band a 32-bit key."""
@@ -112,6 +144,13 @@ def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH)
     before = np.maximum(at - 1, 0)
     row = np.searchsorted(first, at, "right") - 1
     at = at[(three[at] != three[before]) | (at == first[row])]
+    # inside a stretch: anchors of its first and last repetition only
+    a, z, period = periodic(w, first)
+    a, z = a + period, z - words - period + 1
+    deep = np.zeros(n + 1, np.int64)
+    np.add.at(deep, a[a < z], 1)
+    np.add.at(deep, z[a < z], -1)
+    at = at[np.cumsum(deep)[at] == 0]
     row = np.searchsorted(first, at, "right") - 1
     # hash of the paragraph's words, and min-hashes of its shingles
     up, down = C._powers(n + 1)
@@ -127,26 +166,25 @@ def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH)
 
 
 def stretches(c: C.Chunk) -> dict[str, np.ndarray]:
-    """Of the chunk's stretches of ``WORDS`` or more times one word: row (in the
-    chunk), start and stop (code points of the text), and hash of the word."""
+    """Of the chunk's stretches: row (in the chunk), start and stop (code points
+    of the text), and hash of the words repeated, whichever of them comes first."""
     starts, stops, first = c.spans()
     w = C.Prefix(c.data).slices(starts, stops)
-    new = np.ones(len(w), bool)
-    new[1:] = w[1:] != w[:-1]
-    new[first[:-1][np.diff(first) > 0]] = True
-    a = np.flatnonzero(new)
-    z = np.append(a[1:], len(w)) - 1
-    long = z - a + 1 >= WORDS
-    a, z = a[long], z[long]
+    a, z, period = periodic(w, first)
+    up, down = C._powers(len(w) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)])])
+    turn = np.repeat(a, period) + C.ramp(period)
+    each = C.mix64((sums[turn + np.repeat(period, period)] - sums[turn]) * down[turn])
+    least = np.minimum.reduceat(each, np.cumsum(period) - period) if len(a) else each
     row = np.searchsorted(first, a, "right") - 1
     chars = np.cumsum((c.data & 0xC0) != 0x80)
     base = np.concatenate([[0], chars])[c.offsets[:-1]]
-    return {"row": row, "start": chars[starts[a]] - 1 - base[row], "stop": chars[stops[z] - 1] - base[row], "hash": w[a]}
+    return {"row": row, "start": chars[starts[a]] - 1 - base[row], "stop": chars[stops[z - 1] - 1] - base[row], "hash": least}
 
 
 def _stretches(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, keeper, removed) of the stretches of one word that
-    two documents have."""
+    """(doc_id, start, stop, keeper, removed) of the stretches that two documents
+    have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,16 +211,16 @@ def _table(docs: DataFrame, n_bands: int, words: int = WORDS, reach: int = REACH
             for c in C.chunks(batch.column(1)):
                 p = paragraphs(c, n_bands, words, reach)
                 cols = [pa.array(ids[c.rows[p["row"]]]), pa.array(p["start"].astype(np.int32)), pa.array(p["stop"].astype(np.int32)), pa.array(p["hash"].view(np.int64))]
-                cols += [pa.array(p["keys"][:, b].astype(np.int64)) for b in range(n_bands)]
+                cols += [pa.array(p["keys"][:, b].view(np.int32)) for b in range(n_bands)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "stop", "hash", *[f"k{b}" for b in range(n_bands)]])
 
-    schema = ", ".join(["doc_id long, start int, stop int, hash long", *[f"k{b} long" for b in range(n_bands)]])
+    schema = ", ".join(["doc_id long, start int, stop int, hash long", *[f"k{b} int" for b in range(n_bands)]])
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _similar(near: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between classes of paragraphs; ``near``: band, key, hash, shingles."""
-    dealt = B.cells(near, ["band", "key"], F.col("hash"), BLOCK, near.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_m")))
+    """Edges (a, b) between classes of paragraphs; ``near``: spot, hash, shingles."""
+    dealt = B.cells(near, ["spot"], F.col("hash"), BLOCK, near.groupBy("spot").agg(F.count(F.lit(1)).alias("_m")))
 
     def compare(t: pa.Table) -> pa.Table:
         ids, mine = t.column("hash").to_numpy(), t.column("mine").to_numpy()
@@ -224,39 +262,44 @@ def _shingles(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return docs.join(reps, "doc_id").select("text", "at").mapInArrow(run, "hash long, shingles binary").dropDuplicates(["hash"])
 
 
+def _recurring(found: DataFrame, name: str) -> DataFrame:
+    """The rows of ``found`` whose hash two documents have, and ``keeper``, the
+    smallest of them.  Rows of other hashes, nearly all, are not shuffled."""
+    of_two = found.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).filter("keeper < _last")
+    # written first, so that a join only joins, and Spark can split a hot hash
+    of_two = C.written(of_two.select("hash", "keeper"), f"{name}-hashes")
+    maybe, _ = C.prefilter(found, "hash", of_two.select("hash"))
+    return C.written(maybe.join(of_two, "hash").select("doc_id", "start", "stop", "hash", "keeper"), name)
+
+
 def _links(found: DataFrame, name: str) -> DataFrame:
     """(``LINK_SCHEMA``): each place of ``found`` (doc_id, start, stop, hash) with
     the first place of its hash, if that is in a document of smaller id."""
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "stop")).alias("o"), F.max("doc_id").alias("_last"))
-    first = first.filter("o.doc_id < _last").select(
-        "hash", F.col("o.doc_id").alias("keeper"), F.col("o.start").alias("kstart"), F.col("o.stop").alias("kstop"))
-    # written first, so that Spark can split a hot hash in the join
-    return found.join(C.written(first, name), "hash").filter("doc_id > keeper").select("doc_id", "start", "stop", "keeper", "kstart", "kstop")
+    places = _recurring(found, name)
+    # places of one hash have equally many words: the first to begin ends first
+    first = places.filter("doc_id = keeper").groupBy("hash").agg(F.min("start").alias("kstart"), F.min("stop").alias("kstop"))
+    return places.filter("doc_id > keeper").join(C.written(first, f"{name}-first"), "hash").select(
+        "doc_id", "start", "stop", "keeper", "kstart", "kstop")
+
+
+def _islands(rows: DataFrame, group: list[str], alone: Column) -> DataFrame:
+    """``rows`` with ``_island``: a number for those of a group that overlap or
+    touch, one after the other; rows that are ``alone`` have each their own."""
+    order = Window.partitionBy(*group).orderBy("start", "stop")
+    top = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = rows.withColumn("_new", (alone | top.isNull() | (F.col("start") > top)).cast("int"))
+    return begins.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _runs(links: DataFrame) -> DataFrame:
     """Links merged where they overlap on one diagonal of two documents; one
     whose spaces differ in length is a run of its own."""
-
-    def merge(t: pa.Table) -> pa.Table:
-        start, stop, keeper, kstart, kstop = (t.column(c).to_numpy().astype(np.int64) for c in ("start", "stop", "keeper", "kstart", "kstop"))
-        order = np.lexsort((start, start - kstart, stop - kstop, keeper))
-        start, stop, keeper, kstart, kstop = start[order], stop[order], keeper[order], kstart[order], kstop[order]
-        shift, ends = start - kstart, stop - kstop
-        other = np.concatenate([[True], (keeper[1:] != keeper[:-1]) | (shift[1:] != shift[:-1]) | (ends[1:] != ends[:-1])]) | (shift != ends)
-        far = np.cumsum(other) << 33
-        top = np.maximum.accumulate(far + stop)
-        new = other.copy()
-        new[1:] |= far[1:] + start[1:] > top[:-1]
-        a = np.flatnonzero(new)
-        z = np.append(a[1:], len(start)) - 1
-        start, keeper, shift, ends, stop = start[a], keeper[a], shift[a], ends[a], (top - far)[z]
-        doc = t.column("doc_id")[0].as_py()
-        return pa.table({
-            "doc_id": pa.array([doc] * len(a), pa.int64()), "start": start.astype(np.int32), "stop": stop.astype(np.int32),
-            "keeper": keeper, "kstart": (start - shift).astype(np.int32), "kstop": (stop - ends).astype(np.int32)})
-
-    return links.groupBy("doc_id").applyInArrow(merge, LINK_SCHEMA)
+    group = ["doc_id", "keeper", "_shift", "_ends"]
+    laid = links.select("doc_id", "keeper", "start", "stop", (F.col("start") - F.col("kstart")).alias("_shift"), (F.col("stop") - F.col("kstop")).alias("_ends"))
+    merged = _islands(laid, group, F.col("_shift") != F.col("_ends")).groupBy(*group, "_island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return merged.select(
+        "doc_id", "start", "stop", "keeper", (F.col("start") - F.col("_shift")).alias("kstart"), (F.col("stop") - F.col("_ends")).alias("kstop"))
 
 
 def _places(batch: pa.RecordBatch, names: tuple[str, str]):
@@ -337,13 +380,16 @@ def extent(inside: int, mine: tuple, other: tuple, threshold: float) -> tuple[in
 
 
 def _extended(docs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
-    """The extents (``LINK_SCHEMA``) of the runs, those of WORDS words at least."""
+    """The extents (``LINK_SCHEMA``) of the runs that make paragraphs similar."""
+    fewest = least_words(threshold)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = ("kstart", "kstop")
             held, left, right = [], [], []
-            for m, _, _, five, p, q in _places(batch, names):
+            for m, begin, _, five, p, q in _places(batch, names):
+                if len(begin) < WORDS:
+                    continue
                 x, y = _sides(five, p, q)
                 held.append(m)
                 left.append(x.tobytes())
@@ -360,9 +406,11 @@ def _extended(docs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
             left, right = values.field("left"), values.field("right")
             held, start, stop = [], [], []
             for m, begin, end, five, p, q in _places(batch, ("start", "stop")):
+                if len(begin) < WORDS:
+                    continue
                 other = tuple(np.frombuffer(side[m].as_py(), np.uint32) for side in (left, right))
                 u, v = extent(q - p - K + 1, _sides(five, p, q), other, threshold)
-                if q - p + u + v >= WORDS:
+                if q - p + u + v >= fewest:
                     held.append(m)
                     start.append(int(begin[p - u]))
                     stop.append(int(end[q + v - 1]))
@@ -392,25 +440,30 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bands = bands(threshold, recall)
     found = C.written(_table(docs, n_bands), "op10-paragraphs")
-    classes = found.groupBy("hash").agg(
-        F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *[F.min(f"k{b}").alias(f"k{b}") for b in range(n_bands)])
-    keyed = classes.select("hash", "d0", (F.col("d0") < F.col("d1")).alias("exact"), F.posexplode(F.array(*[f"k{b}" for b in range(n_bands)])).alias("band", "key"))
+    keys = [f"k{b}" for b in range(n_bands)]
+    classes = C.written(
+        found.groupBy("hash").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *[F.min(k).alias(k) for k in keys]), "op10-classes")
+    # a spot: a band and its key
+    spots = F.array(*[F.lit(b << 32) + F.col(k) for b, k in enumerate(keys)])
+    keyed = classes.select("hash", "d0", F.explode(spots).alias("spot"))
     # a link of classes that begin in one document can't change who keeps them:
     # overlapping paragraphs of a document don't make company
-    company = Window.partitionBy("band", "key")
-    flagged = C.written(
-        keyed.withColumn("near", F.min("d0").over(company) < F.max("d0").over(company)).filter("exact or near").drop("d0"), "op10-flagged")
+    company = C.written(
+        keyed.groupBy("spot").agg(F.min("d0").alias("_a"), F.max("d0").alias("_b")).filter("_a < _b").select("spot"), "op10-company")
+    maybe, _ = C.prefilter(keyed, "spot", company)
+    near = C.written(maybe.join(company, "spot").select("spot", "hash"), "op10-near")
     # written first, so that a join only joins, and Spark can split a hot hash
-    wanted = C.written(flagged.select("hash").distinct(), "op10-wanted")
-    hits = C.written(found.select("doc_id", "start", "stop", "hash").join(wanted, "hash"), "op10-hits")
+    wanted = C.written(classes.filter("d0 < d1").select("hash").union(near.select("hash")).distinct(), "op10-wanted")
+    maybe, _ = C.prefilter(found.select("doc_id", "start", "stop", "hash"), "hash", wanted)
+    hits = C.written(maybe.join(wanted, "hash"), "op10-hits")
     C.discard(found)
+    C.discard(classes)
     seeds = C.written(_table(docs, 0, SEED_WORDS, SEED_REACH), "op10-seeds")
-    links = _links(seeds, "op10-seed-keepers").unionByName(_links(hits, "op10-hit-keepers"))
+    links = _links(seeds, "op10-seed-links").unionByName(_links(hits, "op10-hit-links"))
     runs = C.written(_runs(links), "op10-runs")
     C.discard(seeds)
     extents = _extended(docs, runs, threshold)
     # near classes: exact similarity, from one occurrence of each
-    near = flagged.filter("near").select("band", "key", "hash")
     reps = hits.join(near.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(
         F.min(F.struct("doc_id", "start", "stop")).alias("o"))
     reps = C.written(
@@ -427,22 +480,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     hits = hits.unionByName(extents.select("doc_id", "start", "stop", "keeper", F.lit(True).alias("removed"))).unionByName(
         kept.withColumn("removed", F.lit(False))).unionByName(_stretches(docs))
 
-    def merge(t: pa.Table) -> pa.Table:
-        rows = sorted(set(zip(*(t.column(c).to_pylist() for c in ("removed", "start", "stop", "keeper")))))
-        out: list = []
-        for removed, a, b, keeper in rows:
-            if out and out[-1][0] == removed and a <= out[-1][2]:
-                out[-1][2] = max(out[-1][2], b)
-                out[-1][3].add(keeper)
-            else:
-                out.append([removed, a, b, {keeper}])
-        doc = t.column("doc_id")[0].as_py()
-        return pa.table({
-            "doc_id": pa.array([doc] * len(out), pa.int64()), "start": pa.array([o[1] for o in out], pa.int32()),
-            "stop": pa.array([o[2] for o in out], pa.int32()), "removed": pa.array([o[0] for o in out], pa.bool_()),
-            "keepers": pa.array([sorted(o[3]) for o in out], pa.list_(pa.int64()))})
-
-    return hits.groupBy("doc_id").applyInArrow(merge, SPAN_SCHEMA)
+    merged = _islands(hits, ["doc_id", "removed"], F.lit(False)).groupBy("doc_id", "removed", "_island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_set("keeper")).alias("keepers"))
+    return merged.select("doc_id", "start", "stop", "removed", "keepers")
 
 
 def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:

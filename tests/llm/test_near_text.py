@@ -183,6 +183,91 @@ def test_near_passages_go_in_full_wherever_they_are_edited(spark, make_docs):
         assert len([w for w in left[k] if w not in passage]) >= len([w for w in rest if w not in passage]) - 4, k
 
 
+def test_short_similar_paragraphs_go(spark, make_docs):
+    """25 pairs of each length, of Jaccard similarity 0.8 and more."""
+    rng = random.Random(8)
+    rows, want = [], []
+    for n in (25, 26, 27, 30, 44, 120):
+        made = 0
+        while made < 25:
+            base = words(rng.random(), n)
+            edited = list(base)
+            for _ in range(rng.randint(1, 2)):
+                k = rng.randrange(len(edited))
+                edited[k : k + 1] = rng.choice([["new"], [], ["new", edited[k]]])
+            if edited == base or len(edited) < 25 or jaccard(base, edited) < 0.8:
+                continue
+            made += 1
+            k = len(rows)
+            rest = [words(rng.random(), 30) for _ in range(4)]
+            rows += [(k, " ".join(rest[0] + base + rest[1])), (k + 1, " ".join(rest[2] + edited + rest[3]))]
+            want.append((n, k + 1, set(edited) - set(rest[2] + rest[3]), rest[2] + rest[3]))
+    docs = make_docs(rows)
+    left = {r["doc_id"]: r["text"].split() for r in sub.cleaned(docs, sub.repeats(docs)).collect()}
+    assert all(left[k] == text.split() for k, text in rows[::2])
+    for n in (25, 26, 27, 30, 44, 120):
+        gone = [1 - len(set(left[k]) & mine) / len(mine) for m, k, mine, _ in want if m == n]
+        assert sum(g > 0.75 for g in gone) >= 0.9 * len(gone), (n, gone)
+    assert all(len(set(rest) - set(left[k])) <= 4 for _, k, _, rest in want)
+
+
+def test_equal_words_of_short_texts_stay(spark, make_docs):
+    p = words(31, 24)
+    rows = [(0, " ".join(p)), (1, " ".join(p)), (2, " ".join(words(32, 40) + p[:22] + words(33, 40))), (3, " ".join(words(34, 40) + p[:22] + words(35, 40)))]
+    docs = make_docs(rows)
+    assert sub.repeats(docs).count() == 0
+
+
+def test_least_words():
+    n = sub.least_words()
+    same = lambda m: (m - 4) / (2 * (sub.WORDS - 4) - (m - 4))
+    assert same(n) >= sub.THRESHOLD > same(n - 1)
+
+
+def test_stretches_of_several_words_go_whole(spark, make_docs):
+    rows, want = [], {}
+    for period in (1, 2, 3, 7, 12, 13, 24):
+        turn = words(3000 + period, period)
+        round_ = lambda a, n: [turn[(a + k) % period] for k in range(n)]
+        lone = [words(4000 + 10 * period + k, 30) for k in range(9)]
+        k = 10 * period
+        rows += [(k, lone[0] + round_(0, 400) + lone[1]), (k + 1, lone[2] + round_(1, 900) + lone[3]), (k + 2, round_(2, 51)),
+                 (k + 3, lone[4] + round_(3, 20) + lone[5]), (k + 4, lone[6] + lone[8] + round_(4, 300) + lone[7])]
+        want |= {k: rows[-5][1], k + 1: lone[2] + lone[3], k + 2: [], k + 3: rows[-2][1], k + 4: lone[6] + lone[8] + lone[7]}
+    docs = make_docs([(k, " ".join(x)) for k, x in rows])
+    spans = C.written(sub.repeats(docs), "test-spans")
+    left = {r["doc_id"]: r["text"].split() for r in sub.cleaned(docs, spans).collect()}
+    assert not passages([(k, " ".join(x)) for k, x in left.items()])
+    # a similar paragraph of 25 words may reach two words beyond a stretch on each side
+    assert all(not set(left[k]) - set(x) and len(left[k]) >= len(x) - 4 for k, x in want.items())
+    assert all(left[k] == x for k, x in want.items() if k % 10 in (0, 2, 3))
+    assert spans.count() <= 4 * 7
+
+
+def test_periodic_equals_plain_search():
+    rng = random.Random(2)
+    for _ in range(60):
+        rows = [[rng.randrange(2 if rng.random() < 0.3 else 1000) for _ in range(rng.randrange(90))] for _ in range(3)]
+        for r in rows:
+            p, k = rng.randint(1, 24), rng.randrange(len(r) + 1)
+            r[k:k] = (r[:p] or [1]) * rng.randint(1, 30)
+        w, first = np.array(sum(rows, []), np.uint64), np.cumsum([0, *map(len, rows)])
+        got = sorted(zip(*(x.tolist() for x in sub.periodic(w, first))))
+        plain: list = []
+        for p in range(1, sub.WORDS):
+            for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
+                a = x
+                while a < y:
+                    z = a + p
+                    while z < y and w[z] == w[z - p]:
+                        z += 1
+                    if z <= y and z - a >= max(sub.WORDS, 2 * p):
+                        if not any(i <= a and z <= j and q < p for i, j, q in plain):
+                            plain.append((a, z, p))
+                    a = max(a + 1, z - p + 1)
+        assert got == sorted(plain)
+
+
 def test_stretches_of_one_word_go_whole(spark, make_docs):
     lone = [" ".join(words(700 + k, 30)) for k in range(8)]
     rows = [(0, "de " * 300), (1, "de " * 300), (2, lone[0] + " é" + " de" * 60 + " " + lone[1]), (3, lone[2] + " de" * 24 + " " + lone[3]),
