@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ferrule.functions import features as FE
 from ferrule.functions import rules, scoring
 from ferrule.operators import quality
 from ferrule.plans.sqltext import POWER_SQL, RAW_CTE, with_base
+from ferrule.session import scratch_path
+from ferrule.sources import io
 from ferrule.sources.readings import machine_readings, raw_readings
 
 
@@ -266,7 +270,36 @@ FROM (SELECT *, CASE type WHEN 'L' THEN CAST(11000 AS DOUBLE) WHEN 'M' THEN CAST
       FROM (SELECT * REPLACE (CASE WHEN uid % 5 = 1 THEN 'X' WHEN uid % 5 <> 3 THEN type END AS type) FROM r))""")
 
 
+def request_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw requests as JSON documents of 16 readings, every 17th cut
+    short, written and read back: rows or documents by reason, good ones too."""
+    raw = raw_readings(spark, sf_dir)
+    docs = raw.groupBy(F.floor(F.col(S.UID) / 16).alias("doc")).agg(F.collect_list(F.struct("*")).alias("machines"))
+    text = F.to_json(F.struct("machines"))
+    cut = F.when(F.col("doc") % 17 == 0, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    path = scratch_path(spark, f"requests-{uuid.uuid4().hex}")
+    docs.select(cut.alias("value")).write.text(path)
+    good, dead = io.read_request_documents(spark, path)
+    every = dead.select("reason", "request").unionByName(good.select(F.lit("valid").alias("reason"), "request"))
+    return every.groupBy("reason").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("request").alias("n_requests"))
+
+
+REQUEST_DEAD_LETTERS_SQL = f"""WITH {RAW_CTE},
+k AS (
+SELECT uid // 16 AS doc,
+       CASE WHEN torque IS NULL OR rotational_speed IS NULL OR air_temperature IS NULL OR process_temperature IS NULL OR tool_wear IS NULL THEN 'missing_value'
+            WHEN TRY_CAST(rotational_speed AS DOUBLE) IS NULL THEN 'not_a_number'
+            WHEN machine_type IS NULL OR machine_type NOT IN ('L', 'M', 'H') THEN 'unknown_type'
+            ELSE 'valid' END AS status
+FROM raw
+)
+SELECT status AS reason, count(*) AS n_records, count(DISTINCT doc) AS n_requests FROM k WHERE doc % 17 <> 0 GROUP BY status
+UNION ALL
+SELECT 'not_json', count(DISTINCT doc), count(DISTINCT doc) FROM k WHERE doc % 17 = 0 HAVING count(*) > 0"""
+
+
 QUERIES = {
+    "request_dead_letters": (request_dead_letters, REQUEST_DEAD_LETTERS_SQL),
     "unknown_machine_types": (unknown_machine_types, _ODD_TYPES_SQL),
     "failures_by_type": (failures_by_type, FAILURES_BY_TYPE_SQL),
     "domain_features": (domain_features, DOMAIN_FEATURES_SQL),

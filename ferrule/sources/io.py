@@ -80,6 +80,34 @@ def read_batch_request(spark: SparkSession, path: str) -> DataFrame:
     return quality.rename_to_internal(rows, S.API_NAMES)
 
 
+def read_request_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S12/P4 for feeds that hold bad records: (good rows, dead letters).
+
+    One JSON document {"machines": [ {...}, ... ]} a line; blank lines don't
+    count.  Good rows are cast and renamed, with ``request`` and ``position``.
+    Dead letters have file, request, position, reason and the record as it
+    came: of a document (position null) that is ``not_json`` or has
+    ``no_machines``, or of a row that validation refuses (its status is the
+    reason; a null row misses its values).  ``request`` is the SHA-256 of the
+    document, the same however the feed is cut into files; a document sent
+    twice has it twice.  Values are read as text, so a number that is none is a
+    reason, not a broken document."""
+    machine = T.StructType([T.StructField(c, T.StringType()) for c in [S.UID, *S.API_NAMES]])
+    schema = T.StructType([T.StructField("machines", T.ArrayType(machine)), T.StructField("_corrupt", T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    docs = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.sha2("value", 256).alias("request"), F.col("value").alias("record"), read.alias("d"))
+    docs = docs.withColumn("reason", F.when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "not_json").when(
+        F.coalesce(F.size("d.machines"), F.lit(0)) <= 0, "no_machines"))
+    rows = docs.filter("reason is null").select("file", "request", F.posexplode("d.machines").alias("position", "m"))
+    checked = quality.validate_requests(rows.select("file", "request", "position", F.to_json("m").alias("record"), "m.*"))
+    key = ["file", "request", "position"]
+    bad_rows = checked.filter("status <> 'valid'").select(*key, F.col("status").alias("reason"), F.coalesce("record", F.lit("null")).alias("record"))
+    bad_docs = docs.filter("reason is not null").select("file", "request", F.lit(None).cast("int").alias("position"), "reason", "record")
+    return quality.valid_rows(checked).drop("file", "record"), bad_docs.unionByName(bad_rows)
+
+
 def batch_response(scored: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Predictions stay rows (JSON per row), the summary is one row."""
     preds = scored.select(

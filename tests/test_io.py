@@ -36,3 +36,23 @@ def test_batch_request_and_response(spark, tmp_path):
     assert doc["failure_probability"] == 0.4 and set(doc["failure_type"]) == {"TWF", "HDF", "PWF", "OSF", "RNF"}
     s = json.loads(summary.first()["summary"])
     assert s["total_machines"] == 2 and s["failure_count"] == 0
+
+
+def test_dead_letters_on_any_layout(spark, tmp_path):
+    good = {"uid": "7", "air_temperature": 298.5, "process_temperature": 308.7, "rotational_speed": 1503, "torque": 42.8, "tool_wear": 0, "machine_type": "M"}
+    docs = [json.dumps({"machines": [{**good, "uid": str(k)}, {**good, "torque": None}, {**good, "rotational_speed": "fast"}, {**good, "machine_type": "X"}, None]}) for k in range(20)]
+    docs += [docs[0], "", "  ", docs[1][:-3], "nonsense", "[1, 2]", json.dumps({"machines": []}), json.dumps({"other": 1}), json.dumps({"machines": None})]
+    seen = []
+    for files in (1, 8):
+        folder = tmp_path / str(files)
+        folder.mkdir()
+        for f in range(files):
+            (folder / f"{f}.json").write_text("".join(d + "\n" for d in docs[f::files]))
+        rows, dead = io.read_request_documents(spark, str(folder))
+        assert rows.count() == 21 and rows.schema["rpm"].dataType.typeName() == "double"
+        reasons = {r["reason"]: r["count"] for r in dead.groupBy("reason").count().collect()}
+        assert reasons == {"missing_value": 42, "not_a_number": 21, "unknown_type": 21, "not_json": 3, "no_machines": 3}
+        assert all(r["record"] and r["file"].startswith("file:") for r in dead.collect())
+        key = lambda d: sorted(str(tuple(r)) for r in d.collect())
+        seen.append((key(rows), key(dead.drop("file"))))
+    assert seen[0] == seen[1]
