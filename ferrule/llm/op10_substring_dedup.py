@@ -24,7 +24,8 @@ on one diagonal are a run.  From each run the chain of equal shingles is
 followed over ``CONTEXT`` shingles on both sides, and the longest extent whose
 shingles, counted along the chain, have the threshold's Jaccard similarity is
 taken if a paragraph of ``WORDS`` words that holds it, all else in it unlike the
-other's, has that similarity still: 23 equal words in a row at least.
+other's, has that similarity still: 23 equal words in a row at least, of 19
+different shingles.
 
 *Removal.*  In a cluster of two documents at least, the document of smallest
 id keeps its paragraphs and all others lose them; so does the later document
@@ -410,7 +411,8 @@ def _extended(docs: DataFrame, runs: DataFrame, threshold: float) -> DataFrame:
                     continue
                 other = tuple(np.frombuffer(side[m].as_py(), np.uint32) for side in (left, right))
                 u, v = extent(q - p - K + 1, _sides(five, p, q), other, threshold)
-                if q - p + u + v >= fewest:
+                alike = len(np.unique(five[p - u : q + v - K + 1]))
+                if q - p + u + v >= WORDS or alike > fewest - K:
                     held.append(m)
                     start.append(int(begin[p - u]))
                     stop.append(int(end[q + v - 1]))
