@@ -95,8 +95,21 @@ def periodic(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     a, z, period = (np.zeros(0, np.int64) for _ in range(3))
     for p in range(1, min(WORDS, len(w))):
-        at = np.flatnonzero((w[p:] == w[:-p]) & (row[p:] == row[:-p]))
-        if len(at) < max(WORDS - p, p):
+        # so many equal entries in a row hold one whose number divides by them,
+        # and half of them lie before or after that one
+        run = max(WORDS - p, p)
+        later, sooner = w[p:], w[:-p]
+        mark = np.flatnonzero(later[::run] == sooner[::run]) * run
+        near, far = mark, mark
+        for j in range(1, run // 2 + 1):
+            near = near[near + j < len(later)]
+            near = near[later[near + j] == sooner[near + j]]
+            far = far[far >= j]
+            far = far[later[far - j] == sooner[far - j]]
+        if not len(near) and not len(far):
+            continue
+        at = np.flatnonzero((later == sooner) & (row[p:] == row[:-p]))
+        if len(at) < run:
             continue
         cut = np.flatnonzero(np.diff(at) != 1)
         i, j = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + p + 1
@@ -111,11 +124,28 @@ def periodic(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a, z, period
 
 
-def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH) -> dict[str, np.ndarray]:
+class Read:
+    """A chunk's words: where they start and stop, the first of each row, their
+    hashes, their stretches, and the code points before each byte and row."""
+
+    def __init__(self, c: C.Chunk):
+        self.starts, self.stops, self.first = c.spans()
+        self.w = C.Prefix(c.data).slices(self.starts, self.stops)
+        self.stretches = periodic(self.w, self.first)
+        self.chars = np.cumsum((c.data & 0xC0) != 0x80)
+        self.base = np.concatenate([[0], self.chars])[c.offsets[:-1]]
+
+    def places(self, row: np.ndarray, a: np.ndarray, z: np.ndarray) -> dict[str, np.ndarray]:
+        """Start and stop (code points of the row's text) of the words a to z."""
+        return {"row": row, "start": self.chars[self.starts[a]] - 1 - self.base[row], "stop": self.chars[self.stops[z] - 1] - self.base[row]}
+
+
+def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH, read: Read | None = None) -> dict[str, np.ndarray]:
     """Of the chunk's paragraphs: row (in the chunk), start and stop (code
     points of the text), hash, and per band a 32-bit key."""
-    starts, stops, first = c.spans()
-    n = len(starts)
+    r = read or Read(c)
+    first, w = r.first, r.w
+    n = len(w)
     counts = np.diff(first)
     valid = np.maximum(counts - words + 1, 0)
     none = {"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "stop": np.zeros(0, np.int64),
@@ -123,7 +153,6 @@ def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH)
     total = int(valid.sum())
     if not total:
         return none
-    w = C.Prefix(c.data).slices(starts, stops)
     m = C.seeds(3, SEED)
     three = C.mix64(w[:-2] * m[0] + w[1:-1] * m[1] + w[2:] * m[2])
     # places where a paragraph fits, one segment per row
@@ -146,7 +175,7 @@ def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH)
     row = np.searchsorted(first, at, "right") - 1
     at = at[(three[at] != three[before]) | (at == first[row])]
     # inside a stretch: anchors of its first and last repetition only
-    a, z, period = periodic(w, first)
+    a, z, period = r.stretches
     a, z = a + period, z - words - period + 1
     deep = np.zeros(n + 1, np.int64)
     np.add.at(deep, a[a < z], 1)
@@ -160,60 +189,46 @@ def paragraphs(c: C.Chunk, n_bands: int, words: int = WORDS, reach: int = REACH)
     k = C.seeds(K, 77)
     five = C.mix64(sum((w[j : n - K + 1 + j] * k[j] for j in range(K)), np.zeros(n - K + 1, np.uint64)))
     keys = [(sliding_min(C.mix64(five * s), words - K + 1)[at] >> np.uint64(32)).astype(np.uint32) for s in C.seeds(n_bands, SEED + 1)]
-    chars = np.cumsum((c.data & 0xC0) != 0x80)
-    base = np.concatenate([[0], chars])[c.offsets[:-1]]
-    return {"row": row, "start": chars[starts[at]] - 1 - base[row], "stop": chars[stops[at + words - 1] - 1] - base[row],
-            "hash": whole, "keys": np.stack(keys, axis=1) if keys else np.zeros((len(at), 0), np.uint32)}
+    return r.places(row, at, at + words - 1) | {
+        "hash": whole, "keys": np.stack(keys, axis=1) if keys else np.zeros((len(at), 0), np.uint32)}
 
 
-def stretches(c: C.Chunk) -> dict[str, np.ndarray]:
+def stretches(r: Read) -> dict[str, np.ndarray]:
     """Of the chunk's stretches: row (in the chunk), start and stop (code points
     of the text), and hash of the words repeated, whichever of them comes first."""
-    starts, stops, first = c.spans()
-    w = C.Prefix(c.data).slices(starts, stops)
-    a, z, period = periodic(w, first)
+    w = r.w
+    a, z, period = r.stretches
     up, down = C._powers(len(w) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)])])
     turn = np.repeat(a, period) + C.ramp(period)
     each = C.mix64((sums[turn + np.repeat(period, period)] - sums[turn]) * down[turn])
     least = np.minimum.reduceat(each, np.cumsum(period) - period) if len(a) else each
-    row = np.searchsorted(first, a, "right") - 1
-    chars = np.cumsum((c.data & 0xC0) != 0x80)
-    base = np.concatenate([[0], chars])[c.offsets[:-1]]
-    return {"row": row, "start": chars[starts[a]] - 1 - base[row], "stop": chars[stops[z - 1] - 1] - base[row], "hash": least}
+    row = np.searchsorted(r.first, a, "right") - 1
+    return r.places(row, a, z - 1) | {"hash": least}
 
 
-def _stretches(docs: DataFrame) -> DataFrame:
+def _stretches(found: DataFrame) -> DataFrame:
     """(doc_id, start, stop, keeper, removed) of the stretches that two documents
-    have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for c in C.chunks(batch.column(1)):
-                s = stretches(c)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[c.rows[s["row"]]]), pa.array(s["start"].astype(np.int32)), pa.array(s["stop"].astype(np.int32)), pa.array(s["hash"].view(np.int64))],
-                    names=["doc_id", "start", "stop", "hash"])
-
-    schema = "doc_id long, start int, stop int, hash long"
-    found = C.written(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema), "op10-stretches")
+    have; ``found``: doc_id, start, stop, hash of all."""
     first = found.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")).filter("keeper < _last")
     return found.join(C.written(first.select("hash", "keeper"), "op10-stretch-keepers"), "hash").select(
         "doc_id", "start", "stop", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
 
 
-def _table(docs: DataFrame, n_bands: int, words: int = WORDS, reach: int = REACH) -> DataFrame:
-    """(doc_id, start, stop, hash, keys) of all paragraphs."""
+def _table(docs: DataFrame, n_bands: int, words: int = WORDS, reach: int = REACH, whole: bool = False) -> DataFrame:
+    """(doc_id, start, stop, hash, keys) of all paragraphs; ``whole``: and of all
+    stretches, whose keys are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "stop", "hash", *[f"k{b}" for b in range(n_bands)]]
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for c in C.chunks(batch.column(1)):
-                p = paragraphs(c, n_bands, words, reach)
-                cols = [pa.array(ids[c.rows[p["row"]]]), pa.array(p["start"].astype(np.int32)), pa.array(p["stop"].astype(np.int32)), pa.array(p["hash"].view(np.int64))]
-                cols += [pa.array(p["keys"][:, b].view(np.int32)) for b in range(n_bands)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "stop", "hash", *[f"k{b}" for b in range(n_bands)]])
+                read = Read(c)
+                for p in [paragraphs(c, n_bands, words, reach, read)] + ([stretches(read)] if whole else []):
+                    cols = [pa.array(ids[c.rows[p["row"]]]), pa.array(p["start"].astype(np.int32)), pa.array(p["stop"].astype(np.int32)), pa.array(p["hash"].view(np.int64))]
+                    cols += [pa.array(p["keys"][:, b].view(np.int32)) if "keys" in p else pa.nulls(len(cols[0]), pa.int32()) for b in range(n_bands)]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = ", ".join(["doc_id long, start int, stop int, hash long", *[f"k{b} int" for b in range(n_bands)]])
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
@@ -441,7 +456,9 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     Input columns: doc_id, text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bands = bands(threshold, recall)
-    found = C.written(_table(docs, n_bands), "op10-paragraphs")
+    both = C.written(_table(docs, n_bands, whole=True), "op10-paragraphs")
+    found = both.filter("k0 is not null")
+    repeated = C.written(_stretches(both.filter("k0 is null").select("doc_id", "start", "stop", "hash")), "op10-stretches")
     keys = [f"k{b}" for b in range(n_bands)]
     classes = C.written(
         found.groupBy("hash").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *[F.min(k).alias(k) for k in keys]), "op10-classes")
@@ -458,7 +475,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     wanted = C.written(classes.filter("d0 < d1").select("hash").union(near.select("hash")).distinct(), "op10-wanted")
     maybe, _ = C.prefilter(found.select("doc_id", "start", "stop", "hash"), "hash", wanted)
     hits = C.written(maybe.join(wanted, "hash"), "op10-hits")
-    C.discard(found)
+    C.discard(both)
     C.discard(classes)
     seeds = C.written(_table(docs, 0, SEED_WORDS, SEED_REACH), "op10-seeds")
     links = _links(seeds, "op10-seed-links").unionByName(_links(hits, "op10-hit-links"))
@@ -480,7 +497,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         "doc_id", "start", "stop", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
     kept = extents.select(F.col("keeper").alias("doc_id"), F.col("kstart").alias("start"), F.col("kstop").alias("stop"), "keeper").distinct()
     hits = hits.unionByName(extents.select("doc_id", "start", "stop", "keeper", F.lit(True).alias("removed"))).unionByName(
-        kept.withColumn("removed", F.lit(False))).unionByName(_stretches(docs))
+        kept.withColumn("removed", F.lit(False))).unionByName(repeated)
 
     merged = _islands(hits, ["doc_id", "removed"], F.lit(False)).groupBy("doc_id", "removed", "_island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_set("keeper")).alias("keepers"))
