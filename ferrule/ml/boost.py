@@ -50,7 +50,8 @@ MIN_GAIN = 1e-6
 
 @dataclass(frozen=True)
 class Settings:
-    """One fit.  ``fold``: rows of this fold are left out (None: none are)."""
+    """One fit.  ``fold``: rows of this fold are left out (None: none are).
+    ``columns``: trees draw from these (None: from all)."""
 
     n_estimators: int = 100
     learning_rate: float = 0.1
@@ -62,6 +63,7 @@ class Settings:
     min_child_weight: float = 1.0
     fold: int | None = None
     seed: int = 42
+    columns: tuple[int, ...] | None = None
 
 
 @dataclass
@@ -222,10 +224,11 @@ def best_cuts(both: np.ndarray, l2: float, min_child_weight: float) -> np.ndarra
 
 
 def _draw_columns(s: Settings, round_: int, width: int) -> np.ndarray:
-    n = max(1, int(s.colsample_bytree * width))
-    if n >= width:
-        return np.arange(width)
-    return np.sort(np.random.default_rng([s.seed, round_, 1 << 20]).permutation(width)[:n])
+    pool = np.arange(width) if s.columns is None else np.sort(np.array(s.columns, np.int64))
+    n = max(1, int(s.colsample_bytree * len(pool)))
+    if n >= len(pool):
+        return pool
+    return np.sort(pool[np.random.default_rng([s.seed, round_, 1 << 20]).permutation(len(pool))[:n]])
 
 
 def _apply_splits(found: list, work: dict, level: int) -> dict[int, bool]:

@@ -1,17 +1,23 @@
 """Feature selection (C4): univariate F-test / chi-squared via Spark's
-``UnivariateFeatureSelector``, and recursive elimination on a linear model.
+``UnivariateFeatureSelector``, and recursive elimination on tree importance or
+on a linear model.
 Selection returns names read from the assembler metadata."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.ml import boost as BO
 from ferrule.ml.train import slot_names
 
+ELIMINATION = BO.Settings(n_estimators=10, max_depth=3, subsample=1.0, colsample_bytree=1.0)
+
 
 def anova_f(prepared: DataFrame, label: str, features_col: str = "features") -> DataFrame:
     """ANOVA F statistic of every vector slot against the class label:
@@ -93,3 +99,29 @@ def recursive_elimination(prepared: DataFrame, label: str, n: int = 5, step: int
     finally:
         data.unpersist()
     return [names[i] for i in keep]
+
+
+def tree_elimination(prepared: DataFrame, label: str, n: int = 5, step: int = 1, settings: BO.Settings = ELIMINATION,
+                     features_col: str = "features") -> DataFrame:
+    """'rfe' on tree importance: boosted trees are fitted, the ``step`` slots of
+    least importance go (ties: the later slot first), until ``n`` remain.  All
+    rounds share the binned rows.  One row per slot: feature, ``round`` in which
+    it went (null: it stays), and its importance then or, if it stays, in the
+    last fit."""
+    if n < 1 or step < 1:
+        raise ValueError("n and step are 1 at least")
+    cuts = BO.edges(prepared, features_col)
+    names = slot_names(prepared, features_col) or [f"slot_{i}" for i in range(len(cuts))]
+    table = BO.blocks(prepared, cuts, label, features_col)
+    keep, rows, round_ = list(range(len(names))), [], 0
+    while True:
+        trees = BO.fit_many(table, cuts, [replace(settings, columns=tuple(keep))])[0]
+        weight = BO.BoostedTreesModel.of(trees, cuts, features_col).featureImportances.toArray()
+        if len(keep) <= n:
+            break
+        round_ += 1
+        out = sorted(keep, key=lambda i: (weight[i], -i))[: min(step, len(keep) - n)]
+        rows += [(names[i], round_, float(weight[i])) for i in out]
+        keep = [i for i in keep if i not in set(out)]
+    rows += [(names[i], None, float(weight[i])) for i in keep]
+    return prepared.sparkSession.createDataFrame(rows, "feature string, round int, importance double")

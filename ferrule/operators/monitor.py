@@ -37,7 +37,8 @@ def rolling_per_machine(df: DataFrame, lookback_s: int, values: dict, key: str =
     one bucket and the beginning of the next: two running aggregates, one from
     each end, put together.  A moving frame would be aggregated anew for every
     row; this takes one step a row, however many rows a frame holds.  A bucket
-    of one machine is one window partition."""
+    of one machine, with the values of the bucket before it, is one window
+    partition, so rows are shuffled once."""
     span = lookback_s * MICROS
     us = ts_micros(ts_col)
     merge = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
@@ -47,32 +48,39 @@ def rolling_per_machine(df: DataFrame, lookback_s: int, values: dict, key: str =
             raise ValueError(f"no rolling {fn.__name__}")
         for kind in ("sum", "count") if fn.__name__ == "avg" else (fn.__name__,):
             parts[f"_{kind}_{name}"] = (kind, expr)
-    base = df.select("*", us.alias("_us"), F.monotonically_increasing_id().alias("_rid"),
-                     *[F.when(expr.isNotNull(), expr).alias(f"_x{n}") for n, (_, expr) in parts.items()])
+    names = [f"_x{n}" for n in parts]
+    base = df.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), us.alias("_us"), F.monotonically_increasing_id().alias("_rid"),
+                     *[F.when(expr.isNotNull(), expr).alias(x) for x, (_, expr) in zip(names, parts.values())])
     bucket = F.floor(F.col("_us") / span)
-    own = F.struct(F.lit(True).alias("own"), F.col("_us").alias("t"), bucket.alias("b"))
+    role = lambda name, t, b: F.struct(F.lit(name).alias("role"), t.alias("t"), b.alias("b"))
+    own = role("own", F.col("_us"), bucket)
     # asks the bucket before for its rows from ts - lookback on
-    probe = F.struct(F.lit(False).alias("own"), (F.col("_us") - span).alias("t"), (bucket - 1).alias("b"))
-    both = F.explode(F.when(F.col("_us").isNotNull(), F.array(own, probe)).otherwise(F.array(own))).alias("_c")
-    marked = base.select("*", both).select("*", F.col("_c.own").alias("_own"), F.col("_c.t").alias("_t"), F.col("_c.b").alias("_b")).drop("_c")
-    place = Window.partitionBy(key, "_b")
+    probe = role("probe", F.col("_us") - span, bucket)
+    # stands in the bucket after its own
+    before = role("before", F.col("_us"), bucket + 1)
+    all_ = F.explode(F.when(F.col("_us").isNotNull(), F.array(own, probe, before)).otherwise(F.array(own))).alias("_c")
+    is_own, is_before = F.col("_c.role") == "own", F.col("_c.role") == "before"
+    marked = base.select("*", all_).select(
+        F.when(is_own, F.col("_row")).alias("_row"), "_key", "_rid", F.col("_c.t").alias("_t"), F.col("_c.b").alias("_b"), is_own.alias("_own"),
+        is_before.alias("_before"), *[F.when(is_own | is_before, F.col(x)).alias(x) for x in names])
+    place = Window.partitionBy("_key", "_b")
     begin = place.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     end = place.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = []
     for n, (kind, _) in parts.items():
-        x = F.when(F.col("_own"), F.col(f"_x{n}"))
-        pieces.append(F.when(F.col("_own"), merge[kind](x).over(begin)).otherwise(merge[kind](x).over(end)).alias(n))
-    pair = Window.partitionBy("_rid")
+        x = lambda of: merge[kind](F.when(F.col(of), F.col(f"_x{n}")))  # noqa: B023, E731
+        pieces.append(F.when(F.col("_own"), x("_own").over(begin)).otherwise(x("_before").over(end)).alias(n))
+    pair = Window.partitionBy("_key", "_b", "_rid")  # where its rows are already
     add = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-    whole = marked.select("*", *pieces)
-    whole = whole.select(*[c for c in whole.columns if c not in parts], *[add[kind](n).over(pair).alias(n) for n, (kind, _) in parts.items()])
+    asked = marked.select("_row", "_key", "_b", "_rid", "_own", "_before", *pieces).filter("not _before")
+    whole = asked.select("_row", "_own", *[add[kind](n).over(pair).alias(n) for n, (kind, _) in parts.items()])
     outs = []
     for name, (fn, _) in values.items():
         if fn.__name__ == "avg":
             outs.append((F.col(f"_sum_{name}") / F.when(F.col(f"_count_{name}") > 0, F.col(f"_count_{name}"))).alias(name))
         else:
             outs.append(F.col(f"_{fn.__name__}_{name}").alias(name))
-    return whole.filter("_own").select(*df.columns, *outs)
+    return whole.filter("_own").select("_row.*", *outs)
 
 
 def daily_trend(scored: DataFrame, ts_col: str = S.TS, digits: int = 6) -> DataFrame:
@@ -87,11 +95,16 @@ def daily_trend(scored: DataFrame, ts_col: str = S.TS, digits: int = 6) -> DataF
     )
 
 
-def _stack(columns: list[str]):
+def stacked_features(columns: list[str]):
+    """(feature, value), one row per column."""
     parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     return F.expr(f"stack({len(columns)}, {parts}) AS (feature, value)")
 
 
+def drift_level(psi):
+    return F.when(psi > 0.2, F.lit("significant")).when(psi > 0.1, F.lit("moderate")).otherwise(F.lit("none"))
+
+
 def drift_psi(df: DataFrame, columns: list[str], ts_col: str = S.TS, bins: int = 10,
               floor: float = 1e-4, digits: int = 6) -> DataFrame:
     """Population stability index of the second half of the time range
@@ -103,7 +116,7 @@ def drift_psi(df: DataFrame, columns: list[str], ts_col: str = S.TS, bins: int =
     us = ts_micros(ts_col)
     mid = df.agg(((F.min(us) + F.max(us)) / 2).alias("mid")).first()["mid"]
     period = F.when(us < F.lit(mid), F.lit("reference")).otherwise(F.lit("current"))
-    stacked = df.select(period.alias("period"), _stack(columns)).filter(F.col("value").isNotNull())
+    stacked = df.select(period.alias("period"), stacked_features(columns)).filter(F.col("value").isNotNull())
     rng = (
         stacked.filter(F.col("period") == "reference")
         .groupBy("feature")
@@ -130,12 +143,7 @@ def drift_psi(df: DataFrame, columns: list[str], ts_col: str = S.TS, bins: int =
     psi = shares.groupBy("feature").agg(
         F.round(F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r"))), digits).alias("psi")
     )
-    return psi.select(
-        "feature", "psi",
-        F.when(F.col("psi") > 0.2, F.lit("significant"))
-        .when(F.col("psi") > 0.1, F.lit("moderate"))
-        .otherwise(F.lit("none")).alias("drift"),
-    )
+    return psi.select("feature", "psi", drift_level(F.col("psi")).alias("drift"))
 
 
 def performance_alert(scored: DataFrame, ts_col: str = S.TS, base_days: int = 7,

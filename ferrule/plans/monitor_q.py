@@ -3,14 +3,21 @@ performance monitoring (C6, C7), time-based aggregates (W1, W2)."""
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
 from ferrule.functions import features as FE
 from ferrule.operators import monitor as MO
 from ferrule.operators import quality as Q
+from ferrule.operators import sketch as SK
 from ferrule.operators.scoring import evaluation_frame
 from ferrule.plans.sqltext import RAW_CTE, with_base
+from ferrule.session import scratch_path
+from ferrule.sources import io
 from ferrule.sources.readings import machine_readings, raw_readings
 
 
@@ -123,6 +130,73 @@ FROM p"""
     )
 
 
+QUANTILES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+def _stored_sketches(spark, sf_dir) -> tuple[DataFrame, dt.date]:
+    """The sensors' sketches by day, written and read again, and the day in the
+    middle of theirs."""
+    path = scratch_path(spark, f"sketches-{uuid.uuid4().hex}")
+    io.write_table(SK.value_sketches(machine_readings(spark, sf_dir), DRIFT_COLS), path)
+    stored = spark.read.parquet(path)
+    middle = F.date_add(F.min("day"), F.floor(F.datediff(F.max("day"), F.min("day")) / 2).cast("int"))
+    return stored, stored.agg(middle.alias("d")).first()["d"]
+
+
+def sketch_drift(spark, sf_dir):
+    """C6 of the later days against the earlier, from stored sketches."""
+    return SK.sketch_psi(*_stored_sketches(spark, sf_dir))
+
+
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles of the later days, from stored sketches."""
+    stored, middle = _stored_sketches(spark, sf_dir)
+    return SK.quantiles(SK.merged(stored, first=middle), QUANTILES)
+
+
+_SKETCH_CTES = (", st AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(ts AS DATE) AS day, CAST({c} AS DOUBLE) AS value FROM r" for c in DRIFT_COLS) + f"""),
+k AS (
+SELECT feature, day, value, CASE WHEN value < 0 THEN -1 ELSE 1 END * CASE WHEN abs(value) >= CAST({SK.LEAST!r} AS DOUBLE) THEN
+         greatest(CAST(ceil(ln(greatest(abs(value), CAST({SK.LEAST!r} AS DOUBLE))) / CAST({SK.log_growth()!r} AS DOUBLE)) AS BIGINT) - {SK.first_bucket() - 1}, 1)
+       ELSE 0 END AS bucket
+FROM st
+),
+m AS (SELECT min(day) + CAST((max(day) - min(day)) // 2 AS INTEGER) AS middle FROM k)""")
+
+SKETCH_QUANTILES_SQL = with_base(_SKETCH_CTES + f""",
+sk AS (SELECT feature, bucket, count(*) AS n, min(value) AS lo, max(value) AS hi FROM k, m WHERE day >= middle GROUP BY ALL),
+cum AS (SELECT *, CAST(sum(n) OVER (PARTITION BY feature ORDER BY bucket) AS BIGINT) AS upto,
+               CAST(sum(n) OVER (PARTITION BY feature) AS BIGINT) AS total FROM sk),
+p AS (SELECT CAST(unnest({QUANTILES}) AS DOUBLE) AS q)
+SELECT feature, q, total AS n, lo AS low, hi AS high FROM cum, p
+WHERE greatest(ceil(q * total), 1) <= upto AND greatest(ceil(q * total), 1) > upto - n""")
+
+
+def _sketch_drift_sql(bins: int = 10, floor: str = "CAST(0.0001 AS DOUBLE)") -> str:
+    place = lambda x: f"CAST(CASE WHEN hi0 = lo0 THEN 0 ELSE least(greatest(floor(({x} - lo0) / (hi0 - lo0) * {bins}), 0), {bins - 1}) END AS INT)"
+    share = lambda side, total, cond: f"greatest(sum(CASE WHEN {side} AND {cond} THEN n ELSE 0 END) / max({total}), {floor})"
+    shares = ", ".join(
+        f"{share(side, total, cond)} AS {p}{k}" for side, total, p in (("early", "n_ref", "r"), ("NOT early", "n_cur", "c"))
+        for k, cond in (("", "mid = bin"), ("0", "a = b"), ("1", "true")))
+    gap = lambda r, c: f"({c} - {r}) * ln({c} / {r})"
+    corners = ", ".join(gap(r, c) for r in ("r0", "r1") for c in ("c0", "c1"))
+    return with_base(_SKETCH_CTES + f""",
+sk AS (SELECT feature, day < middle AS early, bucket, count(*) AS n, min(value) AS lo, max(value) AS hi FROM k, m GROUP BY ALL),
+w AS (SELECT feature, min(lo) FILTER (early) AS lo0, max(hi) FILTER (early) AS hi0, sum(n) FILTER (early) AS n_ref, sum(n) FILTER (NOT early) AS n_cur
+      FROM sk GROUP BY feature),
+pl AS (SELECT feature, early, n, n_ref, n_cur, {place('lo')} AS a, {place('hi')} AS b, {place('(lo + hi) / 2')} AS mid FROM sk JOIN w USING (feature)),
+ex AS (SELECT *, unnest(range(a, b + 1)) AS bin FROM pl),
+sh AS (SELECT feature, bin, {shares} FROM ex GROUP BY feature, bin),
+o AS (
+SELECT feature, round(sum({gap('r', 'c')}), 6) AS psi,
+       round(sum(CASE WHEN c0 > r1 THEN {gap('r1', 'c0')} WHEN r0 > c1 THEN {gap('r0', 'c1')} ELSE 0 END), 6) AS psi_low,
+       round(sum(greatest({corners})), 6) AS psi_high
+FROM sh GROUP BY feature
+)
+SELECT *, CASE WHEN psi > 0.2 THEN 'significant' WHEN psi > 0.1 THEN 'moderate' ELSE 'none' END AS drift FROM o""")
+
+
 def performance_alert(spark, sf_dir):
     return MO.performance_alert(evaluation_frame(machine_readings(spark, sf_dir)))
 
@@ -190,6 +264,8 @@ QUERIES = {
     "imputed": (imputed, IMPUTED_SQL),
     "outliers_clipped": (outliers_clipped, _clip_sql()),
     "drift_psi": (drift_psi, _drift_sql()),
+    "sketch_drift": (sketch_drift, _sketch_drift_sql()),
+    "sketch_quantiles": (sketch_quantiles, SKETCH_QUANTILES_SQL),
     "performance_alert": (performance_alert, PERFORMANCE_ALERT_SQL),
     "rolling_machine_features": (rolling_machine_features, ROLLING_SQL),
     "daily_trend": (daily_trend, DAILY_TREND_SQL),

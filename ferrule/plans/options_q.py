@@ -151,7 +151,17 @@ SELECT *, n / sum(n) OVER (PARTITION BY feature) * sum(seen) OVER (PARTITION BY
 )
 SELECT feature, round(sum((seen - due) * (seen - due) / due), 4) AS chi2 FROM dues GROUP BY feature""")
 
+
+def eliminated_features(spark, sf_dir):
+    """C4 'rfe': slots eliminated on boosted trees' importance, five at a time;
+    five stay."""
+    df = rules.label_failures(machine_readings(spark, sf_dir))
+    prepared = Pipeline(stages=TR.base_stages(TR.TrainOptions())).fit(df).transform(df)
+    return SEL.tree_elimination(prepared, "machine_failure", n=5, step=5)
+
+
 QUERIES = {
+    "eliminated_features": (eliminated_features, None),
     "cross_fitted_machine": (cross_fitted_machine, CROSS_FITTED_SQL),
     "chi2_scores": (chi2_scores, CHI2_SQL),
     "robust_scaled": (robust_scaled, _robust_sql()),

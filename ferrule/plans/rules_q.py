@@ -211,6 +211,16 @@ def features_targets_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.drop("twf", "osf", "not_there")  # P1: absent names are ignored
 
 
+def features_targets_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two tables written in buckets of the key, and bound without a
+    shuffle."""
+    readings = machine_readings(spark, sf_dir)
+    base = scratch_path(spark, f"bound-{uuid.uuid4().hex}")
+    io.write_bucketed(readings.select(S.UID, S.TYPE, *S.SENSORS), f"{base}/features", buckets=16)
+    io.write_bucketed(rules.label_failures(readings).select(S.UID, "machine_failure"), f"{base}/targets", buckets=16)
+    return io.bind_bucketed(spark, f"{base}/features", f"{base}/targets")
+
+
 FEATURES_TARGETS_SQL = with_base(
     """SELECT r.uid, r.type, r.air_temp_k, r.process_temp_k, r.rpm, r.torque_nm, r.tool_wear_min,
        f.machine_failure
@@ -311,5 +321,6 @@ QUERIES = {
     "failure_type_last": (_failure_type_query("last"), _failure_type_sql("last")),
     "class_counts": (class_counts, CLASS_COUNTS_SQL),
     "features_targets_joined": (features_targets_joined, FEATURES_TARGETS_SQL),
+    "features_targets_bucketed": (features_targets_bucketed, FEATURES_TARGETS_SQL),
     "valid_and_bad_rows": (valid_and_bad_rows, VALID_AND_BAD_SQL),
 }

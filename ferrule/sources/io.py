@@ -7,6 +7,10 @@ sink is a distributed write, never a collect to the driver.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +73,51 @@ def bind_features_targets(features: DataFrame, targets: DataFrame, key: str = S.
     return features.join(targets, key, "inner")
 
 
+def write_bucketed(df: DataFrame, path: str, key: str = S.UID, buckets: int = 200) -> None:
+    """Parquet in ``buckets`` files, a hash of the key each and sorted by
+    it, so that tables written alike are bound without a shuffle.  Choose
+    ``buckets`` for files of about a gigabyte.  Schema, key and buckets are
+    written beside the files at last, so half a table is none; a rerun writes it
+    anew."""
+    spark, name = df.sparkSession, _bucketed_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.repartition(buckets, F.col(f"`{key}`")).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option(
+        "path", path).saveAsTable(name)
+    layout = json.dumps({"key": key, "buckets": buckets, "schema": df.schema.jsonValue()})
+    spark.createDataFrame([(layout,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{_LAYOUT}")
+
+
+_LAYOUT = "_layout"  # a hidden name: no rows of the table
+
+
+def _bucketed_name(path: str) -> str:
+    return "bucketed_" + hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:24]
+
+
+def read_bucketed(spark: SparkSession, path: str) -> tuple[DataFrame, str, int]:
+    """A table of ``write_bucketed``, also by another session: the table, its
+    key and its number of buckets."""
+    try:
+        layout = json.loads(spark.read.text(f"{path}/{_LAYOUT}").first()["value"])
+    except AnalysisException as e:
+        raise ValueError(f"{path} is no bucketed table") from e
+    key, buckets, schema = layout["key"], layout["buckets"], T.StructType.fromJson(layout["schema"])
+    name, columns = _bucketed_name(path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name), key, buckets
+
+
+def bind_bucketed(spark: SparkSession, features_path: str, targets_path: str) -> DataFrame:
+    """S3/J1 of two bucketed tables: a merge join of their files, bucket by
+    bucket, with no shuffle.  Tables of other keys or buckets are refused."""
+    features, key, buckets = read_bucketed(spark, features_path)
+    targets, *other = read_bucketed(spark, targets_path)
+    if other != [key, buckets]:
+        raise ValueError(f"bucketed by {key} into {buckets} and by {other[0]} into {other[1]}")
+    return bind_features_targets(features, targets.hint("merge"), key)
+
+
 def read_batch_request(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents {"machines": [ {...}, ... ]} -> one row per machine,
     renamed to internal names, with ``request`` (the file, and a number that no

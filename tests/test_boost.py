@@ -9,6 +9,7 @@ from ferrule import schema as S
 from ferrule.functions import rules
 from ferrule.ml import batched as BA
 from ferrule.ml import boost as BO
+from ferrule.ml import select as SEL
 from ferrule.ml import train as TR
 from ferrule.operators import evaluate as EV
 from ferrule.operators import prep
@@ -153,3 +154,16 @@ def test_minimiser_meets_its_conditions():
         t = BA.lasso_minimiser(a, b, lasso, rng.standard_normal(d) * rng.integers(0, 2, d))
         slope = b - a @ t
         assert np.allclose(slope[t != 0], (lasso * np.sign(t))[t != 0], atol=1e-7) and (np.abs(slope) <= lasso + 1e-7).all()
+
+
+def test_elimination_keeps_what_matters(points):
+    df, _, _ = points
+    got = SEL.tree_elimination(df, "y", n=2, step=2).collect()
+    assert len(got) == 5 and sorted(r["round"] or 0 for r in got) == [0, 0, 1, 1, 2]
+    stay = {r["feature"] for r in got if r["round"] is None}
+    assert "slot_0" in stay and stay <= {"slot_0", "slot_2", "slot_3"}
+    # a round's trees use the slots that are left only
+    cuts = BO.edges(df)
+    few = BO.Settings(n_estimators=3, max_depth=3, columns=(1, 4))
+    trees = BO.fit_many(BO.blocks(df, cuts, "y"), cuts, [few])[0]
+    assert {int(f) for t in trees for f in t.feature if f >= 0} <= {1, 4}

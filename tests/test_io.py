@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import scoring as SC
@@ -56,3 +57,28 @@ def test_dead_letters_on_any_layout(spark, tmp_path):
         key = lambda d: sorted(str(tuple(r)) for r in d.collect())
         seen.append((key(rows), key(dead.drop("file"))))
     assert seen[0] == seen[1]
+
+
+def test_bucketed_tables_are_bound_without_a_shuffle(spark, tmp_path):
+    left = spark.range(1000).selectExpr("id as uid", "id * 2 as x").repartition(7)
+    right = spark.range(500, 1500).selectExpr("id as uid", "id * 3 as y").repartition(3)
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    io.write_bucketed(left, a, buckets=6)
+    io.write_bucketed(right, b, buckets=6)
+    want = sorted(tuple(r) for r in io.bind_features_targets(left, right).collect())
+    for session in (spark, spark.newSession()):
+        bound = io.bind_bucketed(session, a, b)
+        assert sorted(tuple(r) for r in bound.collect()) == want
+        plan = bound._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    # registered anew from the files alone
+    spark.sql(f"DROP TABLE {io._bucketed_name(a)}")
+    assert io.read_bucketed(spark, a)[1:] == ("uid", 6)
+    assert io.bind_bucketed(spark, a, b).count() == 500
+    # written anew with other rows and buckets
+    io.write_bucketed(right.limit(0), b, buckets=4)
+    with pytest.raises(ValueError, match="into 4"):
+        io.bind_bucketed(spark, a, b)
+    left.write.parquet(str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="no bucketed table"):
+        io.read_bucketed(spark, str(tmp_path / "c"))

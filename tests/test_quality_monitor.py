@@ -26,6 +26,8 @@ def test_rolling_split_equals_plain_window(spark):
     a = {r["uid"]: tuple(r[c] for c in ("n", "s", "m", "lo", "hi")) for r in got.collect()}
     b = {r["uid"]: tuple(r[c] for c in ("n", "s", "m", "lo", "hi")) for r in ref.collect()}
     assert a == b
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - ref._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
 
 
 def test_robust_mode_ids(spark):
