@@ -64,6 +64,7 @@ WORDS, REACH, K = 25, 24, 5
 SEED_WORDS, SEED_REACH, CONTEXT = 12, 11, 120
 THRESHOLD, RECALL, SEED = 0.8, 0.95, 10
 BLOCK = 512
+FEW = 32  # cells of so many rows are compared pair by pair
 
 LINK_SCHEMA = "doc_id long, start int, stop int, keeper long, kstart int, kstop int"
 
@@ -234,27 +235,92 @@ def _table(docs: DataFrame, n_bands: int, words: int = WORDS, reach: int = REACH
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
+def common_sizes(codes: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the common sets of the rows ``i`` and ``j``, pair by pair; a row
+    of ``codes`` is a small set of numbers from 0 on."""
+    size = np.diff(first)
+    place = np.arange(max(int(size.max()), 1))
+    inside = place < size[:, None]
+    grid = np.full(inside.shape, -1, np.int32)
+    grid[inside] = codes
+    out = np.zeros(len(i), np.int64)
+    for x in range(0, len(i), 4096):
+        left, right = grid[i[x : x + 4096]], grid[j[x : x + 4096]]
+        out[x : x + 4096] = ((left[:, :, None] == right[:, None, :]) & (left >= 0)[:, :, None]).sum(axis=(1, 2))
+    return out
+
+
+def similar_rows(cell: np.ndarray, mine: np.ndarray, sets: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose sets are similar, within whole cells (``cell``: sorted
+    numbers); of a cell of two blocks, pairs between these."""
+    n = len(cell)
+    first = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + n + 1]
+    flat = np.frombuffer(sets.buffers()[2], np.uint8)[first[0] : first[-1]].view(np.uint64)
+    first = (first - first[0]) // 8
+    size = np.diff(first)
+    alike = lambda both, x, y: both >= threshold * (x + y - both) - 1e-6
+    begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    stop = np.append(begin[1:], n)
+    one = np.minimum.reduceat(mine, begin) == np.maximum.reduceat(mine, begin)
+    small = one & (stop - begin <= FEW)
+    # cells of few rows, nearly all: all their pairs at once
+    row = np.flatnonzero(np.repeat(small, stop - begin))
+    later = np.repeat(stop, stop - begin)[row] - row - 1
+    i = np.repeat(row, later)
+    j = i + 1 + C.ramp(later)
+    both = common_sizes(np.unique(flat, return_inverse=True)[1].astype(np.int32), first, i, j)
+    good = alike(both, size[i], size[j])
+    left, right = [i[good]], [j[good]]
+    for x, y, single in zip(begin[~small].tolist(), stop[~small].tolist(), one[~small].tolist()):
+        own, block = np.arange(y - x), mine[x:y]
+        a, b = (own, own) if single else (own[block == block.min()], own[block == block.max()])
+        both = intersections(flat[first[x] : first[y]], first[x : y + 1] - first[x], a, b)
+        i, j = np.nonzero(alike(both, size[x:y][a][:, None], size[x:y][b][None, :]))
+        left.append(x + a[i])
+        right.append(x + b[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _similar(near: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between classes of paragraphs; ``near``: spot, hash, shingles."""
+    """Edges (a, b) between classes of paragraphs; ``near``: spot, hash, shingles.
+    Cells come sorted, and a task holds one batch of them and a cell at most."""
     dealt = B.cells(near, ["spot"], F.col("hash"), BLOCK, near.groupBy("spot").agg(F.count(F.lit(1)).alias("_m")))
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, mine = t.column("hash").to_numpy(), t.column("mine").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, mine = ids[order], mine[order]
-        raw = t.column("shingles").to_pylist()
-        rows = [np.frombuffer(raw[k], np.uint64) for k in order.tolist()]
-        size = np.array([len(r) for r in rows])
-        lo, hi = mine.min(), mine.max()
-        own = np.arange(len(ids))
-        a, b = (own, own) if lo == hi else (own[mine == lo], own[mine == hi])
-        both = intersections(np.concatenate(rows), np.concatenate([[0], np.cumsum(size)]), a, b)
-        i, j = np.nonzero(both >= threshold * (size[a][:, None] + size[b][None, :] - both) - 1e-6)
-        root = ids[B.roots(len(ids), a[i], b[j])]
+    key = ["spot", "_lo", "_hi"]
+    rows = dealt.select("cell.*", "hash", "mine", "shingles").repartition(*key).sortWithinPartitions(*key, "hash")
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        cell = np.cumsum(_begins(t))
+        ids = t.column("hash").to_numpy()
+        i, j = similar_rows(cell, t.column("mine").to_numpy(), pa.concat_arrays(t.column("shingles").chunks), threshold)
+        root = ids[B.roots(len(ids), i, j)]
         keep = root != ids
-        return pa.table({"a": ids[keep], "b": root[keep]})
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], names=["a", "b"])
 
-    return dealt.groupBy("cell").applyInArrow(compare, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            last = int(np.flatnonzero(_begins(t))[-1])  # the last cell may go on
+            if last:
+                yield links(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield links(held)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _begins(t: pa.Table) -> np.ndarray:
+    """Where a cell begins in rows sorted by cell."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in ("spot", "_lo", "_hi"):
+        x = t.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
 
 
 def _shingles(docs: DataFrame, reps: DataFrame) -> DataFrame:
