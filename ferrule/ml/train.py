@@ -33,6 +33,10 @@ from ferrule.operators import prep
 from ferrule.session import ensure_checkpoint_dir
 
 SPARK_MAX_DEPTH = 30
+# Rows of one task in the fits' jobs: cores are used from FEW_ROWS each on; more
+# than MANY_ROWS make more tasks, so that what one reads (a forest of 100 trees
+# keeps about 1.6 KB a row) doesn't grow with the table
+FEW_ROWS, MANY_ROWS = 10_000, 125_000
 
 
 @dataclass
@@ -66,8 +70,9 @@ class TrainOptions:
     handle_missing: str = "none"
     encoding: str = "onehot"
     select_features: int | None = None
-    # partitions of the prepared rows (None: as the input has them).  Iterative
-    # fits run one job per step over them; a table of one small file is one task
+    # least partitions of the prepared rows.  Iterative fits run one job per step
+    # over them; None: as the input has them, or by ``fit_tasks`` where there
+    # are rows enough
     num_partitions: int | None = None
 
 
@@ -130,6 +135,14 @@ class Prepared:
         self.rows.unpersist()
 
 
+def fit_tasks(n_rows: int, cores: int, least: int | None = None) -> int:
+    """Partitions of ``n_rows`` prepared rows: ``least`` or one per FEW_ROWS up to
+    the cores, and whole rounds of the cores beyond MANY_ROWS rows each."""
+    tasks = max(least or 1, min(cores, n_rows // FEW_ROWS))
+    most = -(-n_rows // MANY_ROWS)
+    return tasks if tasks >= most else -(-most // cores) * cores
+
+
 def prepare(train: DataFrame, opts: TrainOptions, stages: list | None = None, folds: bool = False) -> Prepared:
     """Fits the preparation stages (default: those of the options) and persists
     label, weights, features and, with ``folds``, the stratified fold: shared
@@ -143,8 +156,9 @@ def prepare(train: DataFrame, opts: TrainOptions, stages: list | None = None, fo
     weighted = _weighted(train, opts, counts)
     model = Pipeline(stages=stages or base_stages(opts)).fit(weighted)
     rows = model.transform(weighted).select(opts.label, "w_balanced", "w_positive", *(["fold"] if folds else []), "features")
-    if opts.num_partitions:
-        rows = rows.repartition(opts.num_partitions)
+    tasks = fit_tasks(sum(counts.values()), train.sparkSession.sparkContext.defaultParallelism, opts.num_partitions)
+    if opts.num_partitions or tasks > 1:
+        rows = rows.repartition(tasks)
     top = int(max(counts)) + 1  # Spark's classes are 0 .. k-1
     return Prepared(model, rows.persist(), sum(counts.values()), max(2, top))
 

@@ -31,8 +31,8 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _options(spark: SparkSession, trees: bool = False, **more) -> TR.TrainOptions:
     """The driver's tables are single files.  Trees do heavy work per pass, so
-    their rows are spread over the cores; the other fits run one light job per
-    step and take the partitions as they are."""
+    their rows are spread over the cores whatever their number; the other fits run
+    one light job per step and spread them where there are enough."""
     return TR.TrainOptions(num_partitions=spark.sparkContext.defaultParallelism if trees else None, **more)
 
 

@@ -128,3 +128,19 @@ def test_selection_and_three_classes(spark, split):
     assert rows["logistic_regression"]["n_rows"] == test.count() and rows["logistic_regression"]["accuracy"] > 0.8
     scored = TR.predictions(trained.models["neural_network"], test.withColumn("speed", bin3), "speed", probabilities=True)
     assert scored.filter(F.size("probability") != 3).count() == 0
+
+
+def test_tasks_follow_the_rows(split, monkeypatch):
+    assert [TR.fit_tasks(n, 12) for n in (0, 19_999, 80_000, 4_800_000, 28_800_000)] == [1, 1, 8, 48, 240]
+    assert TR.fit_tasks(500, 8, 8) == 8 and TR.fit_tasks(28_800_000, 12, 12) == 240
+    train, _ = split
+    n = train.count()
+    for few, many in ((n // 4, n), (n, n // 40)):
+        monkeypatch.setattr(TR, "FEW_ROWS", few)
+        monkeypatch.setattr(TR, "MANY_ROWS", many)
+        data = TR.prepare(train.coalesce(1), TR.TrainOptions())
+        try:
+            sizes = data.rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        finally:
+            data.release()
+        assert sum(sizes) == n and len(sizes) >= 4 and max(sizes) <= max(few, many) + len(sizes)
