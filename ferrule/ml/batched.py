@@ -28,6 +28,7 @@ from ferrule.session import scratch_path
 
 MAX_WIDTH = 512  # second derivatives are width x width numbers a problem
 SCANS, TOL, RIDGE = 100, 1e-9, 1e-10
+CHUNK_ROWS, CHUNK_PRODUCTS = 1000, 1 << 18  # a chunk's products of columns stay in the cache
 
 
 @dataclass(frozen=True)
@@ -66,34 +67,43 @@ def _arrays(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _derivatives(table, points: dict[int, np.ndarray], problems: list[Problem]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Mean loss, gradient and second derivatives of each open problem."""
+    """Mean loss, gradient and second derivatives of each open problem.  The
+    products of two columns are formed once per chunk of rows and serve all
+    problems: every sum is one matrix product."""
     order = sorted(points)
     theta = np.column_stack([points[p] for p in order])
-
-    def part(rows: Iterator) -> Iterator[list]:
-        total = None
-        for r in rows:
-            x, y, w, fold = _arrays(r)
-            z = x @ theta
-            prob = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            loss = np.logaddexp(0, z) - y[:, None] * z
-            d = x.shape[1]
-            out = np.empty((len(order), 2 + d + d * d))
-            for k, p in enumerate(order):
-                use = w if problems[p].fold is None else w * (fold != problems[p].fold)
-                out[k, 0], out[k, 1] = use @ loss[:, k], use.sum()
-                out[k, 2 : 2 + d] = x.T @ (use * (prob[:, k] - y))
-                out[k, 2 + d :] = (x.T @ (x * (use * prob[:, k] * (1 - prob[:, k]))[:, None])).ravel()
-            total = out if total is None else total + out
-        if total is not None:
-            yield total
-
-    total = table.rdd.mapPartitions(part).treeReduce(np.add)
+    left_out = np.array([np.nan if problems[p].fold is None else problems[p].fold for p in order])
     d = theta.shape[0]
+    chunk = max(16, min(CHUNK_ROWS, CHUNK_PRODUCTS // (d * (d + 1) // 2)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 + d + d * (d + 1) // 2, len(order)))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y, w, fold = _arrays({c: batch.column(c)[k].as_buffer() for c in ("x", "y", "w", "fold")})
+                for at in range(0, len(y), chunk):
+                    rows = slice(at, at + chunk)
+                    use = w[rows, None] * (fold[rows, None] != left_out)
+                    z, cols = x[rows] @ theta, np.ascontiguousarray(x[rows].T)
+                    e = np.exp(-np.abs(z))
+                    prob = np.where(z >= 0, 1.0, e) / (1 + e)
+                    total[0] += (use * (np.maximum(z, 0) + np.log1p(e) - y[rows, None] * z)).sum(axis=0)
+                    total[1] += use.sum(axis=0)
+                    total[2 : 2 + d] += cols @ (use * (prob - y[rows, None]))
+                    products = np.concatenate([cols[i] * cols[i:] for i in range(d)])
+                    total[2 + d :] += products @ (use * prob * (1 - prob))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    sums = table.mapInArrow(part, "sums binary").rdd.map(lambda r: np.frombuffer(r["sums"]))
+    total = sums.treeReduce(np.add).reshape(-1, len(order))
+    upper = np.triu_indices(d)
     out = {}
     for k, p in enumerate(order):
-        loss, weight = total[k, :2]
-        out[p] = (loss / weight, total[k, 2 : 2 + d] / weight, total[k, 2 + d :].reshape(d, d) / weight)
+        loss, weight = total[:2, k]
+        hess = np.zeros((d, d))
+        hess[upper] = total[2 + d :, k] / weight
+        hess[upper[::-1]] = hess[upper]
+        out[p] = (loss / weight, total[2 : 2 + d, k] / weight, hess)
     return out
 
 

@@ -167,3 +167,21 @@ def test_elimination_keeps_what_matters(points):
     few = BO.Settings(n_estimators=3, max_depth=3, columns=(1, 4))
     trees = BO.fit_many(BO.blocks(df, cuts, "y"), cuts, [few])[0]
     assert {int(f) for t in trees for f in t.feature if f >= 0} <= {1, 4}
+
+
+def test_derivatives_equal_plain_sums_whatever_the_chunk(points, monkeypatch):
+    df, _, _ = points
+    table = BA.blocks(df, "y", "w", "fold")
+    problems = [BA.Problem(0.1, 0.0, 1), BA.Problem(0.1)]
+    at = {0: np.linspace(-1, 1, 6), 1: np.linspace(0.5, -40, 6)}
+    rows = np.array([r["v"] + [1.0, r["y"], r["w"], r["fold"]] for r in df.collect()])
+    x, y, w, fold = rows[:, :6], rows[:, 6], rows[:, 7], rows[:, 8]
+    for chunk in (1000, 16):
+        monkeypatch.setattr(BA, "CHUNK_ROWS", chunk)
+        got = BA._derivatives(table, at, problems)
+        for p, q in enumerate(problems):
+            use, z = w * (fold != q.fold), x @ at[p]
+            prob = 1 / (1 + np.exp(-z))
+            assert got[p][0] == pytest.approx(use @ (np.logaddexp(0, z) - y * z) / use.sum())
+            assert np.allclose(got[p][1], x.T @ (use * (prob - y)) / use.sum(), atol=1e-12)
+            assert np.allclose(got[p][2], x.T @ (x * (use * prob * (1 - prob))[:, None]) / use.sum(), atol=1e-12)
