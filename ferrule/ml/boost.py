@@ -45,6 +45,7 @@ from ferrule.session import scratch_path
 MAX_BINS = 256
 ACCURACY = 100_000  # quantiles are off by at most rows / ACCURACY ranks
 REDUCER_BYTES = 8 << 20
+STATE_CELLS = 1 << 17  # margins of one block in the state
 MIN_GAIN = 1e-6
 
 
@@ -99,7 +100,7 @@ class Tree:
 
 @dataclass
 class Block:
-    key: int
+    keys: list[tuple[int, int]]  # (key, rows) of the written blocks that it holds
     bins: np.ndarray  # columns x rows, bytes
     y: np.ndarray
     fold: np.ndarray
@@ -146,12 +147,26 @@ def blocks(rows: DataFrame, cuts: list[np.ndarray], label: str, features: str =
 
 
 def _state(table: DataFrame, width: int, fits: int) -> RDD:
-    def load(r) -> Block:
-        y = np.frombuffer(r["y"], np.uint8).astype(float)
-        return Block(r["key"], np.frombuffer(r["bins"], np.uint8).reshape(width, -1), y,
-                     np.frombuffer(r["fold"], "<i4"), np.zeros((fits, len(y))))
+    """The written blocks, a partition's joined up to STATE_CELLS margins."""
+    names = ("bins", "y", "fold")
 
-    return table.rdd.map(load)
+    def joined(rows: list) -> Block:
+        bins, y, fold = (np.concatenate([np.frombuffer(r[c], kind).reshape(-1 if c != "bins" else (width, -1)) for r in rows], axis=-1)
+                         for c, kind in zip(names, (np.uint8, np.uint8, "<i4")))
+        return Block([(r["key"], len(r["y"])) for r in rows], bins, y, fold, np.zeros((fits, len(y))))
+
+    def load(rows: Iterator) -> Iterator[Block]:
+        held, cells = [], 0
+        for r in rows:
+            if held and cells + fits * len(r["y"]) > STATE_CELLS:
+                yield joined(held)
+                held, cells = [], 0
+            held.append(r)
+            cells += fits * len(r["y"])
+        if held:
+            yield joined(held)
+
+    return table.rdd.mapPartitions(load)
 
 
 def _grown(state: RDD, trees: dict[int, Tree]) -> RDD:
@@ -161,7 +176,7 @@ def _grown(state: RDD, trees: dict[int, Tree]) -> RDD:
         margin = b.margin.copy()
         for p, tree in trees.items():
             margin[p] += tree.value[tree.route(b.bins, tree.depth)]
-        return Block(b.key, b.bins, b.y, b.fold, margin)
+        return Block(b.keys, b.bins, b.y, b.fold, margin)
 
     return state.map(add)
 
@@ -181,7 +196,7 @@ def _level(state: RDD, work: dict[int, tuple[Settings, Tree, np.ndarray]], level
                     w = w * (b.fold != s.fold)
                 if s.subsample < 1:
                     if draw is None:
-                        draw = np.random.default_rng([s.seed, round_, b.key]).random(len(b.y))
+                        draw = np.concatenate([np.random.default_rng([s.seed, round_, key]).random(n) for key, n in b.keys])
                     w = w * (draw < s.subsample)
                 node = tree.route(b.bins, level) - base
                 live = np.flatnonzero((w > 0) & (node >= 0))
@@ -191,12 +206,11 @@ def _level(state: RDD, work: dict[int, tuple[Settings, Tree, np.ndarray]], level
                 h = (w * prob * (1 - prob))[live]
                 for j in columns:
                     code = place + (b.bins[j] if whole else b.bins[j][live])
-                    both = np.stack([np.bincount(code, g, nodes * n_bins), np.bincount(code, h, nodes * n_bins)])
-                    have = sums.get((p, int(j)))
-                    if have is None:
-                        sums[p, int(j)] = both
-                    else:
-                        have += both
+                    if (p, int(j)) not in sums:
+                        sums[p, int(j)] = np.zeros((2, nodes * n_bins))
+                    both = sums[p, int(j)]
+                    both[0] += np.bincount(code, g, nodes * n_bins)
+                    both[1] += np.bincount(code, h, nodes * n_bins)
         return iter(sums.items())
 
     def best(item: tuple) -> tuple:
@@ -204,9 +218,14 @@ def _level(state: RDD, work: dict[int, tuple[Settings, Tree, np.ndarray]], level
         s = work[p][0]
         return p, j, best_cuts(both.reshape(2, nodes, n_bins), s.l2, s.min_child_weight)
 
-    size = sum(len(c) for _, _, c in work.values()) * nodes * n_bins * 16
-    reducers = max(1, -(-size // REDUCER_BYTES))
-    return state.mapPartitions(histograms).reduceByKey(np.add, reducers).map(best).collect()
+    n = reducers(sum(len(c) for _, _, c in work.values()), nodes * n_bins, state.getNumPartitions())
+    return state.mapPartitions(histograms).reduceByKey(np.add, n).map(best).collect()
+
+
+def reducers(columns: int, cells: int, tasks: int) -> int:
+    """Reducers of a level's histograms, ``columns`` of ``cells`` each: every task
+    sends its own, and what one reducer gets must not grow with the tasks."""
+    return max(1, min(columns, -(-columns * cells * 16 * tasks // REDUCER_BYTES)))
 
 
 def best_cuts(both: np.ndarray, l2: float, min_child_weight: float) -> np.ndarray:

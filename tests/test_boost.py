@@ -169,6 +169,33 @@ def test_elimination_keeps_what_matters(points):
     assert {int(f) for t in trees for f in t.feature if f >= 0} <= {1, 4}
 
 
+def test_reducers_share_what_many_tasks_send():
+    assert BO.reducers(15, 16 * 256, 1) == 1
+    assert all(15 * 16 * 256 * 16 * tasks <= 2 * BO.REDUCER_BYTES * BO.reducers(15, 16 * 256, tasks) for tasks in (8, 48, 240))
+    assert BO.reducers(15, 16 * 256, 10**6) == 15  # one key is one reducer's
+
+
+def test_state_joins_a_partitions_blocks(points, monkeypatch):
+    df, x, _ = points
+    cuts = BO.edges(df, max_bins=16)
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        table = BO.blocks(df, cuts, "y").coalesce(1).cache()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert table.count() > 4
+    whole = BO._state(table, 5, 1).collect()
+    assert len(whole) == 1 and sum(n for _, n in whole[0].keys) == 700
+    assert sorted(map(tuple, whole[0].bins.T)) == sorted(map(tuple, BO.binned(x, cuts).T))
+    fits = [BO.Settings(n_estimators=3, max_depth=3)]
+    together = BO.fit_many(table, cuts, fits)[0]
+    monkeypatch.setattr(BO, "STATE_CELLS", 1)
+    assert BO._state(table, 5, 1).count() == table.count()
+    for a, b in zip(together, BO.fit_many(table, cuts, fits)[0]):  # the same rows are drawn
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value, atol=1e-9)
+
+
 def test_derivatives_equal_plain_sums_whatever_the_chunk(points, monkeypatch):
     df, _, _ = points
     table = BA.blocks(df, "y", "w", "fold")
