@@ -109,9 +109,11 @@ class Block:
 
 def edges(rows: DataFrame, features: str = "features", max_bins: int = MAX_BINS) -> list[np.ndarray]:
     """Cuts of every slot: its distinct quantiles at k / max_bins.  The driver
-    sees max_bins numbers a slot."""
+    sees max_bins numbers a slot.  A sketch holds up to ACCURACY numbers, whatever
+    its rows: the cores make one each, so that their number doesn't follow the rows."""
     probs = F.array(*[F.lit(k / max_bins) for k in range(1, max_bins)])
-    long = rows.select(F.posexplode(vector_to_array(features)).alias("i", "x"))
+    few = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    long = few.select(F.posexplode(vector_to_array(features)).alias("i", "x"))
     found = long.groupBy("i").agg(F.percentile_approx("x", probs, ACCURACY).alias("q")).collect()
     out: list[np.ndarray] = [np.zeros(0)] * len(found)
     for r in found:
@@ -169,6 +171,13 @@ def _state(table: DataFrame, width: int, fits: int) -> RDD:
     return table.rdd.mapPartitions(load)
 
 
+def _even(table: DataFrame) -> DataFrame:
+    """The blocks in whole rounds of the cores: every level is a job of its own, and
+    one task more than the cores would double its time."""
+    n, cores = table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism
+    return table if n <= cores or n % cores == 0 else table.repartition(-(-n // cores) * cores)
+
+
 def _grown(state: RDD, trees: dict[int, Tree]) -> RDD:
     """The state with the margins of these finished trees (by fit) added."""
 
@@ -283,7 +292,7 @@ def fit_many(table: DataFrame, cuts: list[np.ndarray], fits: list[Settings]) ->
     """The trees of every fit; level by level, one scan and one shuffle for all."""
     width = len(cuts)
     n_bins = max((len(c) for c in cuts), default=0) + 1
-    state = _state(table, width, len(fits)).persist(StorageLevel.MEMORY_AND_DISK)
+    state = _state(_even(table), width, len(fits)).persist(StorageLevel.MEMORY_AND_DISK)
     forests: list[list[Tree]] = [[] for _ in fits]
     old = None
     try:

@@ -16,7 +16,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule import schema as S
-from ferrule.ml import batched, boost
+from ferrule.ml import batched, boost, net
 from ferrule.ml.stages import FeatureEngineer, preparation_stages
 from ferrule.operators import evaluate as EV
 from ferrule.operators import prep
@@ -208,11 +207,7 @@ def make_classifier(name: str, opts: TrainOptions, n_rows_weight: float | None =
         c = opts.mlp
         if n_features is None:
             raise ValueError("neural_network needs the input width")
-        return MultilayerPerceptronClassifier(
-            labelCol=label, featuresCol="features",
-            layers=[n_features, *c["architecture"], max(n_classes, 2)],
-            maxIter=int(c["epochs"]), blockSize=128, seed=opts.seed,
-        )
+        return net.NeuralNet(label, [n_features, *c["architecture"], max(n_classes, 2)], int(c["epochs"]), opts.seed)
     raise ValueError(f"unknown model {name}")
 
 
